@@ -42,18 +42,12 @@ def only_string(v: Column) -> Column:
     return F.when(json_type(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
+FALSY = ['""', "null", "false", "0", "0.0", "-0.0", "[]", "{}"]
+
+
 def truthy(v: Column) -> Column:
     """Neither absent, null, false, zero, nor an empty string, list or object."""
-    kind = json_type(v)
-    return F.coalesce(
-        F.when(kind == "STRING", F.try_variant_get(v, "$", "string") != "")
-        .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
-        .when(kind == "VOID", False)
-        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"),
-              ~F.to_json(v).isin("[]", "{}"))
-        .otherwise(F.try_variant_get(v, "$", "double") != 0),
-        F.lit(False),
-    )
+    return F.coalesce(~F.to_json(v).isin(FALSY), F.lit(False))
 
 
 def integer(v: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logloom import constants as C
 from logloom.functions import variant as V
 from logloom.functions.text import percent
-from logloom.operators.payload import entry_structs
+from logloom.operators.payload import tool_entries
 from logloom.sources.log import role_rows, with_day
 
 FLAGS = ["has_user", "has_lead", "has_call", "has_unknown"]
@@ -20,22 +20,21 @@ def counts_as_lead(name: Column, args: Column) -> Column:
 
 
 def row_flags(messages: DataFrame) -> DataFrame:
-    """Each user or tool row with what it says about its session; no shuffle."""
-    def some(test):
-        return F.coalesce(F.exists("entries", test), F.lit(False))
+    """Each user row and tool call with what it says about its session.
 
-    entries = F.when(F.col("role") == C.TOOL_LOG, entry_structs(F.try_parse_json("content")))
-    return (
-        role_rows(messages, C.USER, C.TOOL_LOG)
-        .select("session_id", "role", entries.alias("entries"))
-        .select(
-            "session_id",
-            (F.col("role") == C.USER).alias("has_user"),
-            some(lambda e: counts_as_lead(e["name"], e["args"])).alias("has_lead"),
-            some(lambda e: e["name"] == C.SCHEDULE_CALL).alias("has_call"),
-            some(lambda e: e["name"] == C.RECORD_UNKNOWN).alias("has_unknown"),
-        )
-    )
+    The two roles are read apart, so that user texts are not read at all.
+    """
+    no = F.lit(False)
+    users = role_rows(messages, C.USER).select(
+        "session_id", F.lit(True).alias("has_user"), no.alias("has_lead"), no.alias("has_call"),
+        no.alias("has_unknown"))
+    name = F.col("name")
+    calls = tool_entries(messages).select(
+        "session_id", no.alias("has_user"),
+        counts_as_lead(name, F.col("args")).alias("has_lead"),
+        (name == C.SCHEDULE_CALL).alias("has_call"),
+        (name == C.RECORD_UNKNOWN).alias("has_unknown"))
+    return users.unionByName(calls)
 
 
 def merge_flags(flags: DataFrame) -> DataFrame:

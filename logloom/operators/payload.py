@@ -8,35 +8,38 @@ from logloom.functions import variant as V
 from logloom.sources.log import role_rows
 
 
-def entry_structs(payload: Column) -> Column:
-    """A tool payload as an array of (pos, name, args VARIANT).
+def entry_name(item: Column) -> Column:
+    """The tool name of a payload item, NULL for an item that is no call.
 
-    A bare string is a call without arguments, an object gives its name and
-    arguments, anything else is dropped; so are payloads that are no list.
+    A bare string is a call without arguments; an object without a name is a
+    call of the empty name. The common case, an object with a name, comes first.
     """
-    def entry(item, pos):
-        name = F.when(V.fields(item).isNotNull(),
-                      F.coalesce(V.text(item, "name"), F.lit(""))
-                      ).otherwise(V.only_string(item))
-        return F.struct(pos.alias("pos"), name.alias("name"),
-                        V.member(item, "arguments").alias("args"))
-
-    return F.filter(F.transform(V.elements(payload), entry), lambda e: e["name"].isNotNull())
+    kind = V.json_type(item)
+    return F.coalesce(
+        V.text(item, "name"),
+        F.when(kind == "STRING", F.try_variant_get(item, "$", "string"))
+        .when(kind.startswith("OBJECT"), ""))
 
 
 def tool_entries(messages: DataFrame) -> DataFrame:
-    """One row per recorded tool call: id, session_id, pos, name, args VARIANT."""
+    """One row per recorded tool call: id, session_id, pos, name, args VARIANT.
+
+    Payloads that are no JSON list, and items that are no call, give no rows.
+    """
+    item = F.col("item")
     return (
         role_rows(messages, C.TOOL_LOG)
         .select("id", "session_id",
-                F.explode(entry_structs(F.try_parse_json("content"))).alias("e"))
-        .select("id", "session_id", "e.pos", "e.name", "e.args")
+                F.posexplode(V.elements(F.try_parse_json("content"))).alias("pos", "item"))
+        .select("id", "session_id", "pos", entry_name(item).alias("name"),
+                V.member(item, "arguments").alias("args"))
+        .where(F.col("name").isNotNull())
     )
 
 
 def tool_names(payload: Column) -> Column:
     """The distinct non-empty tool names of a payload, sorted."""
-    names = F.transform(entry_structs(payload), lambda e: e["name"])
+    names = F.transform(V.elements(payload), entry_name)
     return F.array_sort(F.array_distinct(F.filter(names, lambda n: n != "")))
 
 

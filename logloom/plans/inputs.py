@@ -3,6 +3,8 @@
 Row-local projections only, so each works on a batch and on a stream.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +31,17 @@ def _text(template: str, **columns) -> Column:
     return parts
 
 
-def _lines(rows: DataFrame, lines: list[tuple[int, str, Column]]) -> DataFrame:
-    line = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(role).alias("role"),
-                              content.alias("content")) for n, role, content in lines])
-    return (
-        rows.select("event_id", "user_id", "ts",
-                    F.explode(F.filter(line, lambda r: r["content"].isNotNull())).alias("r"))
-        .select((F.col("event_id") * 4 + F.col("r.n")).alias("id"),
-                _session().alias("session_id"), _iso(F.col("ts")).alias("timestamp"),
-                "r.role", "r.content")
-    )
+def _log_rows(rows: DataFrame, offset: int, role: str, when: Column,
+              content: Column) -> DataFrame:
+    return rows.where(when).select(
+        (F.col("event_id") * 4 + offset).alias("id"), _session().alias("session_id"),
+        _iso(F.col("ts")).alias("timestamp"), F.lit(role).alias("role"),
+        content.alias("content"))
+
+
+def _union(*parts: DataFrame) -> DataFrame:
+    """One part per role, so that a filter on the role drops the other parts."""
+    return reduce(DataFrame.unionByName, parts)
 
 
 def event_log(events: DataFrame) -> DataFrame:
@@ -69,18 +72,16 @@ def event_log(events: DataFrame) -> DataFrame:
         .when(kind == "click", _text(
             '[{"name":"record_feedback_tool","arguments":{"rating":{r}}}]', r=rating))
     )
-    graded = F.when((kind == "error") & every(4), '{"attempts":2,"passed":true}').when(
-        (kind == "error") & every(2), _text(
-            '{"attempts":3,"passed":false,"max_retries_exceeded":true,"user_message":"{q}",'
-            '"final_response":"a{i}","rejections":[{"attempt":1,"response":"a{i}",'
-            '"feedback":"f","tools_used":["record_unknown_question"]}]}', q=q, i=i))
-    return _lines(events, [
-        (0, USER, F.when(~blocked, q)),
-        (1, ASSISTANT, F.when(~blocked, _text("a{i}", i=i))),
-        (0, GUARDRAIL_LOG, F.when(blocked, reason)),
-        (2, TOOL_LOG, tools),
-        (3, EVALUATOR_LOG, graded),
-    ])
+    graded = F.when(every(4), '{"attempts":2,"passed":true}').otherwise(_text(
+        '{"attempts":3,"passed":false,"max_retries_exceeded":true,"user_message":"{q}",'
+        '"final_response":"a{i}","rejections":[{"attempt":1,"response":"a{i}",'
+        '"feedback":"f","tools_used":["record_unknown_question"]}]}', q=q, i=i))
+    return _union(
+        _log_rows(events, 0, USER, ~blocked, q),
+        _log_rows(events, 1, ASSISTANT, ~blocked, _text("a{i}", i=i)),
+        _log_rows(events, 0, GUARDRAIL_LOG, blocked, reason),
+        _log_rows(events, 2, TOOL_LOG, kind != "view", tools),
+        _log_rows(events, 3, EVALUATOR_LOG, (kind == "error") & every(2), graded))
 
 
 def checklist_log(events: DataFrame) -> DataFrame:
@@ -93,7 +94,7 @@ def checklist_log(events: DataFrame) -> DataFrame:
             '[{"name":"mark_complete","arguments":{"index":{n},"completion_notes":"x"}}]',
             n=i % 4))
     )
-    return _lines(events, [(2, TOOL_LOG, tools)])
+    return _log_rows(events, 2, TOOL_LOG, kind.isin("signup", "click"), tools)
 
 
 def chat_log(conversations: DataFrame) -> DataFrame:
@@ -116,18 +117,17 @@ def chat_log(conversations: DataFrame) -> DataFrame:
             .when(~user & (n == 2), f'["{SCHEDULE_CALL}"]'))
     asked = F.when(user, turn).otherwise(turn - 1)
     at = F.timestamp_seconds(F.lit(1704067200) + conv * 3600 + asked * 60)
-    lines = F.array(
-        F.struct(F.lit(0).alias("n"), role.alias("role"),
-                 F.concat("text", planted).alias("content")),
-        F.struct(F.lit(50).alias("n"), F.lit(TOOL_LOG).alias("role"), used.alias("content")))
-    return (
-        conversations.where(role.isin(USER, ASSISTANT))
-        .select("conv_id", "turn", at.alias("at"),
-                F.explode(F.filter(lines, lambda r: r["content"].isNotNull())).alias("r"))
-        .select((F.col("conv_id") * 100 + F.col("turn") + F.col("r.n")).alias("id"),
-                F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"),
-                _iso(F.col("at")).alias("timestamp"), "r.role", "r.content")
-    )
+
+    def rows(offset, when, role, content):
+        return conversations.where(when).select(
+            (conv * 100 + turn + offset).alias("id"),
+            F.concat(F.lit("c"), conv.cast("string")).alias("session_id"),
+            _iso(at).alias("timestamp"), role.alias("role"), content.alias("content"))
+
+    return _union(
+        rows(0, user, F.lit(USER), F.concat("text", planted)),
+        rows(0, role == ASSISTANT, F.lit(ASSISTANT), F.concat("text", planted)),
+        rows(50, (role == ASSISTANT) & n.isin(2, 6, 7), F.lit(TOOL_LOG), used))
 
 
 def drafts(events: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ flags AS (
          coalesce(bool_or(has_unknown), false) AS has_unknown
   FROM (SELECT session_id, role = 'user' AS has_user, false AS has_lead, false AS has_call,
                false AS has_unknown
-        FROM log WHERE role IN ('user', 'tool_log')
+        FROM log WHERE role = 'user'
         UNION ALL
         SELECT session_id, false, is_lead, name = '{C.SCHEDULE_CALL}', name = '{C.RECORD_UNKNOWN}'
         FROM truthy)

@@ -1,0 +1,87 @@
+"""The batch and the streaming rate limit against a plain loop."""
+
+import random
+from collections import defaultdict, deque
+
+import pytest
+from pyspark.sql import functions as F
+
+from logloom.operators.rate_limit import busy_cells, rate_limit_decisions
+
+START = 1_700_000_000
+
+
+def looped(rows, limit, window):
+    accepted = defaultdict(deque)
+    decisions = {}
+    for micros, number, session in sorted((r[2], r[0], r[1]) for r in rows):
+        bucket = accepted[session]
+        while bucket and micros - bucket[0] >= window * 1_000_000:
+            bucket.popleft()
+        decisions[number] = len(bucket) < limit
+        if decisions[number]:
+            bucket.append(micros)
+    return decisions
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, "id bigint, session_id string, us bigint").select(
+        "id", "session_id", F.timestamp_micros("us").alias("ts"))
+
+
+def decide(spark, rows, limit, window):
+    return {r["id"]: r["within_limit"]
+            for r in rate_limit_decisions(table(spark, rows), limit, window).collect()}
+
+
+def at(seconds):
+    return int((START + seconds) * 1_000_000)
+
+
+def test_twentieth_and_twenty_first(spark):
+    rows = [(i, "a", at(i)) for i in range(21)]
+    got = decide(spark, rows, 20, 300)
+    assert [i for i in got if not got[i]] == [20]
+
+
+def test_exactly_one_window_old_no_longer_counts(spark):
+    rows = [(i, "a", at(0)) for i in range(20)] + [
+        (20, "a", at(300) - 1), (21, "a", at(300)), (22, "a", at(300))]
+    got = decide(spark, rows, 20, 300)
+    assert (got[20], got[21], got[22]) == (False, True, True)
+
+
+def test_rejected_messages_are_not_charged(spark):
+    rows = [(i, "a", at(i)) for i in range(200)] + [(200, "a", at(301))]
+    assert decide(spark, rows, 20, 300)[200]
+
+
+def test_one_instant_holds_everything(spark):
+    rows = [(i, "a", at(5)) for i in range(500)]
+    got = decide(spark, rows, 20, 300)
+    assert [i for i in got if got[i]] == list(range(20))
+
+
+@pytest.mark.parametrize("limit, window, gap", [(20, 300, 9), (3, 60, 10), (1, 10, 7), (5, 300, 70)])
+def test_random_sessions_with_a_hot_one(spark, limit, window, gap):
+    rnd = random.Random(limit * window)
+    rows, clock = [], defaultdict(float)
+    for i in range(4000):
+        session = "hot" if rnd.random() < 0.4 else f"s{rnd.randrange(30)}"
+        pause = rnd.choice([0, 0.000001, 1, gap, gap * 3]) if rnd.random() < 0.97 else window * 2.5
+        clock[session] += pause * rnd.random()
+        rows.append((i, session, at(clock[session])))
+    assert decide(spark, rows, limit, window) == looped(rows, limit, window)
+
+
+def test_saturated_session_never_pauses(spark):
+    rows = [(i, "bot", at(i * 0.37)) for i in range(6000)]
+    assert decide(spark, rows, 20, 300) == looped(rows, 20, 300)
+
+
+def test_calm_sessions_need_no_ordered_pass(spark):
+    rows = [(i, f"s{i % 50}", at(i * 40)) for i in range(1000)]
+    cells = table(spark, rows).withColumn(
+        "_cell", F.floor(F.unix_micros("ts") / 300_000_000))
+    assert busy_cells(cells, 20).count() == 0
+    assert all(decide(spark, rows, 20, 300).values())
