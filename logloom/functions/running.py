@@ -12,10 +12,35 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK_IDS = 1 << 20
+BLOCKS = 4096
+CHUNKS = 20
+
+
+def block_width(messages: DataFrame, blocks: int = BLOCKS) -> int:
+    """A width that cuts the ids of a log into about ``blocks`` blocks.
+
+    Worth its scan of one column where ids are sparse (times in microseconds):
+    then most sessions lie in one block and few block rows are made.
+    """
+    low, high = messages.agg(F.min("id"), F.max("id")).first()
+    return 1 if low is None else max(1, -(-(high - low + 1) // blocks))
+
+
+def place(entry_id: Column, pos: Column) -> Column:
+    """(id, pos) as one number in the same order.
+
+    A number, unlike a struct, lets min and max run as hash aggregations.
+    """
+    return entry_id.cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + pos
+
+
+def whole_part(value: Column, width: int) -> Column:
+    """value / width rounded down, in integers."""
+    return F.call_function("div", value - F.pmod(value, F.lit(width)), F.lit(width))
 
 
 def _block(width: int) -> Column:
-    return F.floor(F.col("id") / width)
+    return whole_part(F.col("id"), width)
 
 
 def _preceding(keys):
@@ -76,12 +101,16 @@ def with_preceding(rows: DataFrame, keys: list[str], values: Column, count: int,
                    width: int = BLOCK_IDS) -> DataFrame:
     """Collect ``values`` of up to ``count`` rows before each row, oldest first.
 
-    Rows are numbered, cut into chunks of ``count`` positions, and each row is
-    also lent to the next chunk: a group holds at most ``2 * count`` rows.
+    Rows are numbered and cut into chunks of ``CHUNKS * count`` positions; the
+    last ``count`` rows of a chunk are also lent to the next. So a group holds
+    at most ``(CHUNKS + 1) * count`` rows, whatever the size of its key.
     """
     at = numbered(rows, keys, ["id"], "_at", width)
-    chunk = F.floor((F.col("_at") - 1) / count)
-    lent = at.withColumn("_chunk", F.explode(F.array(chunk, chunk + 1)))
+    size = CHUNKS * count
+    chunk = whole_part(F.col("_at") - 1, size)
+    near_end = (F.col("_at") - 1) % size >= size - count
+    lent = at.withColumn("_chunk", F.explode(
+        F.when(near_end, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))))
     frame = W.partitionBy(*keys, "_chunk").orderBy("_at").rowsBetween(-count, -1)
     return (
         lent.withColumn(name, F.collect_list(values).over(frame))

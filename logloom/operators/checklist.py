@@ -5,15 +5,19 @@ from pyspark.sql import functions as F
 
 from logloom import constants as C
 from logloom.functions import variant as V
-from logloom.functions.running import BLOCK_IDS, numbered
+from logloom.functions.running import BLOCK_IDS, numbered, place
+
+
+def _descriptions():
+    return V.text_list(V.member(F.col("args"), "descriptions"))
 
 
 def created_items(entries: DataFrame, width: int = BLOCK_IDS) -> DataFrame:
     """Items in order of creation, numbered from 1 within their session."""
-    descriptions = V.text_list(V.member(F.col("args"), "descriptions"))
     items = (
         entries.where(F.col("name") == C.CREATE_CHECKLIST)
-        .select("id", "pos", "session_id", F.posexplode(descriptions).alias("item_pos", "item"))
+        .select("id", "pos", "session_id",
+                F.posexplode(_descriptions()).alias("item_pos", "item"))
     )
     return numbered(items, ["session_id"], ["id", "pos", "item_pos"], "item_no", width)
 
@@ -37,13 +41,13 @@ def checklist_items(entries: DataFrame, width: int = BLOCK_IDS) -> DataFrame:
     reduced to one row per (session, index) before the join.
     """
     last_mark = marks(entries).groupBy("session_id", F.col("index").alias("item_no")).agg(
-        F.max(F.struct("id", "pos")).alias("last_mark"))
+        F.max(place(F.col("id"), F.col("pos"))).alias("last_mark"))
     return (
         created_items(entries, width)
         .join(last_mark, ["session_id", "item_no"], "left")
         .select("session_id", "item_no", "item",
-                F.coalesce(F.col("last_mark") > F.struct("id", "pos"), F.lit(False))
-                .alias("done"))
+                F.coalesce(F.col("last_mark") > place(F.col("id"), F.col("pos")),
+                           F.lit(False)).alias("done"))
     )
 
 
@@ -59,21 +63,26 @@ def bad_marks(entries: DataFrame, width: int = BLOCK_IDS) -> DataFrame:
     )
 
 
-def checklist_report(items: DataFrame, sessions: DataFrame) -> DataFrame:
+def checklist_report(entries: DataFrame, sessions: DataFrame,
+                     width: int = BLOCK_IDS) -> DataFrame:
     """Report lines per session in item order; one line for a session without items.
 
     Lines stay rows, since a session's report has no size bound:
     ``orderBy("session_id", "line_no")`` prints it.
     """
-    lines = items.select(
+    lines = checklist_items(entries, width).select(
         "session_id", F.col("item_no").alias("line_no"),
         F.concat(F.lit("Checklist #"), F.col("item_no").cast("string"),
                  F.when(F.col("done"), ": [x] ").otherwise(": [ ] "),
                  F.col("item")).alias("line"))
-    empty = (
-        sessions.select("session_id").distinct()
-        .join(items.select("session_id").distinct(), "session_id", "left_anti")
+    creates = F.coalesce((F.col("name") == C.CREATE_CHECKLIST) & (F.size(_descriptions()) > 0),
+                         F.lit(False))
+    without_items = (
+        sessions.select("session_id", F.lit(False).alias("creates"))
+        .unionByName(entries.where(creates).select("session_id", F.lit(True).alias("creates")))
+        .groupBy("session_id").agg(F.bool_or("creates").alias("creates"))
+        .where(~F.col("creates"))
         .select("session_id", F.lit(0).cast("bigint").alias("line_no"),
                 F.lit(C.NO_CHECKLIST).alias("line"))
     )
-    return lines.unionByName(empty)
+    return lines.unionByName(without_items)

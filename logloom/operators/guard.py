@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom import constants as C
-from logloom.functions.text import matches, matches_any, strip
+from logloom.functions.text import matches, matches_any, preview, strip
 from logloom.operators.rate_limit import with_rate_limit
 
 
@@ -39,10 +39,14 @@ def guard_decisions(messages: DataFrame, verdicts: DataFrame | None = None,
 
     ``messages`` holds id, session_id, ts, content. ``verdicts`` holds id and
     the classifier's verdict; a message without one is blocked. With no verdict
-    table at all the rules alone decide.
+    table at all the rules alone decide. Texts are tested where they are read;
+    only their preview goes on.
     """
-    rows = with_rate_limit(messages, limit, window_seconds)
-    unsafe = is_unsafe(F.col("content"))
+    content = F.col("content")
+    rows = with_rate_limit(
+        messages.select("id", "session_id", "ts", preview(content).alias("preview"),
+                        is_unsafe(content).alias("_unsafe")), limit, window_seconds)
+    unsafe = F.col("_unsafe")
     if verdicts is not None:
         rows = rows.join(verdicts.select("id", "verdict"), "id", "left")
         unsafe = unsafe | ~verdict_is_safe(F.col("verdict"))
@@ -51,7 +55,7 @@ def guard_decisions(messages: DataFrame, verdicts: DataFrame | None = None,
              .when(F.col("reason") == "unsafe", C.REPLY_BLOCKED).otherwise(""))
     return (
         rows.withColumn("reason", reason)
-        .select("id", "session_id", "ts", "content",
+        .select("id", "session_id", "ts", "preview",
                 F.col("reason").isNull().alias("allowed"), "reason", reply.alias("reply"))
     )
 

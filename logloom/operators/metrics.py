@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logloom import constants as C
 from logloom.functions import variant as V
+from logloom.functions.running import place
 from logloom.functions.text import percent
 from logloom.operators.payload import tool_entries
 from logloom.sources.log import role_rows, with_day
@@ -127,7 +128,7 @@ def asked_questions(entries: DataFrame) -> DataFrame:
     return (
         entries.where((F.col("name") == C.RECORD_UNKNOWN) & V.truthy(question))
         .select(V.text(F.col("args"), "question").alias("question"),
-                F.struct("id", "pos").alias("at"))
+                place(F.col("id"), F.col("pos")).alias("at"))
         .groupBy("question").agg(F.count(F.lit(1)).alias("times"), F.min("at").alias("first"))
     )
 

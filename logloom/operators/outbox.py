@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from logloom import constants as C
 from logloom.functions import variant as V
-from logloom.functions.text import preview
 
 
 NONE = "None"
@@ -50,7 +49,7 @@ def block_notices(decisions: DataFrame) -> DataFrame:
     short = F.substring("session_id", 1, C.SESSION_PREFIX_CHARS)
     text = F.when(F.col("reason") == "rate_limit",
                   F.format_string(C.NOTICE_RATE_LIMIT, short)).otherwise(
-        F.format_string(C.NOTICE_UNSAFE, preview(F.col("content"))))
+        F.format_string(C.NOTICE_UNSAFE, F.col("preview")))
     return decisions.where(~F.col("allowed")).select(
         "id", F.lit(0).alias("pos"), F.concat(F.lit("blocked_"), F.col("reason")).alias("kind"),
         text.alias("text"))

@@ -13,67 +13,97 @@ must follow that order is cut down first:
    independent of each other.
 3. Of the messages of one instant only the first ``limit`` can get in; the rest
    are dropped before the shuffle, as rejected.
-4. What is left is gathered in time slices far shorter than the window, and the
-   slices of a run stream in order through one carry of ``limit`` timestamps.
-   The carry jumps from one accepted message to the next inside a slice.
-
-A slice yields the ids it accepts, at most about ``limit`` of them, and messages
-look their slice up in that. No step gathers a session or a run.
+4. What is left is gathered and sorted in slices of a cell. The ordered pass
+   gets the bare times, a number per message: the slices of a run stream through
+   one carry of ``limit`` times, which jumps from one accepted message to the
+   next.
+
+A cell accepts at most ``limit`` messages, being one window long; messages look
+their cell up in that short list of ids. No step holds a session or a run: the
+ordered pass keeps one Arrow batch and the carry.
 """
 
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom import constants as C
+from logloom.functions.running import whole_part
 from logloom.functions.sliding import admit
 
-SLICES_PER_WINDOW = 50
 MICROS = 1_000_000
+SLICE_ROWS = 10_000
+SLICE = ["session_id", "_run", "_cell", "_slice"]
 
 
 def busy_cells(rows: DataFrame, limit: int) -> DataFrame:
-    """Cells whose messages need the ordered pass, and the run each belongs to."""
+    """Cells whose messages need the ordered pass: their size and their run."""
     by_cell = W.partitionBy("session_id").orderBy("_cell")
 
-    def neighbour(column, step):
-        move = F.lag if step < 0 else F.lead
-        beside = move("_cell", 1).over(by_cell) == F.col("_cell") + step
-        return F.when(beside, move(column, 1).over(by_cell))
+    def beside(move, step):
+        """The count of the adjoining cell, NULL if that is empty."""
+        adjoins = move("_cell", 1).over(by_cell) == F.col("_cell") + step
+        return F.when(adjoins, move("_n", 1).over(by_cell))
 
-    cells = (
-        rows.groupBy("session_id", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_busy", F.col("_n") + F.coalesce(neighbour("_n", -1), F.lit(0)) > limit)
-        .withColumn("_lead_in", ~F.col("_busy") & F.coalesce(neighbour("_busy", 1), F.lit(False)))
-        .where(F.col("_busy") | F.col("_lead_in"))
-    )
-    first = F.col("_lead_in") | F.isnull(neighbour("_n", -1))
+    n, before, after = F.col("_n"), F.col("_before"), F.col("_after")
+    busy = n + F.coalesce(before, F.lit(0)) > limit
+    lead_in = ~busy & F.coalesce(n + after > limit, F.lit(False))
+    starts = lead_in | before.isNull()
     return (
-        cells.withColumn("_first", first)
-        .withColumn("_run", F.max(F.when(F.col("_first"), F.col("_cell"))).over(by_cell))
-        .select("session_id", "_cell", "_run")
+        rows.groupBy("session_id", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumns({"_before": beside(F.lag, -1), "_after": beside(F.lead, 1)})
+        .where(busy | lead_in)
+        .withColumn("_run", F.max(F.when(starts, F.col("_cell"))).over(by_cell))
+        .select("session_id", "_cell", "_n", "_run")
     )
 
 
-def _accept(limit: int, window: int):
+def _ordered_pass(limit: int, window: int):
     def over_slices(batches):
         run, carry = None, deque(maxlen=limit)
         for batch in batches:
-            accepted = []
-            for key, times, ids in zip(zip(batch["session_id"], batch["_run"]),
-                                       batch["_times"], batch["_ids"]):
-                if key != run:
-                    run, carry = key, deque(maxlen=limit)
-                accepted.append(ids[admit(times, carry, window)])
-            yield pd.DataFrame({"session_id": batch["session_id"], "_slice": batch["_slice"],
-                                "_accepted": accepted})
+            taken = []
+            for session, first, times in zip(batch["session_id"], batch["_run"], batch["_times"]):
+                if (session, first) != run:
+                    run, carry = (session, first), deque(maxlen=limit)
+                taken.append(admit(times, carry, window))
+            yield batch[SLICE].assign(_taken=taken)
 
     return over_slices
 
 
+def _accepted(rows: DataFrame, limit: int, window: int) -> DataFrame:
+    """Per busy cell, the ids that get in."""
+    in_cell = F.col("_at") - F.col("_cell") * window
+    parts = whole_part(F.col("_n"), SLICE_ROWS) + 1
+    instant = W.partitionBy("session_id", "_at").orderBy("id")
+    slices = (
+        rows.select("session_id", "_cell", "_at", "id")
+        .join(busy_cells(rows, limit), ["session_id", "_cell"])
+        .withColumn("_slice", whole_part(in_cell * parts, window))
+        .withColumn("_nth", F.row_number().over(instant))
+        .where(F.col("_nth") <= limit)
+        # both uses of the slices read this one shuffle
+        .repartition(*SLICE)
+        .groupBy(*SLICE)
+        .agg(F.sort_array(F.collect_list(F.struct("_at", "id"))).alias("_rows"))
+    )
+    taken = (
+        slices.select(*SLICE, F.col("_rows._at").alias("_times"))
+        .repartition("session_id", "_run").sortWithinPartitions(*SLICE)
+        .mapInPandas(_ordered_pass(limit, window),
+                     "session_id string, _run bigint, _cell bigint, _slice bigint, "
+                     "_taken array<int>")
+    )
+    ids = F.transform("_taken", lambda i: F.col("_rows.id")[i])
+    return (
+        slices.join(taken, SLICE, "left")
+        .groupBy("session_id", "_cell").agg(F.flatten(F.collect_list(ids)).alias("_accepted"))
+    )
+
+
 def with_rate_limit(messages: DataFrame, limit: int = C.RATE_LIMIT,
                     window_seconds: int = C.RATE_WINDOW_SECONDS) -> DataFrame:
     """Add ``within_limit`` to messages with id, session_id and ts.
@@ -82,34 +112,13 @@ def with_rate_limit(messages: DataFrame, limit: int = C.RATE_LIMIT,
     old no longer counts.
     """
     window = window_seconds * MICROS
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = (
-        messages.withColumn("_at", at)
-        .withColumn("_cell", F.floor(F.col("_at") / window))
-        .withColumn("_slice", F.floor(F.col("_at") / (window // SLICES_PER_WINDOW)))
-    )
-    instant = W.partitionBy("session_id", "_at").orderBy("id")
-    pending = (
-        rows.select("session_id", "_cell", "_slice", "_at", "id")
-        .join(busy_cells(rows, limit), ["session_id", "_cell"])
-        .withColumn("_nth", F.row_number().over(instant))
-        .where(F.col("_nth") <= limit)
-    )
-    slices = (
-        pending.groupBy("session_id", "_run", "_slice")
-        .agg(F.sort_array(F.collect_list(F.struct("_at", "id"))).alias("_rows"))
-        .select("session_id", "_run", "_slice", F.col("_rows._at").alias("_times"),
-                F.col("_rows.id").alias("_ids"))
-    )
-    accepted = (
-        slices.repartition("session_id", "_run")
-        .sortWithinPartitions("session_id", "_run", "_slice")
-        .mapInPandas(_accept(limit, window),
-                     "session_id string, _slice bigint, _accepted array<bigint>")
+        messages.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+        .withColumn("_cell", whole_part(F.col("_at"), window))
     )
     inside = F.coalesce(F.array_contains("_accepted", F.col("id")), F.lit(True))
     return (
-        rows.join(accepted, ["session_id", "_slice"], "left")
+        rows.join(_accepted(rows, limit, window), ["session_id", "_cell"], "left")
         .withColumn("within_limit", inside)
         .select(*messages.columns, "within_limit")
     )

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from logloom import constants as C
 from logloom.functions.running import BLOCK_IDS, with_preceding
+from logloom.functions.text import contains_any
 from logloom.operators.guard import is_unsafe
-from logloom.operators.quality import TO_JUDGE, operational_turns
+from logloom.operators.quality import TO_JUDGE
 from logloom.sources.log import role_rows
 
 HISTORY_LIMIT = 50
@@ -43,36 +44,44 @@ def _filled(template: str, **columns):
     return parts
 
 
+def _last(items, count: int):
+    return F.slice(items, F.greatest(F.size(items) - count + 1, F.lit(1)), F.lit(count))
+
+
 def chat_requests(messages: DataFrame, system_text: str, revisions: DataFrame | None = None,
                   history_limit: int = HISTORY_LIMIT, max_words: int = C.MAX_WORDS,
                   width: int = BLOCK_IDS) -> DataFrame:
     """A chat request per user message: system text, revision note, history, message.
 
     ``revisions`` (id, feedback) asks for a new draft of some messages.
-    ``history_limit`` is the size of the model's message window; each group that
-    collects history holds at most twice as many rows, whatever the session.
+    ``history_limit`` is the size of the model's message window.
     """
-    talk = role_rows(messages, C.USER, C.ASSISTANT).select("id", "session_id", "role", "content")
+    rows = role_rows(messages, C.USER, C.ASSISTANT).select(
+        "id", "session_id", "role", "content", contains_any(
+            F.col("content"), C.OPERATIONAL_HINTS).alias("hint"))
+    if revisions is not None:
+        # joined before the histories are there, while rows are small
+        rows = rows.join(revisions.select("id", "feedback"), "id", "left")
     entry = F.struct("role", "content")
-    rows = with_preceding(talk, ["session_id"], entry, history_limit, "history", width)
+    rows = with_preceding(rows, ["session_id"], F.struct(entry.alias("entry"), "hint"),
+                          max(history_limit, C.HISTORY_LOOKBACK), "before", width)
     rows = rows.where(F.col("role") == C.USER)
+    history = _last(F.transform("before", lambda b: b["entry"]), history_limit)
 
     def system(text):
         return F.array(F.struct(F.lit("system").alias("role"), text.alias("content")))
 
     note = F.array().cast("array<struct<role:string,content:string>>")
     if revisions is not None:
-        rows = (
-            rows.join(revisions.select("id", "feedback"), "id", "left")
-            .join(operational_turns(messages, width=width).select("id", "operational"), "id")
-        )
+        operational = F.col("hint") | F.exists(
+            _last(F.col("before"), C.HISTORY_LOOKBACK), lambda b: b["hint"])
         args = {"feedback": F.col("feedback"), "max_words": F.lit(str(max_words))}
-        text = F.when(F.col("operational"), _filled(REVISE_OPERATIONAL, **args)).otherwise(
+        text = F.when(operational, _filled(REVISE_OPERATIONAL, **args)).otherwise(
             _filled(REVISE_GROUNDED, **args))
         note = F.when(F.col("feedback") != "", system(text)).otherwise(note)
     return rows.select(
         "id", "session_id",
-        F.concat(system(F.lit(system_text)), note, "history", F.array(entry)).alias("messages"))
+        F.concat(system(F.lit(system_text)), note, history, F.array(entry)).alias("messages"))
 
 
 def guard_requests(messages: DataFrame, instruction: str = GUARD_INSTRUCTION) -> DataFrame:

@@ -230,7 +230,7 @@ def checklist_items(t: Tables) -> DataFrame:
 
 
 def checklist_report(t: Tables) -> DataFrame:
-    return checklist.checklist_report(checklist_items(t), t.checklist_entries)
+    return checklist.checklist_report(t.checklist_entries, t.checklist_entries)
 
 
 def checklist_bad_marks(t: Tables) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logloom import constants as C
+from logloom.functions.text import preview
 from logloom.operators import metrics
 from logloom.operators.guard import is_unsafe
 from logloom.operators.payload import tool_entries
@@ -149,7 +150,8 @@ def screened(messages: DataFrame) -> DataFrame:
     """Decide each message by the rules alone; no state, no shuffle."""
     unsafe = is_unsafe(F.col("content"))
     return messages.select(
-        "id", "session_id", "ts", "content", (~unsafe).alias("allowed"),
+        "id", "session_id", "ts", preview(F.col("content")).alias("preview"),
+        (~unsafe).alias("allowed"),
         F.when(unsafe, "unsafe").alias("reason"))
 
 

@@ -210,7 +210,7 @@ def test_checklist_report(log_rows, spark):
         call(C.CREATE_CHECKLIST, descriptions=["a", "b"]),
         call(C.MARK_COMPLETE, index=2, completion_notes="")]))
     sessions = spark.createDataFrame([("s",), ("t",), ("t",)], "session_id string")
-    report = checklist.checklist_report(checklist.checklist_items(rows), sessions)
+    report = checklist.checklist_report(rows, sessions)
     assert [r.line for r in report.orderBy("session_id", "line_no").collect()] == [
         "Checklist #1: [ ] a", "Checklist #2: [x] b", "No checklist items yet."]
 

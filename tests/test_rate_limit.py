@@ -6,6 +6,8 @@ from collections import defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.functions.running import whole_part
+from logloom.operators import rate_limit
 from logloom.operators.rate_limit import busy_cells, rate_limit_decisions
 
 START = 1_700_000_000
@@ -82,6 +84,18 @@ def test_saturated_session_never_pauses(spark):
 def test_calm_sessions_need_no_ordered_pass(spark):
     rows = [(i, f"s{i % 50}", at(i * 40)) for i in range(1000)]
     cells = table(spark, rows).withColumn(
-        "_cell", F.floor(F.unix_micros("ts") / 300_000_000))
+        "_cell", whole_part(F.unix_micros("ts"), 300_000_000))
     assert busy_cells(cells, 20).count() == 0
     assert all(decide(spark, rows, 20, 300).values())
+
+
+def test_cells_cut_into_slices(spark, monkeypatch):
+    monkeypatch.setattr(rate_limit, "SLICE_ROWS", 7)
+    rnd = random.Random(5)
+    rows = [(i, "hot" if i % 3 else "b", at(i * 0.9 + rnd.choice([0, 0.5]))) for i in range(3000)]
+    assert decide(spark, rows, 20, 300) == looped(rows, 20, 300)
+
+
+def test_times_before_1970(spark):
+    rows = [(i, "a", (i - 100) * 20_000_000) for i in range(200)]
+    assert decide(spark, rows, 5, 300) == looped(rows, 5, 300)
