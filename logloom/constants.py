@@ -66,6 +66,11 @@ UNSAFE_PATTERNS = [
     r"<\s*/?\s*system\s*>",
 ]
 
+# words, in lower case, one of which occurs in every text that matches a pattern above
+UNSAFE_NEEDLES = [
+    "instructions", "instrucciones", "prompt", "a como ", "jailbreak", "system",
+]
+
 # --- fixed values: answer-rule patterns ----------------------------------------
 AGE_QUESTION = r"\b(edad|años|año|cuántos años|cuantos años|how old|age|nació|nacimiento|birth)\b"
 AGE_CLAIMS = [

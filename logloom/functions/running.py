@@ -69,17 +69,20 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str,
     )
 
 
-def within_last(rows: DataFrame, keys: list[str], flag: str, lookback: int, name: str,
+def within_last(rows: DataFrame, keys: list[str], flag: Column, lookback: int, name: str,
                 width: int = BLOCK_IDS) -> DataFrame:
-    """Is ``flag`` set on the row or on one of its ``lookback`` predecessors by id.
+    """Does ``flag`` hold on the row or on one of its ``lookback`` predecessors by id.
 
     Carries two running values per key across blocks: rows so far, and the
-    position of the last flagged row.
+    position of the last flagged row. Where ``rows`` has no columns but id, keys
+    and those of ``flag``, the block summary reads the same shuffle as the rows.
     """
     inside = W.partitionBy(*keys, "_block").orderBy("id")
     rows = rows.withColumn("_block", _block(width))
+    for column in [*keys, "_block"]:
+        rows = rows.where(F.col(column).isNotNull())
     local = rows.withColumn("_local", F.row_number().over(inside)).withColumn(
-        "_hit", F.max(F.when(F.col(flag), F.col("_local"))).over(inside))
+        "_hit", F.max(F.when(flag, F.col("_local"))).over(inside))
     blocks = (
         local.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"),
                                            F.max("_hit").alias("_last"))

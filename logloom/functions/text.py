@@ -12,6 +12,7 @@ from logloom import constants as C
 FLAGS = "(?iUd)"
 # str.split() whitespace is White_Space plus the four separators \x1c-\x1f
 SPACE = r"[\s\x1c-\x1f]"
+ODD_CASE = ["\u017f", "\u0131", "\u0130", "\u212a"]
 NOT_SPACE = r"[^\s\x1c-\x1f]"
 
 
@@ -24,6 +25,17 @@ def matches_any(text: Column, patterns) -> Column:
     return reduce(or_, [matches(text, p) for p in patterns])
 
 
+def gated(text: Column, needles, test: Column) -> Column:
+    """Run a costly case-blind test only on texts that hold one of the needles.
+
+    Letters that are not ASCII but equal an ASCII letter when case is ignored
+    would slip past the plain search, so texts with one are tested as well.
+    """
+    odd = reduce(or_, [F.contains(text, F.lit(c)) for c in ODD_CASE])
+    return F.when(contains_any(text, needles) | F.coalesce(odd, F.lit(False)), test).otherwise(
+        False)
+
+
 def contains_any(text: Column, words) -> Column:
     """Plain substring search in the lower-cased text."""
     low = F.lower(text)
@@ -43,6 +55,10 @@ def preview(text: Column, chars: int = C.PREVIEW_CHARS) -> Column:
                     F.when(F.length(text) > chars, "...").otherwise(""))
 
 
+def iso_utc(ts: Column) -> Column:
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
 def percent(part: Column, whole: Column) -> Column:
     """Share in percent to one digit, ties to even; 0.0 of nothing is 0.0."""
     return F.when(whole > 0, F.bround(part / whole * 100, 1)).otherwise(F.lit(0.0))

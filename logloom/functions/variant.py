@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def begins_object(text: Column) -> Column:
+    """Can the text be a JSON object: its first character that is no space is {."""
+    return F.ltrim(text, F.lit(" \t\r\n")).startswith("{")
+
+
 def elements(v: Column) -> Column:
     """The items of a JSON list, NULL for anything else."""
     return F.try_variant_get(v, "$", "array<variant>")
@@ -58,13 +63,11 @@ def integer(v: Column) -> Column:
 
 def is_true(v: Column) -> Column:
     """JSON ``true`` itself, not a value that merely converts to it."""
-    return F.coalesce((json_type(v) == "BOOLEAN") & F.try_variant_get(v, "$", "boolean"),
-                      F.lit(False))
+    return F.coalesce(F.to_json(v) == "true", F.lit(False))
 
 
 def is_false(v: Column) -> Column:
-    return F.coalesce((json_type(v) == "BOOLEAN") & ~F.try_variant_get(v, "$", "boolean"),
-                      F.lit(False))
+    return F.coalesce(F.to_json(v) == "false", F.lit(False))
 
 
 def string_list(v: Column) -> Column:

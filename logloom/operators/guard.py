@@ -4,19 +4,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom import constants as C
-from logloom.functions.text import matches, matches_any, preview, strip
+from logloom.functions.text import gated, iso_utc, matches, matches_any, preview, strip
 from logloom.operators.rate_limit import with_rate_limit
 
 
 def is_unsafe(text: Column, patterns=None) -> Column:
-    return matches_any(text, patterns or C.UNSAFE_PATTERNS)
+    if patterns is not None:
+        return matches_any(text, patterns)
+    return gated(text, C.UNSAFE_NEEDLES, matches_any(text, C.UNSAFE_PATTERNS))
 
 
 def unsafe_messages(messages: DataFrame, patterns=None) -> DataFrame:
     """User messages that match a rule, with the 1-based numbers of the rules."""
-    patterns = patterns or C.UNSAFE_PATTERNS
     rules = F.array_compact(F.array(*[
-        F.when(matches(F.col("content"), p), F.lit(n)) for n, p in enumerate(patterns, 1)]))
+        F.when(matches(F.col("content"), p), F.lit(n))
+        for n, p in enumerate(patterns or C.UNSAFE_PATTERNS, 1)]))
     return (
         messages.where((F.col("role") == C.USER) & is_unsafe(F.col("content"), patterns))
         .select("id", "session_id", "content", rules.alias("matched_rules"))
@@ -60,10 +62,6 @@ def guard_decisions(messages: DataFrame, verdicts: DataFrame | None = None,
     )
 
 
-def iso_utc(ts: Column) -> Column:
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
-
-
 def block_rows(decisions: DataFrame) -> DataFrame:
     """Log rows for the blocked messages; a blocked message leaves no user row."""
     return decisions.where(~F.col("allowed")).select(

@@ -70,25 +70,26 @@ def evaluator_entries(messages: DataFrame) -> DataFrame:
     """Grading rows of both shapes; rows that hold no JSON object are skipped.
 
     ``passed_is_false`` and ``has_user_message`` keep what the typed columns
-    lose: a literal JSON false, and a message that is not empty.
+    lose: a literal JSON false, and a message that is not empty. All columns
+    come out of one generator, below which later filters do not move; so each
+    payload is parsed once.
     """
     v = F.col("v")
+    columns = F.struct(
+        F.try_variant_get(v, "$.attempts", "bigint").alias("attempts"),
+        F.try_variant_get(v, "$.passed", "boolean").alias("passed"),
+        F.try_variant_get(v, "$.max_retries_exceeded", "boolean").alias("max_retries_exceeded"),
+        V.text(v, "user_message").alias("user_message"),
+        V.text(v, "final_response").alias("final_response"),
+        _rejection_structs(V.member(v, "rejections")).alias("rejections"),
+        V.is_false(V.member(v, "passed")).alias("passed_is_false"),
+        V.truthy(V.member(v, "user_message")).alias("has_user_message"),
+    )
     return (
-        role_rows(messages, C.EVALUATOR_LOG)
+        role_rows(messages, C.EVALUATOR_LOG).where(V.begins_object(F.col("content")))
         .select("id", "session_id", "timestamp", F.try_parse_json("content").alias("v"))
-        .where(V.fields(v).isNotNull())
-        .select(
-            "id", "session_id", "timestamp",
-            F.try_variant_get(v, "$.attempts", "bigint").alias("attempts"),
-            F.try_variant_get(v, "$.passed", "boolean").alias("passed"),
-            F.try_variant_get(v, "$.max_retries_exceeded", "boolean")
-            .alias("max_retries_exceeded"),
-            V.text(v, "user_message").alias("user_message"),
-            V.text(v, "final_response").alias("final_response"),
-            _rejection_structs(V.member(v, "rejections")).alias("rejections"),
-            V.is_false(V.member(v, "passed")).alias("passed_is_false"),
-            V.truthy(V.member(v, "user_message")).alias("has_user_message"),
-        )
+        .select("id", "session_id", "timestamp",
+                F.inline(F.when(v.isNotNull(), F.array(columns))))
     )
 
 

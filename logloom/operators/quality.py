@@ -29,14 +29,17 @@ def operational_turns(messages: DataFrame, lookback: int = C.HISTORY_LOOKBACK,
     """User messages with scheduling or contact language in them or shortly before.
 
     No hint holds a space, so a hint occurs in the joined text if and only if it
-    occurs in one of the messages. Only a flag per message is shuffled.
+    occurs in one of the messages. Only a number per message is shuffled: 1 for
+    a user's, 2 more for one with a hint.
     """
-    flagged = role_rows(messages, C.USER, C.ASSISTANT).select(
-        "id", "session_id", "role",
-        contains_any(F.col("content"), C.OPERATIONAL_HINTS).alias("_hint"))
+    hint = contains_any(F.col("content"), C.OPERATIONAL_HINTS)
+    signs = role_rows(messages, C.USER, C.ASSISTANT).select(
+        "id", "session_id",
+        (F.when(F.col("role") == C.USER, 1).otherwise(0) + F.when(hint, 2).otherwise(0))
+        .alias("sign"))
     return (
-        within_last(flagged, ["session_id"], "_hint", lookback, "operational", width)
-        .where(F.col("role") == C.USER)
+        within_last(signs, ["session_id"], F.col("sign") >= 2, lookback, "operational", width)
+        .where(F.col("sign") % 2 == 1)
         .select("id", "session_id", "operational")
     )
 
@@ -91,7 +94,7 @@ def judge_verdicts(verdicts: DataFrame) -> DataFrame:
     Text that is no JSON object fails with a standard feedback.
     """
     v = F.col("_v")
-    parsed = V.fields(v).isNotNull()
+    parsed = V.begins_object(F.col("verdict")) & v.isNotNull()
     return (
         verdicts.withColumn("_v", F.try_parse_json("verdict"))
         .withColumn("pass", V.is_true(V.member(v, "pass")))

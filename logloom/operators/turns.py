@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom import constants as C
+from logloom.functions.text import iso_utc
 from logloom.operators.payload import tool_names
 from logloom.operators.quality import used_operational_tool
 from logloom.sources.log import role_rows
@@ -91,9 +92,11 @@ def turns_to_log(turns: DataFrame) -> DataFrame:
 
     Input: id (first of four free ids), session_id, timestamp, user_message,
     response, tools_used (any array, or NULL), attempts, passed,
-    evaluator_detail (JSON text or NULL). A turn graded once writes no grading
-    row unless it carries a detail.
+    evaluator_detail (JSON text or NULL). A turn without a timestamp gets the
+    current one. A turn graded once writes no grading row unless it carries a
+    detail.
     """
+    timestamp = F.coalesce("timestamp", iso_utc(F.current_timestamp())).alias("timestamp")
     used = F.when(F.size("tools_used") > 0, F.to_json("tools_used"))
     short = F.when(F.col("attempts") > 0, F.to_json(F.struct("attempts", "passed")))
     rows = [
@@ -107,7 +110,7 @@ def turns_to_log(turns: DataFrame) -> DataFrame:
                  content.alias("content"))
         for n, (role, content) in enumerate(rows)])
     return (
-        turns.select("session_id", "timestamp",
+        turns.select("session_id", timestamp,
                      F.explode(F.filter(lines, lambda r: r["content"].isNotNull())).alias("r"))
         .select("r.id", "session_id", "timestamp", "r.role", "r.content")
     )

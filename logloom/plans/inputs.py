@@ -9,16 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.constants import (
-    ASSISTANT, EVALUATOR_LOG, GUARDRAIL_LOG, SCHEDULE_CALL, RECORD_UNKNOWN, TOOL_LOG, USER)
+    ASSISTANT, EVALUATOR_LOG, GUARDRAIL_LOG, RECORD_UNKNOWN, SCHEDULE_CALL, TOOL_LOG, USER)
+from logloom.functions.text import iso_utc
 
-ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 CONTEXT = "Works as a data engineer. Likes distributed systems."
 
 
-def _iso(ts: Column) -> Column:
-    return F.concat(F.date_format(ts, ISO), F.lit("+00:00"))
-
-
 def _session() -> Column:
     return F.concat(F.lit("s"), F.col("user_id").cast("string"), F.lit("-"),
                     F.col("ts").cast("date").cast("string"))
@@ -35,7 +31,7 @@ def _log_rows(rows: DataFrame, offset: int, role: str, when: Column,
               content: Column) -> DataFrame:
     return rows.where(when).select(
         (F.col("event_id") * 4 + offset).alias("id"), _session().alias("session_id"),
-        _iso(F.col("ts")).alias("timestamp"), F.lit(role).alias("role"),
+        iso_utc(F.col("ts")).alias("timestamp"), F.lit(role).alias("role"),
         content.alias("content"))
 
 
@@ -122,7 +118,7 @@ def chat_log(conversations: DataFrame) -> DataFrame:
         return conversations.where(when).select(
             (conv * 100 + turn + offset).alias("id"),
             F.concat(F.lit("c"), conv.cast("string")).alias("session_id"),
-            _iso(at).alias("timestamp"), role.alias("role"), content.alias("content"))
+            iso_utc(at).alias("timestamp"), role.alias("role"), content.alias("content"))
 
     return _union(
         rows(0, user, F.lit(USER), F.concat("text", planted)),

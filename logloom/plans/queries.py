@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import variant as V
+from logloom.functions.text import iso_utc
 from logloom.operators import (
     checklist, events, guard, metrics, mining, outbox, payload, quality, rate_limit, requests,
     turns)
@@ -92,7 +93,7 @@ def turns_to_log(t: Tables) -> DataFrame:
         outcome.join(at, "turn_id").select(
             (F.col("turn_id") * 4).alias("id"),
             F.concat(F.lit("t"), (F.col("turn_id") % 100).cast("string")).alias("session_id"),
-            guard.iso_utc(F.col("ts")).alias("timestamp"),
+            iso_utc(F.col("ts")).alias("timestamp"),
             asked.alias("user_message"), "response", F.col("tools").alias("tools_used"),
             "attempts", "passed",
             turns.evaluator_detail(F.col("max_retries_exceeded"), F.col("attempts"), asked,

@@ -22,6 +22,15 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LAYOUT_SCHEMA).parquet(path)
 
 
+def read_export(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Read a log exported by another program as JSON lines, CSV with header or ORC."""
+    reader = spark.read.schema(LOG_SCHEMA)
+    if fmt == "csv":
+        # texts may hold line breaks and doubled quotes
+        reader = reader.options(header=True, multiLine=True, quote='"', escape='"')
+    return reader.format(fmt).load(path)
+
+
 def stream_log(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """The same log as a stream of newly added files."""
     reader = spark.readStream.schema(LAYOUT_SCHEMA)

@@ -52,6 +52,17 @@ def test_appending_adds_rows(spark, log_rows, tmp_path):
     assert sorted(r.content for r in log.read_log(spark, path).collect()) == ["x", "y", "z"]
 
 
+@pytest.mark.parametrize("fmt", ["json", "csv", "orc"])
+def test_exports(spark, log_rows, tmp_path, fmt):
+    rows = log_rows(("a", "user", 'say "hi",\nthen go'), ("a", "tool_log", '[{"name": "x"}]'))
+    writer = rows.coalesce(1).write.format(fmt)
+    if fmt == "csv":
+        writer = writer.options(header=True, escape='"')
+    writer.save(str(tmp_path / fmt))
+    assert sorted(map(tuple, log.read_export(spark, str(tmp_path / fmt), fmt).collect())) == sorted(
+        map(tuple, rows.collect()))
+
+
 def test_transcript_of_one_session(log_rows):
     rows = log_rows(("a", "user", "1"), ("b", "user", "2"), ("a", "tool_log", "[]"),
                     ("a", "assistant", "3"))

@@ -37,7 +37,7 @@ def test_numbered_over_all_rows(rows, width):
 def test_within_last(rows, width):
     frame = W.partitionBy("k").orderBy("id").rowsBetween(-8, 0)
     plain = rows.withColumn("near", F.max("flag").over(frame))
-    same(within_last(rows, ["k"], "flag", 8, "near", width).select(*plain.columns), plain)
+    same(within_last(rows, ["k"], F.col("flag"), 8, "near", width).select(*plain.columns), plain)
 
 
 @pytest.mark.parametrize("count", [1, 5, 50])
