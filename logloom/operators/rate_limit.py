@@ -34,7 +34,7 @@ from logloom.functions.running import whole_part
 from logloom.functions.sliding import admit
 
 MICROS = 1_000_000
-SLICE_ROWS = 10_000
+SLICE_ROWS = 2_000
 SLICE = ["session_id", "_run", "_cell", "_slice"]
 
 

@@ -24,11 +24,12 @@ class Tables:
         self.spark, self.folder = configure(spark), folder
 
     def batch(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return (self.spark.read.schema(inputs.SCHEMAS[name])
+                .parquet(f"{self.folder}/{name}.parquet"))
 
     def stream(self, name: str) -> DataFrame:
         # a glob, so that a single file works as well as a folder of files
-        return (self.spark.readStream.schema(self.batch(name).schema)
+        return (self.spark.readStream.schema(inputs.SCHEMAS[name])
                 .parquet(f"{self.folder}/{name}.parque[t]"))
 
     @property

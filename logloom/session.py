@@ -16,6 +16,7 @@ def build_session(master: str = "local[*]", app_name: str = "logloom", **conf) -
         .appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.python.unix.domain.socket.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
