@@ -1,11 +1,10 @@
 """The ordered step of the sliding-log limit, shared by batch and stream."""
 
+from bisect import bisect_left
 from collections import deque
 
-import numpy as np
 
-
-def admit(times: np.ndarray, carry: deque, window: int) -> list[int]:
+def admit(times: list[int], carry: deque, window: int) -> list[int]:
     """Positions of the accepted times; ``times`` is sorted.
 
     ``carry`` holds the latest accepted times, at most ``carry.maxlen`` of them,
@@ -14,10 +13,11 @@ def admit(times: np.ndarray, carry: deque, window: int) -> list[int]:
     """
     taken, i = [], 0
     while i < len(times):
-        if len(carry) == carry.maxlen and times[i] - carry[0] < window:
-            i += int(np.searchsorted(times[i:], carry[0] + window))
-            continue
-        carry.append(int(times[i]))
+        if len(carry) == carry.maxlen:
+            i = bisect_left(times, carry[0] + window, i)
+            if i == len(times):
+                break
+        carry.append(times[i])
         taken.append(i)
         i += 1
     return taken

@@ -68,7 +68,7 @@ def _ordered_pass(limit: int, window: int):
             for session, first, times in zip(batch["session_id"], batch["_run"], batch["_times"]):
                 if (session, first) != run:
                     run, carry = (session, first), deque(maxlen=limit)
-                taken.append(admit(times, carry, window))
+                taken.append(admit(times.tolist(), carry, window))
             yield batch[SLICE].assign(_taken=taken)
 
     return over_slices

@@ -39,6 +39,10 @@ def turns(messages: DataFrame) -> DataFrame:
     )
 
 
+def ends_turn(passed: Column, draft_no: Column, tools: Column, max_retries: int) -> Column:
+    return passed | (draft_no >= max_retries) | used_operational_tool(tools)
+
+
 def turn_outcomes(drafts: DataFrame, max_retries: int = C.MAX_RETRIES) -> DataFrame:
     """Fold graded drafts (turn_id, draft_no from 0, response, tools, pass, feedback).
 
@@ -53,8 +57,7 @@ def turn_outcomes(drafts: DataFrame, max_retries: int = C.MAX_RETRIES) -> DataFr
             F.struct("draft_no", "pass", "feedback", "response", "tools"))).alias("all"))
     )
     stops = F.transform(
-        F.filter("all", lambda d: d["pass"] | (d["draft_no"] >= max_retries)
-                 | used_operational_tool(d["tools"])),
+        F.filter("all", lambda d: ends_turn(d["pass"], d["draft_no"], d["tools"], max_retries)),
         lambda d: d["draft_no"])
     last_no = F.coalesce(F.array_min(stops), F.element_at("all", -1)["draft_no"])
     failing = F.filter("seen", lambda d: ~d["pass"])

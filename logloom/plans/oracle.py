@@ -301,6 +301,8 @@ FROM events, (VALUES ('email', 'missing'), ('extra', 'extra'), ('date', 'type'))
 WHERE event_id % 10 <> 0 AND CASE arg WHEN 'email' THEN event_id % 7 = 0
   WHEN 'extra' THEN event_id % 9 = 0 ELSE event_id % 11 = 0 END"""
 
+TURN_OUTCOMES = _with(DRAFTS) + """
+SELECT turn_id, attempts, passed, max_retries_exceeded, response, rejected FROM outcome"""
 CHECKLIST_ITEMS = _with(CHECKLIST) + "SELECT session_id, item_no, item, done FROM done"
 UNSAFE = _with(CHAT) + f"""
 SELECT id, session_id, content, concat_ws(',', {", ".join(
@@ -461,8 +463,7 @@ WHERE NOT contains(tools, '{C.RECORD_UNKNOWN}')
 SELECT doc_id, doc_id % 6 = 0 AS pass, CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN ''
   WHEN 2 THEN 'f' ELSE {_quoted(C.FEEDBACK_UNVERIFIED)} END AS feedback
 FROM labels""",
-    "turn_outcomes": _with(DRAFTS) + """
-SELECT turn_id, attempts, passed, max_retries_exceeded, response, rejected FROM outcome""",
+    "turn_outcomes": TURN_OUTCOMES,
     "turns": _with(LOG, ENTRIES, LOG_TURNS) + """
 SELECT session_id, timestamp, user_row_id, user_message, response, tools,
        CAST(grading->>'$.attempts' AS BIGINT) AS attempts,
@@ -522,4 +523,5 @@ FROM incoming WHERE contains(content, 'IGNORE')""",
     "stream_unsafe": UNSAFE,
     "stream_daily": _with(LOG) + _DAYS,
     "stream_checklist": CHECKLIST_ITEMS,
+    "stream_turn_outcomes": TURN_OUTCOMES,
 }

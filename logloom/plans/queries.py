@@ -285,8 +285,7 @@ def judge_verdicts(t: Tables) -> DataFrame:
         "doc_id", "pass", "feedback")
 
 
-def turn_outcomes(t: Tables) -> DataFrame:
-    rows = turns.turn_outcomes(inputs.drafts(t.batch("events")))
+def _outcome_columns(rows: DataFrame) -> DataFrame:
     return rows.select(
         "turn_id", "attempts", "passed", "max_retries_exceeded", "response",
         F.array_join(F.transform("rejections", lambda r: F.concat_ws(
@@ -294,6 +293,10 @@ def turn_outcomes(t: Tables) -> DataFrame:
             F.array_join(r["tools_used"], "+"))), ",").alias("rejected"))
 
 
+def turn_outcomes(t: Tables) -> DataFrame:
+    return _outcome_columns(turns.turn_outcomes(inputs.drafts(t.batch("events"))))
+
+
 def turns_assembled(t: Tables) -> DataFrame:
     return _joined(turns.turns(t.log), "tools")
 
@@ -383,6 +386,13 @@ def stream_checklist(t: Tables) -> DataFrame:
     return stateful.checklist_from_changes(t.spark.read.parquet(table))
 
 
+def stream_turn_outcomes(t: Tables) -> DataFrame:
+    table, state = shared_dir(t.spark, "turns"), shared_dir(t.spark, "turns-state")
+    ended = stateful.turn_ends(inputs.drafts(t.stream("events")))
+    _finish(sinks.start_append(ended, table, state, sinks.AVAILABLE_NOW))
+    return _outcome_columns(t.spark.read.parquet(table))
+
+
 QUERIES = {
     "log_role_counts": log_role_counts,
     "turns_to_log": turns_to_log,
@@ -438,6 +448,7 @@ QUERIES = {
     "stream_unsafe": stream_unsafe,
     "stream_daily": stream_daily,
     "stream_checklist": stream_checklist,
+    "stream_turn_outcomes": stream_turn_outcomes,
 }
 
 

@@ -4,7 +4,8 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from logloom.operators import checklist, guard, metrics, outbox, payload, rate_limit
+from logloom.operators import (
+    checklist, guard, metrics, outbox, payload, rate_limit, turns)
 from logloom.plans import inputs
 from logloom.session import shared_dir
 from logloom.sources import log
@@ -113,6 +114,19 @@ def test_checklist(spark, stream, events, folder):
          checklist.checklist_items(whole))
 
 
+def test_turn_ends_across_batches(spark, folder, tmp_path):
+    drafts = inputs.drafts(spark.read.parquet(f"{DATA}/sf0.001/events.parquet"))
+    path, table = str(tmp_path / "drafts"), folder("t")
+    for number in range(4):
+        drafts.where(F.col("draft_no") == number).coalesce(1).write.mode("append").parquet(path)
+    # the file source takes one file per micro-batch, oldest first
+    stream = (spark.readStream.schema(drafts.schema).option("maxFilesPerTrigger", 1)
+              .parquet(path))
+    drain(sinks.start_append(stateful.turn_ends(stream), table, folder("c"),
+                             sinks.AVAILABLE_NOW))
+    same(spark.read.parquet(table), turns.turn_outcomes(drafts))
+
+
 def test_daily(spark, stream, batch, folder):
     messages, sessions = folder("m"), folder("s")
     rows = inputs.event_log(stream())
