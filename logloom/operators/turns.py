@@ -39,16 +39,11 @@ def turns(messages: DataFrame) -> DataFrame:
     )
 
 
-def ends_turn(passed: Column, draft_no: Column, tools: Column, max_retries: int) -> Column:
-    return passed | (draft_no >= max_retries) | used_operational_tool(tools)
+def fold_drafts(drafts: DataFrame, max_retries: int = C.MAX_RETRIES) -> DataFrame:
+    """Fold the drafts seen so far of each turn; ``ended`` tells whether it is over.
 
-
-def turn_outcomes(drafts: DataFrame, max_retries: int = C.MAX_RETRIES) -> DataFrame:
-    """Fold graded drafts (turn_id, draft_no from 0, response, tools, pass, feedback).
-
-    A turn ends at the first draft that passes, that is the last one allowed, or
-    that used an operational tool. No draft after ``max_retries`` can count, so
-    those are filtered out first and a turn gathers at most ``max_retries + 1``.
+    Works on a stream in update mode too: what ends a turn stays the first such
+    draft, so later drafts repeat the same row.
     """
     fold = (
         drafts.where(F.col("draft_no") <= max_retries)
@@ -57,9 +52,9 @@ def turn_outcomes(drafts: DataFrame, max_retries: int = C.MAX_RETRIES) -> DataFr
             F.struct("draft_no", "pass", "feedback", "response", "tools"))).alias("all"))
     )
     stops = F.transform(
-        F.filter("all", lambda d: ends_turn(d["pass"], d["draft_no"], d["tools"], max_retries)),
+        F.filter("all", lambda d: d["pass"] | (d["draft_no"] >= max_retries)
+                 | used_operational_tool(d["tools"])),
         lambda d: d["draft_no"])
-    last_no = F.coalesce(F.array_min(stops), F.element_at("all", -1)["draft_no"])
     failing = F.filter("seen", lambda d: ~d["pass"])
     rejected = F.transform(failing, lambda d, i: F.struct(
         (i + 1).cast("int").alias("attempt"), d["response"].alias("response"),
@@ -67,7 +62,8 @@ def turn_outcomes(drafts: DataFrame, max_retries: int = C.MAX_RETRIES) -> DataFr
         F.array_sort(F.array_distinct(F.coalesce(d["tools"], F.array().cast("array<string>"))))
         .alias("tools_used")))
     return (
-        fold.withColumn("attempts", last_no)
+        fold.withColumn("stop", F.array_min(stops))
+        .withColumn("attempts", F.coalesce("stop", F.element_at("all", -1)["draft_no"]))
         .withColumn("seen", F.filter("all", lambda d: d["draft_no"] <= F.col("attempts")))
         .withColumn("last", F.element_at("seen", -1))
         .select(
@@ -77,10 +73,21 @@ def turn_outcomes(drafts: DataFrame, max_retries: int = C.MAX_RETRIES) -> DataFr
             .alias("max_retries_exceeded"),
             F.col("last.response").alias("response"),
             F.col("last.tools").alias("tools"),
-            rejected.alias("rejections"))
+            rejected.alias("rejections"),
+            F.col("stop").isNotNull().alias("ended"))
     )
 
 
+def turn_outcomes(drafts: DataFrame, max_retries: int = C.MAX_RETRIES) -> DataFrame:
+    """Fold graded drafts (turn_id, draft_no from 0, response, tools, pass, feedback).
+
+    A turn ends at the first draft that passes, that is the last one allowed, or
+    that used an operational tool. No draft after ``max_retries`` can count, so
+    those are filtered out first and a turn gathers at most ``max_retries + 1``.
+    """
+    return fold_drafts(drafts, max_retries).drop("ended")
+
+
 def evaluator_detail(max_retries_exceeded: Column, attempts: Column, user_message: Column,
                      response: Column, rejections: Column) -> Column:
     """The full grading record of a turn that used up its retries, else NULL."""

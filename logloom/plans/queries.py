@@ -388,9 +388,9 @@ def stream_checklist(t: Tables) -> DataFrame:
 
 def stream_turn_outcomes(t: Tables) -> DataFrame:
     table, state = shared_dir(t.spark, "turns"), shared_dir(t.spark, "turns-state")
-    ended = stateful.turn_ends(inputs.drafts(t.stream("events")))
-    _finish(sinks.start_append(ended, table, state, sinks.AVAILABLE_NOW))
-    return _outcome_columns(t.spark.read.parquet(table))
+    _finish(jobs.start_turn_outcomes(inputs.drafts(t.stream("events")), table, state,
+                                     sinks.AVAILABLE_NOW))
+    return _outcome_columns(jobs.read_turn_outcomes(t.spark, table))
 
 
 QUERIES = {

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logloom import constants as C
 from logloom.functions.text import preview
-from logloom.operators import metrics
+from logloom.operators import metrics, turns
 from logloom.operators.guard import is_unsafe
 from logloom.operators.payload import tool_entries
 from logloom.sources.log import role_counts, role_rows
@@ -144,6 +144,21 @@ def read_daily(spark: SparkSession, messages_table: str, sessions_table: str,
     return messages.join(sessions, "day", "full_outer").orderBy(F.desc("day")).limit(days)
 
 
+# -- turn outcomes ---------------------------------------------------------------------------
+
+def start_turn_outcomes(drafts: DataFrame, table: str, checkpoint: str,
+                        trigger=None) -> StreamingQuery:
+    """Write a turn as soon as a draft has come that ends it; state is its drafts."""
+    ended = turns.fold_drafts(drafts).where("ended").drop("ended")
+    return start_batches(ended, checkpoint, lambda rows, n: write_batch(rows, table, n),
+                         trigger, mode="update")
+
+
+def read_turn_outcomes(spark: SparkSession, table: str) -> DataFrame:
+    """Each ended turn once; drafts after the end repeated its row."""
+    return read_batches(spark, table).dropDuplicates(["turn_id"])
+
+
 # -- screening and outbox -------------------------------------------------------------------
 
 def screened(messages: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StatefulProcessor
 from logloom import constants as C
 from logloom.functions import variant as V
 from logloom.functions.sliding import admit
-from logloom.operators.turns import ends_turn
 from logloom.session import ROCKSDB
 
 MICROS = 1_000_000
@@ -107,70 +106,6 @@ def checklist_changes(entries: DataFrame) -> DataFrame:
     )
 
 
-class TurnFold(StatefulProcessor):
-    """Holds the rejected drafts of an open turn; emits the turn when it ends."""
-
-    def __init__(self, max_retries: int):
-        self.max_retries = max_retries
-
-    def init(self, handle) -> None:
-        self.ended = handle.getValueState("ended", "ended boolean")
-        self.rejected = handle.getListState(
-            "rejected", "response string, feedback string, tools array<string>")
-
-    def handleInputRows(self, key, rows, timerValues):
-        if self.ended.exists():
-            return
-        batch = pd.concat(list(rows)).sort_values("draft_no", kind="stable")
-        rejected = [tuple(r) for r in self.rejected.get()]
-        for draft in batch.itertuples():
-            if not draft.passed:
-                rejected.append((draft.response, draft.feedback, list(draft.tools)))
-            if draft.ends:
-                self.ended.update((True,))
-                self.rejected.clear()
-                yield self.outcome(key[0], draft, rejected)
-                return
-        self.rejected.put(rejected)
-
-    def outcome(self, turn_id, draft, rejected):
-        return pd.DataFrame({
-            "turn_id": [turn_id], "attempts": [draft.draft_no], "passed": [draft.passed],
-            "max_retries_exceeded": [not draft.passed and draft.draft_no >= self.max_retries],
-            "response": [draft.response], "tools": [list(draft.tools)],
-            "rejections": [[
-                {"attempt": n, "response": response, "feedback": feedback,
-                 "tools_used": sorted(set(tools))}
-                for n, (response, feedback, tools) in enumerate(rejected, 1)]]})
-
-    def close(self) -> None:
-        pass
-
-
-def turn_ends(drafts: DataFrame, max_retries: int = C.MAX_RETRIES) -> DataFrame:
-    """Each turn once, as soon as the draft that ends it has come.
-
-    Drafts of a turn arrive in order across micro-batches; those after its end
-    are ignored.
-    """
-    use_rocksdb(drafts.sparkSession)
-    tools = F.coalesce("tools", F.array().cast("array<string>"))
-    return (
-        drafts.where(F.col("draft_no") <= max_retries)
-        .select("turn_id", F.col("draft_no").cast("bigint").alias("draft_no"), "response",
-                "feedback", tools.alias("tools"), F.col("pass").alias("passed"),
-                ends_turn(F.col("pass"), F.col("draft_no"), tools, max_retries).alias("ends"))
-        .groupBy("turn_id")
-        .transformWithStateInPandas(
-            TurnFold(max_retries),
-            outputStructType="turn_id bigint, attempts bigint, passed boolean, "
-            "max_retries_exceeded boolean, response string, tools array<string>, "
-            "rejections array<struct<attempt:int,response:string,feedback:string,"
-            "tools_used:array<string>>>",
-            outputMode="append", timeMode="None")
-    )
-
-
 def checklist_from_changes(changes: DataFrame) -> DataFrame:
     """Every item and whether an accepted mark completed it."""
     return (

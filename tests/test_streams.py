@@ -119,12 +119,10 @@ def test_turn_ends_across_batches(spark, folder, tmp_path):
     path, table = str(tmp_path / "drafts"), folder("t")
     for number in range(4):
         drafts.where(F.col("draft_no") == number).coalesce(1).write.mode("append").parquet(path)
-    # the file source takes one file per micro-batch, oldest first
     stream = (spark.readStream.schema(drafts.schema).option("maxFilesPerTrigger", 1)
               .parquet(path))
-    drain(sinks.start_append(stateful.turn_ends(stream), table, folder("c"),
-                             sinks.AVAILABLE_NOW))
-    same(spark.read.parquet(table), turns.turn_outcomes(drafts))
+    drain(jobs.start_turn_outcomes(stream, table, folder("c"), sinks.AVAILABLE_NOW))
+    same(jobs.read_turn_outcomes(spark, table), turns.turn_outcomes(drafts))
 
 
 def test_daily(spark, stream, batch, folder):
