@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from logloom import constants as C
 from logloom.functions.text import matches
 
-CONTEXT_HEADING = "APPROVED FACTS ONLY — the twin may cite nothing outside this text:"
+CONTEXT_HEADING = "Approved facts; nothing outside this text may be cited:"
+CONTEXT_CHARS = 1_000_000
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
@@ -22,6 +23,19 @@ def facts_from_table(rows: DataFrame, source: str, text: str) -> DataFrame:
     return rows.select(F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
 
 
+def context_text(facts: DataFrame, max_chars: int = CONTEXT_CHARS) -> str:
+    """The approved facts as one prompt text, sources in order of their names.
+
+    A prompt has room for little text, so the size is checked before anything
+    is fetched; facts beyond ``max_chars`` are an error, not cut.
+    """
+    size = facts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if size > max_chars:
+        raise ValueError(f"approved facts hold {size} characters, more than {max_chars}")
+    parts = [f"{row.source}:\n{row.text}" for row in facts.orderBy("source").collect()]
+    return "\n\n".join([CONTEXT_HEADING, *parts])
+
+
 def supports_age(text: Column) -> Column:
     """Does a context text state an age, birth or years other than of experience."""
     return matches(F.lower(text), C.AGE_IN_CONTEXT)

@@ -104,5 +104,10 @@ def test_facts_from_files(spark, tmp_path):
     rows = facts.read_facts(spark, str(tmp_path))
     assert {r.source: r.text.count("\n") for r in rows.collect()} == {
         "summary.txt": 2, "profile.txt": 0}
+    text = facts.context_text(rows)
+    assert text == (f"{facts.CONTEXT_HEADING}\n\nprofile.txt:\n5 años de experiencia\n\n"
+                    "summary.txt:\nI build things.\nBorn in Rosario.\n")
+    with pytest.raises(ValueError):
+        facts.context_text(rows, max_chars=10)
     assert {r.source: r.supports_age for r in facts.context_supports_age(rows).collect()} == {
         "summary.txt": True, "profile.txt": False}

@@ -64,7 +64,8 @@ def test_one_instant_holds_everything(spark):
     assert [i for i in got if got[i]] == list(range(20))
 
 
-@pytest.mark.parametrize("limit, window, gap", [(20, 300, 9), (3, 60, 10), (1, 10, 7), (5, 300, 70)])
+@pytest.mark.parametrize(
+    "limit, window, gap", [(20, 300, 9), (3, 60, 10), (1, 10, 7), (5, 300, 70)])
 def test_random_sessions_with_a_hot_one(spark, limit, window, gap):
     rnd = random.Random(limit * window)
     rows, clock = [], defaultdict(float)

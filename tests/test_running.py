@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.functions.running import numbered, with_preceding, within_last
+from logloom.functions.running import block_width, numbered, with_preceding, within_last
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +23,8 @@ def same(a, b):
 
 @pytest.mark.parametrize("width", [1, 7, 500, 1 << 20])
 def test_numbered(rows, width):
-    plain = rows.withColumn("n", F.row_number().over(W.partitionBy("k").orderBy("id")).cast("bigint"))
+    number = F.row_number().over(W.partitionBy("k").orderBy("id"))
+    plain = rows.withColumn("n", number.cast("bigint"))
     same(numbered(rows, ["k"], ["id"], "n", width).select(*plain.columns), plain)
 
 
@@ -47,3 +48,12 @@ def test_with_preceding(rows, count):
     got = with_preceding(rows, ["k"], F.col("id"), count, "before", 100)
     same(got.withColumn("before", F.col("before").cast("string")).select(*plain.columns),
          plain.withColumn("before", F.col("before").cast("string")))
+
+
+def test_block_width_follows_the_ids(rows, spark):
+    low, high = rows.agg(F.min("id"), F.max("id")).first()
+    width = block_width(rows, 10)
+    assert (high - low + 1 + 9) // 10 == width
+    assert block_width(rows.where("false")) == 1
+    sparse = spark.range(0, 10_000_000_000, 1_000_000_000)
+    assert block_width(sparse, 4) > 2_000_000_000

@@ -112,7 +112,8 @@ def test_guard_order_and_missing_verdict(spark):
         [(1, "s", 0, "hi"), (2, "s", 1, "jailbreak"), (3, "s", 2, "hi"), (4, "t", 3, "no verdict")],
         "id bigint, session_id string, at bigint, content string").select(
         "id", "session_id", F.timestamp_seconds("at").alias("ts"), "content")
-    verdicts = spark.createDataFrame([(1, "SAFE"), (2, "SAFE"), (3, "SAFE")], "id bigint, verdict string")
+    verdicts = spark.createDataFrame(
+        [(1, "SAFE"), (2, "SAFE"), (3, "SAFE")], "id bigint, verdict string")
     got = guard.guard_decisions(rows, verdicts, limit=2).orderBy("id")
     assert [(r.allowed, r.reason, r.reply) for r in got.collect()] == [
         (True, None, ""), (False, "unsafe", C.REPLY_BLOCKED),
@@ -124,7 +125,8 @@ def test_guard_order_and_missing_verdict(spark):
 
 
 def test_judge_verdict_fails_closed(spark):
-    values = ['{"pass": true}', '{"pass": "true"}', '{"pass": 1}', '{"pass": false, "feedback": "f"}',
+    values = ['{"pass": true}', '{"pass": "true"}', '{"pass": 1}',
+              '{"pass": false, "feedback": "f"}',
               "[true]", "oops", None, '{"feedback": "g"}']
     rows = spark.createDataFrame(list(enumerate(values)), "n int, verdict string")
     got = quality.judge_verdicts(rows).orderBy("n").collect()
