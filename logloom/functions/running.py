@@ -100,23 +100,23 @@ def within_last(rows: DataFrame, keys: list[str], flag: Column, lookback: int, n
     )
 
 
-def with_preceding(rows: DataFrame, keys: list[str], values: Column, count: int, name: str,
-                   width: int = BLOCK_IDS) -> DataFrame:
+def with_preceding(rows: DataFrame, keys: list[str], at: str, values: Column, count: int,
+                   name: str) -> DataFrame:
     """Collect ``values`` of up to ``count`` rows before each row, oldest first.
 
-    Rows are numbered and cut into chunks of ``CHUNKS * count`` positions; the
-    last ``count`` rows of a chunk are also lent to the next. So a group holds
-    at most ``(CHUNKS + 1) * count`` rows, whatever the size of its key.
+    ``at`` is the position from ``numbered``. Positions are cut into chunks of
+    ``CHUNKS * count``; the last ``count`` rows of a chunk are also lent to the
+    next. So a group holds at most ``(CHUNKS + 1) * count`` rows, whatever the
+    size of its key.
     """
-    at = numbered(rows, keys, ["id"], "_at", width)
     size = CHUNKS * count
-    chunk = whole_part(F.col("_at") - 1, size)
-    near_end = (F.col("_at") - 1) % size >= size - count
-    lent = at.withColumn("_chunk", F.explode(
+    chunk = whole_part(F.col(at) - 1, size)
+    near_end = (F.col(at) - 1) % size >= size - count
+    lent = rows.withColumn("_chunk", F.explode(
         F.when(near_end, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))))
-    frame = W.partitionBy(*keys, "_chunk").orderBy("_at").rowsBetween(-count, -1)
+    frame = W.partitionBy(*keys, "_chunk").orderBy(at).rowsBetween(-count, -1)
     return (
         lent.withColumn(name, F.collect_list(values).over(frame))
         .where(F.col("_chunk") == chunk)
-        .drop("_chunk", "_at")
+        .drop("_chunk")
     )

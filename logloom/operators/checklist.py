@@ -63,10 +63,11 @@ def bad_marks(entries: DataFrame, width: int = BLOCK_IDS) -> DataFrame:
     )
 
 
-def checklist_report(entries: DataFrame, sessions: DataFrame,
+def checklist_report(entries: DataFrame, sessions: DataFrame | None = None,
                      width: int = BLOCK_IDS) -> DataFrame:
     """Report lines per session in item order; one line for a session without items.
 
+    ``sessions`` may name more sessions than those with entries.
     Lines stay rows, since a session's report has no size bound:
     ``orderBy("session_id", "line_no")`` prints it.
     """
@@ -77,10 +78,11 @@ def checklist_report(entries: DataFrame, sessions: DataFrame,
                  F.col("item")).alias("line"))
     creates = F.coalesce((F.col("name") == C.CREATE_CHECKLIST) & (F.size(_descriptions()) > 0),
                          F.lit(False))
+    seen = entries.select("session_id", creates.alias("creates"))
+    if sessions is not None:
+        seen = seen.unionByName(sessions.select("session_id", F.lit(False).alias("creates")))
     without_items = (
-        sessions.select("session_id", F.lit(False).alias("creates"))
-        .unionByName(entries.where(creates).select("session_id", F.lit(True).alias("creates")))
-        .groupBy("session_id").agg(F.bool_or("creates").alias("creates"))
+        seen.groupBy("session_id").agg(F.bool_or("creates").alias("creates"))
         .where(~F.col("creates"))
         .select("session_id", F.lit(0).cast("bigint").alias("line_no"),
                 F.lit(C.NO_CHECKLIST).alias("line"))

@@ -1,6 +1,6 @@
 """JSON payload rows of the log as typed tables."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom import constants as C
@@ -70,26 +70,28 @@ def evaluator_entries(messages: DataFrame) -> DataFrame:
     """Grading rows of both shapes; rows that hold no JSON object are skipped.
 
     ``passed_is_false`` and ``has_user_message`` keep what the typed columns
-    lose: a literal JSON false, and a message that is not empty. All columns
-    come out of one generator, below which later filters do not move; so each
-    payload is parsed once.
+    lose: a literal JSON false, and a message that is not empty. The payload is
+    parsed in a generator, below which filters on its parts do not move, so it
+    is parsed once however many there are.
     """
     v = F.col("v")
-    columns = F.struct(
-        F.try_variant_get(v, "$.attempts", "bigint").alias("attempts"),
-        F.try_variant_get(v, "$.passed", "boolean").alias("passed"),
-        F.try_variant_get(v, "$.max_retries_exceeded", "boolean").alias("max_retries_exceeded"),
-        V.text(v, "user_message").alias("user_message"),
-        V.text(v, "final_response").alias("final_response"),
-        _rejection_structs(V.member(v, "rejections")).alias("rejections"),
-        V.is_false(V.member(v, "passed")).alias("passed_is_false"),
-        V.truthy(V.member(v, "user_message")).alias("has_user_message"),
-    )
     return (
         role_rows(messages, C.EVALUATOR_LOG).where(V.begins_object(F.col("content")))
-        .select("id", "session_id", "timestamp", F.try_parse_json("content").alias("v"))
         .select("id", "session_id", "timestamp",
-                F.inline(F.when(v.isNotNull(), F.array(columns))))
+                F.explode(F.array(F.try_parse_json("content"))).alias("v"))
+        .where(v.isNotNull())
+        .select(
+            "id", "session_id", "timestamp",
+            F.try_variant_get(v, "$.attempts", "bigint").alias("attempts"),
+            F.try_variant_get(v, "$.passed", "boolean").alias("passed"),
+            F.try_variant_get(v, "$.max_retries_exceeded", "boolean")
+            .alias("max_retries_exceeded"),
+            V.text(v, "user_message").alias("user_message"),
+            V.text(v, "final_response").alias("final_response"),
+            _rejection_structs(V.member(v, "rejections")).alias("rejections"),
+            V.is_false(V.member(v, "passed")).alias("passed_is_false"),
+            V.truthy(V.member(v, "user_message")).alias("has_user_message"),
+        )
     )
 
 
@@ -107,20 +109,16 @@ def guard_blocks(messages: DataFrame) -> DataFrame:
         V.text(F.try_parse_json("content"), "reason").alias("reason"))
 
 
-def tool_registry(spark: SparkSession, arguments=None) -> DataFrame:
-    """Tools and their arguments; pass a longer list to register more tools."""
-    return spark.createDataFrame(arguments or C.TOOL_ARGUMENTS,
-                                 "tool string, arg string, type string, required boolean")
-
-
-def tool_calls(completions: DataFrame, registry: DataFrame) -> DataFrame:
+def tool_calls(completions: DataFrame, registry=None) -> DataFrame:
     """Calls in raw model messages: id, pos, call_id, name, args VARIANT, known, result.
 
     ``arguments`` is JSON text inside JSON. Calls of unregistered tools are kept
-    with the result an unknown tool gives.
+    with the result an unknown tool gives. ``registry`` lists (tool, argument,
+    type, required) like ``TOOL_ARGUMENTS``; a longer list registers more tools.
     """
+    tools = sorted({tool for tool, *_ in registry or C.TOOL_ARGUMENTS})
     call = F.col("call")
-    calls = (
+    return (
         completions
         .select("id", F.posexplode(V.elements(V.member(F.try_parse_json("completion"),
                                                        "tool_calls"))).alias("pos", "call"))
@@ -130,14 +128,9 @@ def tool_calls(completions: DataFrame, registry: DataFrame) -> DataFrame:
                            F.lit("")).alias("name"),
                 F.try_parse_json(F.try_variant_get(call, "$.function.arguments", "string"))
                 .alias("args"))
-    )
-    tools = registry.select(F.col("tool").alias("name")).distinct().withColumn("known", F.lit(True))
-    return (
-        calls.join(tools, "name", "left")
-        .withColumn("known", F.coalesce("known", F.lit(False)))
+        .withColumn("known", F.col("name").isin(tools))
         .withColumn("result", F.when(~F.col("known"),
                                      F.format_string("Unknown tool: %s", F.col("name"))))
-        .select("id", "pos", "call_id", "name", "args", "known", "result")
     )
 
 
@@ -151,15 +144,23 @@ def _type_fits(kind: Column, expected: Column) -> Column:
     )
 
 
-def arg_violations(calls: DataFrame, registry: DataFrame) -> DataFrame:
+def _declarations(registry) -> Column:
+    """The registry as a map literal from tool to its declared arguments."""
+    by_tool = {}
+    for tool, arg, kind, required in registry:
+        by_tool.setdefault(tool, []).append(F.struct(
+            F.lit(arg).alias("arg"), F.lit(kind).alias("type"),
+            F.lit(required).alias("required")))
+    return F.create_map(*[x for tool, args in by_tool.items()
+                          for x in (F.lit(tool), F.array(*args))])
+
+
+def arg_violations(calls: DataFrame, registry=None) -> DataFrame:
     """Calls of registered tools whose arguments break the declaration.
 
-    The registry is folded to one row per tool, so each call meets exactly one
-    row and its violations come out of array functions. ``id, pos, name, arg,
-    violation`` with violation in missing, extra, type.
+    ``id, pos, name, arg, violation`` with violation in missing, extra, type. The
+    registry is part of the expression, so a much used tool is no hot join key.
     """
-    declared = registry.groupBy(F.col("tool").alias("name")).agg(
-        F.collect_list(F.struct("arg", "type", "required")).alias("declared"))
     given = F.coalesce(V.fields(F.col("args")),
                        F.create_map().cast("map<string,variant>"))
 
@@ -178,7 +179,9 @@ def arg_violations(calls: DataFrame, registry: DataFrame) -> DataFrame:
             ~_type_fits(V.json_type(F.col("given")[d["arg"]]), d["type"]), F.lit(False))),
         lambda d: violation(d["arg"], "type"))
     return (
-        calls.join(declared, "name")
+        calls.withColumn("declared", F.try_element_at(
+            _declarations(registry or C.TOOL_ARGUMENTS), F.col("name")))
+        .where(F.col("declared").isNotNull())
         .withColumn("given", given)
         .select("id", "pos", "name", F.explode(F.concat(missing, extra, wrong)).alias("x"))
         .select("id", "pos", "name", "x.arg", "x.violation")

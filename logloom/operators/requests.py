@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom import constants as C
-from logloom.functions.running import BLOCK_IDS, with_preceding
+from logloom.functions.running import BLOCK_IDS, numbered, with_preceding
 from logloom.functions.text import contains_any
 from logloom.operators.guard import is_unsafe
 from logloom.operators.quality import TO_JUDGE
@@ -59,12 +59,13 @@ def chat_requests(messages: DataFrame, system_text: str, revisions: DataFrame |
     rows = role_rows(messages, C.USER, C.ASSISTANT).select(
         "id", "session_id", "role", "content", contains_any(
             F.col("content"), C.OPERATIONAL_HINTS).alias("hint"))
+    rows = numbered(rows, ["session_id"], ["id"], "at", width)
     if revisions is not None:
         # joined before the histories are there, while rows are small
         rows = rows.join(revisions.select("id", "feedback"), "id", "left")
     entry = F.struct("role", "content")
-    rows = with_preceding(rows, ["session_id"], F.struct(entry.alias("entry"), "hint"),
-                          max(history_limit, C.HISTORY_LOOKBACK), "before", width)
+    rows = with_preceding(rows, ["session_id"], "at", F.struct(entry.alias("entry"), "hint"),
+                          max(history_limit, C.HISTORY_LOOKBACK), "before")
     rows = rows.where(F.col("role") == C.USER)
     history = _last(F.transform("before", lambda b: b["entry"]), history_limit)
 

@@ -157,8 +157,7 @@ def turn_tool_names(t: Tables) -> DataFrame:
 
 
 def tool_calls_extracted(t: Tables) -> DataFrame:
-    calls = payload.tool_calls(inputs.completions(t.batch("events")),
-                               payload.tool_registry(t.spark))
+    calls = payload.tool_calls(inputs.completions(t.batch("events")))
     args = F.col("args")
     return calls.select("id", "pos", "call_id", "name", "known", "result",
                         V.text(args, "email").alias("email"),
@@ -166,9 +165,7 @@ def tool_calls_extracted(t: Tables) -> DataFrame:
 
 
 def tool_arg_violations(t: Tables) -> DataFrame:
-    registry = payload.tool_registry(t.spark)
-    calls = payload.tool_calls(inputs.completions(t.batch("events")), registry)
-    return payload.arg_violations(calls, registry)
+    return payload.arg_violations(payload.tool_calls(inputs.completions(t.batch("events"))))
 
 
 # -- dashboard -----------------------------------------------------------------------
@@ -232,7 +229,7 @@ def checklist_items(t: Tables) -> DataFrame:
 
 
 def checklist_report(t: Tables) -> DataFrame:
-    return checklist.checklist_report(t.checklist_entries, t.checklist_entries)
+    return checklist.checklist_report(t.checklist_entries)
 
 
 def checklist_bad_marks(t: Tables) -> DataFrame:

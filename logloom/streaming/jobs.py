@@ -17,7 +17,7 @@ from logloom.operators.guard import is_unsafe
 from logloom.operators.payload import tool_entries
 from logloom.sources.log import role_counts, role_rows
 from logloom.streaming.sinks import (
-    compact, read_batches, start_append, start_batches, write_batch)
+    batch_folder, compact, read_batches, start_append, start_batches, write_batch)
 
 
 # -- rows per role -----------------------------------------------------------------
@@ -64,9 +64,11 @@ def start_dashboard(messages: DataFrame, table: str, checkpoint: str,
         parts = {"flags": metrics.session_flags(rows), "days": metrics.day_sessions(rows),
                  "questions": metrics.asked_questions(entries),
                  "ratings": metrics.rating_counts(entries)}
-        for name, part in parts.items():
-            write_batch(part, f"{table}/{name}", batch_id)
-        rows.unpersist()
+        try:
+            for name, part in parts.items():
+                write_batch(part, f"{table}/{name}", batch_id)
+        finally:
+            rows.unpersist()
 
     return start_batches(messages, checkpoint, write, trigger)
 
@@ -172,11 +174,14 @@ def screened(messages: DataFrame) -> DataFrame:
 
 def start_outbox(notices: DataFrame, table: str, checkpoint: str, deliver=None,
                  trigger=None) -> StreamingQuery:
-    """Append notices (id, pos, kind, text); ``deliver`` gets each batch as well."""
+    """Append notices (id, pos, kind, text); ``deliver`` gets each written batch.
+
+    After a failure a batch may be delivered again, with the same keys.
+    """
     def write(rows, batch_id):
         write_batch(rows, table, batch_id)
         if deliver is not None:
-            deliver(rows.sparkSession.read.parquet(f"{table}/upto=-1/batch={batch_id}"))
+            deliver(rows.sparkSession.read.parquet(batch_folder(table, batch_id)))
 
     return start_batches(notices, checkpoint, write, trigger)
 

@@ -17,8 +17,12 @@ REFRESH = {"processingTime": "30 seconds"}
 OPEN = -1
 
 
+def batch_folder(table: str, batch_id: int) -> str:
+    return f"{table}/upto={OPEN}/batch={batch_id}"
+
+
 def write_batch(rows: DataFrame, table: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{table}/upto={OPEN}/batch={batch_id}")
+    rows.write.mode("overwrite").parquet(batch_folder(table, batch_id))
 
 
 def _parts(rows: DataFrame, before: int | None = None, upto: int | None = None) -> DataFrame:

@@ -160,14 +160,14 @@ def test_tool_calls_from_completions(spark):
     rows = spark.createDataFrame([
         (1, completion((C.SCHEDULE_CALL, '{"email": "e"}'), ("nope", "{}"))),
         (2, '{"content": "no calls"}'), (3, "oops")], "id bigint, completion string")
-    calls = payload.tool_calls(rows, payload.tool_registry(spark)).orderBy("id", "pos")
+    calls = payload.tool_calls(rows).orderBy("id", "pos")
     got = [(r.id, r.pos, r.call_id, r["name"], r.known, r.result, r.email) for r in calls.select(
         "*", V.text(F.col("args"), "email").alias("email")).collect()]
     assert got == [(1, 0, "c0", C.SCHEDULE_CALL, True, None, "e"),
                    (1, 1, "c1", "nope", False, "Unknown tool: nope", None)]
 
 
-def test_argument_violations(log_rows, spark):
+def test_argument_violations(log_rows):
     rows = tools(log_rows, json.dumps([
         call(C.MARK_COMPLETE, index="1", completion_notes="n"),
         call(C.MARK_COMPLETE, index=1),
@@ -176,15 +176,14 @@ def test_argument_violations(log_rows, spark):
         call(C.RECORD_FEEDBACK, rating=5, comment="c", mood="good"),
         {"name": C.RECORD_UNKNOWN, "arguments": None},
         call("unregistered", x=1)]))
-    found = payload.arg_violations(rows, payload.tool_registry(spark))
+    found = payload.arg_violations(rows)
     assert sorted((r.pos, r.arg, r.violation) for r in found.collect()) == [
         (0, "index", "type"), (1, "completion_notes", "missing"), (2, "descriptions", "type"),
         (4, "mood", "extra"), (5, "question", "missing")]
 
 
-def test_a_user_can_register_a_tool(log_rows, spark):
-    registry = payload.tool_registry(
-        spark, C.TOOL_ARGUMENTS + [("my_tool", "x", "string", True)])
+def test_a_user_can_register_a_tool(log_rows):
+    registry = C.TOOL_ARGUMENTS + [("my_tool", "x", "string", True)]
     rows = tools(log_rows, json.dumps([call("my_tool", x=1)]))
     assert [r.violation for r in payload.arg_violations(rows, registry).collect()] == ["type"]
 

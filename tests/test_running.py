@@ -45,7 +45,8 @@ def test_within_last(rows, width):
 def test_with_preceding(rows, count):
     frame = W.partitionBy("k").orderBy("id").rowsBetween(-count, -1)
     plain = rows.withColumn("before", F.collect_list("id").over(frame))
-    got = with_preceding(rows, ["k"], F.col("id"), count, "before", 100)
+    got = with_preceding(numbered(rows, ["k"], ["id"], "at", 100), ["k"], "at", F.col("id"),
+                         count, "before")
     same(got.withColumn("before", F.col("before").cast("string")).select(*plain.columns),
          plain.withColumn("before", F.col("before").cast("string")))
 
