@@ -17,6 +17,11 @@ def with_day(messages: DataFrame) -> DataFrame:
     return messages.withColumn("day", F.substring("timestamp", 1, 10))
 
 
+def with_ts(messages: DataFrame) -> DataFrame:
+    """Add ``ts``, the timestamp as such; NULL where the text is none."""
+    return messages.withColumn("ts", F.try_to_timestamp("timestamp"))
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Read a log written by :func:`write_log`; role and day filters prune files."""
     return spark.read.schema(LAYOUT_SCHEMA).parquet(path)

@@ -15,7 +15,7 @@ from logloom.functions.text import preview
 from logloom.operators import metrics, turns
 from logloom.operators.guard import is_unsafe
 from logloom.operators.payload import tool_entries
-from logloom.sources.log import role_counts, role_rows
+from logloom.sources.log import role_counts, role_rows, with_ts
 from logloom.streaming.sinks import (
     batch_folder, compact, read_batches, start_append, start_batches, write_batch)
 
@@ -103,10 +103,7 @@ LATE = "2 days"
 
 
 def _timed_user_rows(messages: DataFrame, delay: str) -> DataFrame:
-    return (
-        role_rows(messages, C.USER).withColumn("ts", F.to_timestamp("timestamp"))
-        .withWatermark("ts", delay)
-    )
+    return with_ts(role_rows(messages, C.USER)).withWatermark("ts", delay)
 
 
 def start_daily_messages(messages: DataFrame, table: str, checkpoint: str, delay: str = LATE,

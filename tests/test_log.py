@@ -76,6 +76,15 @@ def test_sessions_with_blocks_only_are_none(log_rows):
         ("a", "2024-01-01T00:00:00.000000+00:00")]
 
 
+def test_ts_of_iso_texts(spark):
+    texts = ["2024-01-01T10:00:00.000001+00:00", "2024-01-01T10:00:00+00:00",
+             "2024-01-01T10:00:00+02:00", "yesterday"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, timestamp string")
+    micros = [r[0] for r in log.with_ts(rows).orderBy("id").select(
+        F.unix_micros("ts") - 1_704_067_200_000_000).collect()]
+    assert micros == [36_000_000_001, 36_000_000_000, 28_800_000_000, None]
+
+
 def test_fifteenth_day_is_cut(spark):
     rows = spark.range(40).select(
         "id", F.lit("s").alias("session_id"),

@@ -236,3 +236,11 @@ def test_notices(log_rows):
         ("feedback", "Feedback recibido: True/5 - "),
         ("availability", "Consulta de disponibilidad: d (preferencia: any)"),
         ("booking", "Call agendada con None (e) — d a las t")]
+
+
+def test_entries_can_be_stored_and_read_again(spark, log_rows, tmp_path):
+    rows = tools(log_rows, json.dumps([
+        call(C.RECORD_FEEDBACK, rating=5), call(C.RECORD_FEEDBACK, rating="5"), "x"]))
+    rows.write.parquet(str(tmp_path / "entries"))
+    stored = spark.read.parquet(str(tmp_path / "entries"))
+    assert [r.rating for r in events.feedback(stored).orderBy("pos").collect()] == [5, None]
