@@ -244,3 +244,23 @@ def test_entries_can_be_stored_and_read_again(spark, log_rows, tmp_path):
     rows.write.parquet(str(tmp_path / "entries"))
     stored = spark.read.parquet(str(tmp_path / "entries"))
     assert [r.rating for r in events.feedback(stored).orderBy("pos").collect()] == [5, None]
+
+
+def test_json_outside_the_standard(log_rows):
+    """NaN makes a payload invalid; text after a complete value is ignored."""
+    rows = tools(log_rows, '[{"name": "a", "arguments": {"x": NaN}}]', '["b"] and more')
+    assert [r.name for r in rows.collect()] == ["b"]
+
+
+def test_no_grading_row_does_not_mean_passed(spark):
+    from logloom.operators import turns
+    drafts = spark.createDataFrame(
+        [(1, 0, "r", [], True, ""), (2, 0, "r", [C.SCHEDULE_CALL], False, "f")],
+        "turn_id bigint, draft_no int, response string, tools array<string>, "
+        "pass boolean, feedback string")
+    rows = turns.turn_outcomes(drafts).select(
+        F.col("turn_id").alias("id"), F.lit("s").alias("session_id"), F.lit("t").alias("timestamp"),
+        F.lit("q").alias("user_message"), "response", F.col("tools").alias("tools_used"),
+        "attempts", "passed", F.lit(None).cast("string").alias("evaluator_detail"))
+    assert rows.where("NOT passed").count() == 1
+    assert turns.turns_to_log(rows).where("role = 'evaluator_log'").count() == 0
