@@ -1,0 +1,81 @@
+"""Properties over generated values."""
+
+import json
+from collections import deque
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from logloom.functions import text as T
+from logloom.functions import variant as V
+from logloom.functions.sliding import admit
+
+
+def one_by_one(times, limit, window):
+    kept, taken = [], []
+    for i, t in enumerate(times):
+        if sum(t - k < window for k in kept) < limit:
+            kept.append(t)
+            taken.append(i)
+    return taken
+
+
+@settings(max_examples=300)
+@given(st.lists(st.integers(0, 60), max_size=60), st.integers(1, 5), st.integers(1, 20),
+       st.lists(st.integers(0, 60), max_size=4))
+def test_admit_in_any_cut(times, limit, window, cuts):
+    """Slices in order give what the whole list gives."""
+    times, edges = sorted(times), [0, *sorted(c for c in cuts if c < len(times)), len(times)]
+    carry, taken = deque(maxlen=limit), []
+    for start, end in zip(edges, edges[1:]):
+        taken += [start + i for i in admit(times[start:end], carry, window)]
+    assert taken == one_by_one(times, limit, window)
+
+
+def generated(strategy, count=400):
+    values = []
+
+    @settings(max_examples=count, database=None, derandomize=True)
+    @given(strategy)
+    def collect(value):
+        values.append(value)
+
+    collect()
+    return values
+
+
+JSON = st.recursive(
+    st.none() | st.booleans() | st.integers(-10**12, 10**12)
+    | st.floats(-1e6, 1e6, allow_nan=False).map(lambda x: round(x, 6))
+    | st.text(st.characters(exclude_categories=["Cs", "Cc"]), max_size=5),
+    lambda inner: st.lists(inner, max_size=2)
+    | st.dictionaries(st.sampled_from(["a", "b"]), inner, max_size=2), max_leaves=4)
+
+
+def test_json_values_keep_their_meaning(spark):
+    values = generated(JSON)
+    rows = spark.createDataFrame(
+        [(n, json.dumps({"v": value})) for n, value in enumerate(values)], "n int, j string")
+    v = V.member(F.try_parse_json("j"), "v")
+    got = rows.orderBy("n").select(V.truthy(v), V.integer(v), V.is_true(v), V.is_false(v),
+                                   V.only_string(v)).collect()
+    for value, (truthy, integer, is_true, is_false, string) in zip(values, got):
+        assert truthy == bool(value), value
+        assert integer == (int(value) if isinstance(value, int) else None), value
+        assert (is_true, is_false) == (value is True, value is False), value
+        assert string == (value if isinstance(value, str) else None), value
+
+
+def test_words_and_strip_of_any_text(spark):
+    alphabet = st.sampled_from(list("ab. \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0") + [
+        "\u1680", "\u2003", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\u200b",
+        "\u180e", "ñ", "\U0001f600"])
+    values = generated(st.text(alphabet, max_size=12))
+    rows = spark.createDataFrame(list(enumerate(values)), "n int, t string")
+    got = rows.orderBy("n").select(T.word_count(F.col("t")), T.strip(F.col("t")),
+                                   T.preview(F.col("t"), 5)).collect()
+    for value, (words, stripped, short) in zip(values, got):
+        assert words == len(value.split()), repr(value)
+        assert stripped == value.strip(), repr(value)
+        assert short == value[:5] + ("..." if len(value) > 5 else ""), repr(value)

@@ -11,8 +11,8 @@ from logloom.functions.text import matches, preview, strip, word_count
 from logloom.operators import guard, mining, payload, quality, requests, turns
 from logloom.sources import facts
 
-SPACES = ["", " ", "a b", "  a\tb\nc ", "a b", "a b\x1cc\x1dd\x1ee\x1ff", "a\x85b",
-          "a​b", "naïve café", "　x"]
+SPACES = ["", " ", "a b", "  a\tb\nc ", "a\u2003b", "a b\x1cc\x1dd\x1ee\x1ff", "a\x85b", "a\xa0b",
+          "a\u200bb", "naïve café", "\u3000x"]
 
 
 def column(spark, values, expression):
