@@ -15,11 +15,18 @@ from logloom.functions.text import preview
 from logloom.operators import metrics, turns
 from logloom.operators.guard import is_unsafe
 from logloom.operators.payload import tool_entries
-from logloom.sources.log import role_counts, role_rows, with_ts
+from logloom.sources.log import role_counts, role_rows, with_day, with_ts
 from logloom.streaming.sinks import (
     batch_folder, compact, read_batches, start_append, start_batches, write_batch)
 
 
+# -- the log itself ------------------------------------------------------------------
+
+def start_log(rows: DataFrame, path: str, checkpoint: str, trigger=None) -> StreamingQuery:
+    """Append log rows, as from ``turns_to_log`` or ``block_rows``, by day and role."""
+    return start_append(with_day(rows), path, checkpoint, trigger, ["day", "role"])
+
+
 # -- rows per role -----------------------------------------------------------------
 
 def start_role_counts(messages: DataFrame, table: str, checkpoint: str,

@@ -59,10 +59,12 @@ def start_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame
     )
 
 
-def start_append(stream: DataFrame, path: str, checkpoint: str, trigger=None) -> StreamingQuery:
+def start_append(stream: DataFrame, path: str, checkpoint: str, trigger=None,
+                 partition_by=()) -> StreamingQuery:
     """Append rows to a Parquet table, exactly once."""
     return (
         stream.writeStream.format("parquet").outputMode("append").option("path", path)
+        .partitionBy(*partition_by)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or REFRESH)).start()
     )

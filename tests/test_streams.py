@@ -147,6 +147,12 @@ def test_screening_and_outbox(spark, stream, events, batch, folder):
     assert sum(delivered) == whole.count()
 
 
+def test_log_sink(spark, stream, batch, folder):
+    path = folder("log")
+    drain(jobs.start_log(inputs.event_log(stream()), path, folder("c"), sinks.AVAILABLE_NOW))
+    same(log.read_log(spark, path).select(*log.COLUMNS), batch)
+
+
 def test_stored_log_as_stream(spark, batch, folder):
     path, table = folder("log"), folder("t")
     log.write_log(batch, path)
@@ -154,3 +160,25 @@ def test_stored_log_as_stream(spark, batch, folder):
     drain(sinks.start_append(guard.unsafe_messages(stored), table, folder("c"),
                              sinks.AVAILABLE_NOW))
     same(spark.read.parquet(table), guard.unsafe_messages(batch))
+
+
+def test_late_rows(spark, folder, tmp_path):
+    """Past the watermark the daily job drops a row; the dashboard job counts it."""
+    path = str(tmp_path / "late")
+    schema = "id bigint, session_id string, timestamp string, role string, content string"
+    # a batch is held to the watermark of the batch before the last
+    for number, day in enumerate(["01", "10", "11", "01"]):
+        spark.createDataFrame(
+            [(number, f"s{number}", f"2024-03-{day}T10:00:00+00:00", "user", "x")],
+            schema).coalesce(1).write.mode("append").parquet(path)
+    rows = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+    messages, sessions, board = folder("m"), folder("s"), folder("d")
+    drain(jobs.start_daily_messages(rows, messages, folder("c"), trigger=sinks.AVAILABLE_NOW))
+    drain(jobs.start_daily_sessions(rows, sessions, folder("c"), trigger=sinks.AVAILABLE_NOW))
+    drain(jobs.start_dashboard(rows, board, folder("c"), sinks.AVAILABLE_NOW))
+    daily = {r.day: (r.messages, r.sessions)
+             for r in jobs.read_daily(spark, messages, sessions).collect()}
+    assert daily == {f"2024-03-{day}": (1, 1) for day in ("01", "10", "11")}
+    counted = {(r.day, r.metric): r.value for r in jobs.read_daily_activity(spark, board).collect()}
+    assert counted[("2024-03-01", "Mensajes")] == 2
+    assert jobs.read_kpis(spark, board).first().sessions == 4
