@@ -14,9 +14,9 @@ must follow that order is cut down first:
 3. Of the messages of one instant only the first ``limit`` can get in; the rest
    are dropped before the shuffle, as rejected.
 4. What is left is gathered and sorted in slices of a cell. The ordered pass
-   gets the bare times, a number per message: the slices of a run stream through
-   one carry of ``limit`` times, which jumps from one accepted message to the
-   next.
+   gets the bare offsets in the cell, four bytes per message for windows up to
+   half an hour: the slices of a run stream through one carry of ``limit``
+   times, which jumps from one accepted message to the next.
 
 A cell accepts at most ``limit`` messages, being one window long; messages look
 their cell up in that short list of ids. No step holds a session or a run: the
@@ -36,6 +36,7 @@ from logloom.functions.sliding import admit
 MICROS = 1_000_000
 SLICE_ROWS = 2_000
 SLICE = ["session_id", "_run", "_cell", "_slice"]
+PASS = ["session_id", "_run", "_cell", "_offsets"]
 
 
 def busy_cells(rows: DataFrame, limit: int) -> DataFrame:
@@ -65,9 +66,10 @@ def _ordered_pass(limit: int, window: int):
         run, carry = None, deque(maxlen=limit)
         for batch in batches:
             taken = []
-            for session, first, times in zip(batch["session_id"], batch["_run"], batch["_times"]):
+            for session, first, cell, offsets in zip(*(batch[c] for c in PASS)):
                 if (session, first) != run:
                     run, carry = (session, first), deque(maxlen=limit)
+                times = offsets.astype("int64") + cell * window
                 taken.append(admit(times.tolist(), carry, window))
             yield batch[SLICE].assign(_taken=taken)
 
@@ -90,8 +92,10 @@ def _accepted(rows: DataFrame, limit: int, window: int) -> DataFrame:
         .groupBy(*SLICE)
         .agg(F.sort_array(F.collect_list(F.struct("_at", "id"))).alias("_rows"))
     )
+    width = "int" if window < 1 << 31 else "bigint"
+    offsets = F.transform("_rows", lambda r: (r["_at"] - F.col("_cell") * window).cast(width))
     taken = (
-        slices.select(*SLICE, F.col("_rows._at").alias("_times"))
+        slices.select(*SLICE, offsets.alias("_offsets"))
         .repartition("session_id", "_run").sortWithinPartitions(*SLICE)
         .mapInPandas(_ordered_pass(limit, window),
                      "session_id string, _run bigint, _cell bigint, _slice bigint, "
