@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from conftest import DATA
+from logloom.plans.oracle import ORACLE
+from logloom.plans.queries import registered
 
 FOLDER = f"{DATA}/sf0.001"
 
@@ -24,13 +26,13 @@ def sorted_rows(names, rows):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(registered()) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(registered()))
 def test_query(spark, con, name):
-    got = queries()[name](spark, FOLDER)
-    want = con.execute(oracle_sql()[name])
+    got = registered()[name](spark, FOLDER)
+    want = con.execute(ORACLE[name])
     names = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(names)
     rows = got.collect()
