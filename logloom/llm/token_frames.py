@@ -199,7 +199,9 @@ def read(documents: DataFrame, folder: str) -> DataFrame:
             reader.close()
 
     schema = StructType(documents.schema.fields).add("ids", "binary")
-    return documents.sortWithinPartitions("file", "first").mapInArrow(fetch, schema)
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (documents.repartition(parts, "file").sortWithinPartitions("file", "first")
+            .mapInArrow(fetch, schema))
 
 
 def fresh_folder(spark: SparkSession) -> str:

@@ -1,21 +1,27 @@
 """Token ids of whole texts with a tokenizer whose tokens never span white space."""
 
 import os
+import re
 import sys
+from array import array
 from types import ModuleType
 
 import numpy as np
 
 CACHE_WORDS = 1 << 20
-CACHE_BYTES = 1 << 25
+CACHE_BYTES = 1 << 24
+JOINED = 256
+STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s|\Z)")
+STATE = "logloom_worker_words"
 
 
 class WordEncoder:
     """Encodes the words of a text once each; ids are little-endian unsigned 32-bit.
 
-    Right for tokenizers that drop or split at white space before anything else, so
-    that a text's ids are the ids of its words in turn. Words are the runs between
-    ASCII white space. The cache is emptied when it holds too many words or bytes.
+    For tokenizers that compose (NFC) and lower-case the text, drop white space, cut
+    it into runs of letters, single digits and runs of other signs, and end each run
+    with a token marked ``</w>``. Words are the runs between ASCII white space. The
+    cache is emptied when it holds too many words or bytes.
     """
 
     def __init__(self, path: str):
@@ -23,20 +29,62 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.held = 0
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, words: list[bytes]) -> None:
-        new = [w for w in set(words) if w not in self.known]
+        known = self.known
+        new = {w for w in words if w not in known}
         self.held += sum(map(len, new))
-        if len(self.known) + len(new) > CACHE_WORDS or self.held > CACHE_BYTES:
-            self.known.clear()
-            new = list(set(words))
+        if len(known) + len(new) > CACHE_WORDS or self.held > CACHE_BYTES:
+            known.clear()
+            new = set(words)
             self.held = sum(map(len, new))
-        coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new],
-                                            add_special_tokens=False)
-        for word, code in zip(new, coded, strict=True):
-            self.known[word] = np.array(code.ids, "<u4").tobytes()
+        stopped, letters, rest = [], [], []
+        for word in new:
+            text = word.decode("utf-8", "replace")
+            # a stop after a letter or digit is a run of its own
+            if len(text) > 1 and text[-1] in ".," and text[-2].isalnum():
+                stopped.append(word)
+                word, text = word[:-1], text[:-1]
+                if word in known:
+                    continue
+            (letters if text.isalpha() else rest).append((word, text))
+        if stopped:
+            rest += [(b".", "."), (b",", ",")]
+        for at in range(0, len(letters), JOINED):
+            some = letters[at:at + JOINED]
+            ids = np.array(self._ids([" ".join(t for _, t in some)])[0], "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):  # a letter that falls apart when lower-cased
+                rest += some
+                continue
+            data, start = ids.tobytes(), 0
+            for (word, _), end in zip(some, (ends * 4).tolist(), strict=True):
+                known[word] = data[start:end]
+                start = end
+        for (word, _), ids in zip(rest, self._ids([t for _, t in rest]), strict=True):
+            known[word] = array("I", ids).tobytes()
+        for word in stopped:
+            known[word] = known[word[:-1]] + known[word[-1:]]
+
+    def split(self, text: str | None) -> list[bytes]:
+        """The words of a text, in forms that recur more often but have the same ids.
+
+        A stop after an ASCII letter or digit becomes a word of its own. A-Z are
+        lower-cased here, but not where a special token's text or a
+        combining mark (U+0300 to U+037F) could make a difference.
+        """
+        data = (text or "").encode("utf-8", "replace")
+        if not (b"<|" in data or b"\xcc" in data or b"\xcd" in data):
+            data = STOP.sub(rb" \1", data.lower())
+        return data.split()
 
     def parts(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word."""
@@ -45,13 +93,10 @@ class WordEncoder:
             return [known[w] for w in words]
         except KeyError:
             self._learn(words)
-            return [self.known[w] for w in words]
+            return [known[w] for w in words]
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(self.parts((text or "").encode("utf-8", "replace").split()))
-
-
-STATE = "logloom_worker_state"
+        return b"".join(self.parts(self.split(text)))
 
 
 def encoder(path: str) -> WordEncoder:
