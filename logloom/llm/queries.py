@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import exact_dedup, mixing, quality, token_frames
+from logloom.llm import exact_dedup, mixing, near_dedup, nearest, quality, token_frames
 from logloom.llm.common import table
 from logloom.session import configure
 
@@ -40,6 +40,10 @@ def op6_token_frames(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return mixing.plan(docs, schedule, SHARE, MOST).select(
@@ -51,6 +55,10 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, folder, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
 def bound(query):
     return lambda spark, folder: query(configure(spark), folder)
 
@@ -58,6 +66,8 @@ def bound(query):
 QUERIES = {name: bound(query) for name, query in [
     ("op4_quality", op4_quality),
     ("op6_token_frames", op6_token_frames),
+    ("op7_nearest", op7_nearest),
     ("op8_mixing", op8_mixing),
     ("op9_exact_dedup", op9_exact_dedup),
+    ("op10_near_dedup", op10_near_dedup),
 ]}

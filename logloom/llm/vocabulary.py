@@ -1,7 +1,6 @@
 """Token ids of whole texts with a tokenizer whose tokens never span white space."""
 
 import os
-import re
 import sys
 from array import array
 from types import ModuleType
@@ -11,7 +10,6 @@ import numpy as np
 CACHE_WORDS = 1 << 20
 CACHE_BYTES = 1 << 24
 JOINED = 256
-STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s|\Z)")
 STATE = "logloom_worker_words"
 
 
@@ -46,7 +44,7 @@ class WordEncoder:
             known.clear()
             new = set(words)
             self.held = sum(map(len, new))
-        stopped, letters, rest = [], [], []
+        stopped, letters, rest, model = [], [], [], self.tokenizer.model
         for word in new:
             text = word.decode("utf-8", "replace")
             # a stop after a letter or digit is a run of its own
@@ -55,7 +53,11 @@ class WordEncoder:
                 word, text = word[:-1], text[:-1]
                 if word in known:
                     continue
-            (letters if text.isalpha() else rest).append((word, text))
+            if text.isascii() and text.isalpha() and text.islower():
+                # a run of letters that nothing changes goes straight to the model
+                known[word] = array("I", [t.id for t in model.tokenize(text)]).tobytes()
+            else:
+                (letters if text.isalpha() else rest).append((word, text))
         if stopped:
             rest += [(b".", "."), (b",", ",")]
         for at in range(0, len(letters), JOINED):
@@ -77,13 +79,12 @@ class WordEncoder:
     def split(self, text: str | None) -> list[bytes]:
         """The words of a text, in forms that recur more often but have the same ids.
 
-        A stop after an ASCII letter or digit becomes a word of its own. A-Z are
-        lower-cased here, but not where a special token's text or a
+        A-Z are lower-cased here, but not where a special token's text or a
         combining mark (U+0300 to U+037F) could make a difference.
         """
         data = (text or "").encode("utf-8", "replace")
         if not (b"<|" in data or b"\xcc" in data or b"\xcd" in data):
-            data = STOP.sub(rb" \1", data.lower())
+            data = data.lower()
         return data.split()
 
     def parts(self, words: list[bytes]) -> list[bytes]:
