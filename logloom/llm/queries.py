@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import exact_dedup, mixing, near_dedup, nearest, quality, token_frames
+from logloom.llm import (
+    edits, exact_dedup, line_runs, mixing, near_dedup, nearest, quality, sentencepiece,
+    token_frames, tool_calls)
 from logloom.llm.common import table
 from logloom.session import configure
 
@@ -12,6 +14,52 @@ END_ID = 1
 CURRICULUM = [[(0, 4.5), (1, 1.5)], [(0, 1), (1, 1)], [(0, 1), (1, 3)]]
 SHARE, MOST = 1.5, 2.0
 
+#: Tool, parameter, type, required.
+TOOLS = [("search", "query", "string", True), ("search", "limit", "integer", False),
+         ("read", "source", "string", True), ("read", "max_chars", "integer", True),
+         ("rate", "score", "number", True), ("rate", "final", "boolean", False)]
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """Conversations whose assistant calls tools, about the text, and users answer.
+
+    With faults by turn and conversation: repeated and unknown ids, unknown tools,
+    missing, extra and mistyped arguments, references to later calls and circles.
+    """
+    arguments = """CASE (conv_id + turn + k) % 4
+      WHEN 0 THEN to_json(named_struct('query', substring_index(text, ' ', 3), 'limit',
+        if(conv_id % 5 = 0, '3', NULL), 'page', if(conv_id % 11 = 0, turn, NULL)))
+      WHEN 1 THEN to_json(named_struct('source', '$t' || turn || '-' || (k
+        + if(conv_id % 6 = 0, 1, -1)), 'max_chars', if(turn % 5 = 1, NULL, length(text))))
+      WHEN 2 THEN if(conv_id % 13 = 0, '[0.5]', '{"score": ' || length(text) || '.5, "final" : '
+        || (turn % 4 = 1) || '}')
+      ELSE to_json(named_struct('source', '$t' || if(turn > 2, turn - 2, turn) || '-0',
+        'max_chars', k)) END"""
+    name = """CASE (conv_id + turn + k) % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'read'
+      WHEN 2 THEN if(conv_id % 17 = 0, 'erase', 'rate') ELSE 'read' END"""
+    made = f"""transform(sequence(0, CAST(turn % 3 AS INT)), k -> named_struct(
+      'id', 't' || turn || '-' || if(conv_id % 19 = 0, 0, k), 'name', {name},
+      'arguments', {arguments}))"""
+    return conversations.selectExpr(
+        "conv_id", "turn", "role", "text",
+        f"CASE WHEN role = 'assistant' THEN {made} END AS calls",
+        "CASE WHEN role = 'user' AND turn > 1 THEN 't' || if(conv_id % 7 = 0, turn, turn - 1) "
+        "|| '-0' END AS result_for")
+
+
+def document_edits(docs: DataFrame) -> DataFrame:
+    """Up to five edits per document, at places drawn by its id and length."""
+    def drawn(name):
+        return F.xxhash64("doc_id", "seq", F.lit(name))
+
+    texts = F.array(*map(F.lit, ["", " edited", "word", " two words ", "\n", ".", "a new line.\n"]))
+    return docs.select("doc_id", F.length("text").alias("n"), F.explode(F.sequence(
+        F.lit(0), F.pmod(F.xxhash64("doc_id"), F.lit(6)) - 1)).alias("seq")) \
+        .where("seq >= 0").select(
+            "doc_id", "seq", F.pmod(drawn("at"), F.coalesce("n", F.lit(0)) + 1).alias("at"),
+            F.pmod(drawn("removed"), F.lit(60)).alias("removed"),
+            texts[F.pmod(drawn("text"), F.lit(7)).cast("int")].alias("inserted"))
+
 
 def tokenizer(name: str) -> str:
     import public_tokenizers
@@ -23,6 +71,20 @@ def schedule(sources: DataFrame) -> DataFrame:
     return mixing.cycled(sources, CURRICULUM)
 
 
+def op1_line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return line_runs.remove_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "removed_lines", "text")
+
+
+def op2_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    return tool_calls.events(tool_messages(table(spark, folder, "conversations")), TOOLS)
+
+
+def op3_edited_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return edits.counted(docs, document_edits(docs), tokenizer("word_bpe_49k.json"))
+
+
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     model = quality.fit(docs, labels)
@@ -32,6 +94,14 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.col("text").alias("whole"))
+    pieces = tokenizer("piece_bpe_32k.model")
+    coded = sentencepiece.decode(sentencepiece.encode(docs, pieces), pieces)
+    return coded.select("doc_id", F.size("ids").alias("n_tokens"), "ids",
+                        (F.coalesce("whole", F.lit("")) == F.col("text")).alias("round_trip"))
+
+
 def op6_token_frames(spark: SparkSession, folder: str) -> DataFrame:
     where = token_frames.fresh_folder(spark)
     index = token_frames.write(table(spark, folder, "documents"), where,
@@ -64,7 +134,11 @@ def bound(query):
 
 
 QUERIES = {name: bound(query) for name, query in [
+    ("op1_line_runs", op1_line_runs),
+    ("op2_tool_calls", op2_tool_calls),
+    ("op3_edited_counts", op3_edited_counts),
     ("op4_quality", op4_quality),
+    ("op5_sentencepiece", op5_sentencepiece),
     ("op6_token_frames", op6_token_frames),
     ("op7_nearest", op7_nearest),
     ("op8_mixing", op8_mixing),

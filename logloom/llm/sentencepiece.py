@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 MARK = "▁"
 CACHE_PARTS, CACHE_CHARS, LONGEST_CACHED = 1 << 20, 1 << 24, 256
@@ -62,9 +62,11 @@ class Vocabulary:
         return self
 
     def _take(self, names, scores, ids, coded, unknown):
-        self.names, self.ids, self.bytes, self.unknown = names, ids, coded, unknown
+        self.ids, self.bytes, self.unknown = ids, coded, unknown
+        self.data = [n.encode() for n in names]
+        for byte, i in coded.items():
+            self.data[i] = bytes([byte])
         self.scores = {p: s for p, s in scores.items() if s > BARRED}
-        self.byte_of = {i: b for b, i in coded.items()}
         self.longest = max(map(len, self.scores))
         self.floor = min(self.scores.values()) - UNKNOWN_PENALTY
         self.prefixes = {p[:n] for p in self.scores for n in range(1, len(p) + 1)}
@@ -196,18 +198,8 @@ class Encoder:
 
     def decode(self, ids) -> str:
         """The text of ``ids``; bytes that are not UTF-8 become replacement marks."""
-        names, byte_of = self.v.names, self.v.byte_of
-        parts, pending = [], bytearray()
-        for i in ids:
-            if i in byte_of:
-                pending.append(byte_of[i])
-                continue
-            if pending:
-                parts.append(pending.decode("utf-8", "replace"))
-                pending.clear()
-            parts.append(names[i])
-        parts.append(pending.decode("utf-8", "replace"))
-        return "".join(parts)[1:].replace(MARK, " ")
+        text = b"".join([self.v.data[i] for i in ids]).decode("utf-8", "replace")
+        return text[1:].replace(MARK, " ")
 
 
 def worker_encoder(path: str) -> Encoder:
@@ -221,7 +213,7 @@ def worker_encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Rows of ``docs`` without their text, with ``ids`` (array of int)."""
     kept = [c for c in docs.columns if c not in ("text", "ids")]
-    schema = StructType([docs.schema[c] for c in kept]).add("ids", "array<int>")
+    schema = StructType([docs.schema[c] for c in kept]).add("ids", ArrayType(IntegerType()))
 
     def run(batches):
         coder = worker_encoder(vocabulary)
@@ -238,14 +230,14 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 def decode(rows: DataFrame, vocabulary: str) -> DataFrame:
     """Rows with ``ids`` given back their ``text``."""
-    kept = [c for c in rows.columns if c not in ("text", "ids")]
+    kept = [c for c in rows.columns if c != "text"]
     schema = StructType([rows.schema[c] for c in kept]).add("text", "string")
 
     def run(batches):
         coder = worker_encoder(vocabulary)
         for batch in batches:
-            texts = pa.array([coder.decode(i or ()) for i in batch["ids"].to_pylist()],
-                             pa.string())
+            texts = pa.array([coder.decode(i.values.to_numpy().tolist() if i.is_valid else ())
+                              for i in batch["ids"]], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), texts], [*kept, "text"])
 
-    return rows.select(*kept, "ids").mapInArrow(run, schema)
+    return rows.select(*kept).mapInArrow(run, schema)
