@@ -1,11 +1,22 @@
-"""A corpus from documents to token ids, as stages over stored tables."""
+"""A corpus from documents to token ids, as stages over stored tables.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows it is given; all but
+the last return the columns of ``documents``. ``n_chars`` follows the text.
+
+ORACLE_SQL is None: compression, hashing and segmentation have no SQL form; the
+stages are tested against brute force instead.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.llm import mixing, quality
+from logloom.llm import line_runs, mixing, near_dedup, quality, sentencepiece
 from logloom.llm.common import stored, table
-from logloom.llm.queries import MOST, SHARE, schedule
+from logloom.llm.queries import MOST, SHARE, schedule, tokenizer
+
+#: Near duplicates: 80 % of the shingles in common.
+NEAR = {"percent": 80, "rows": 8, "bands": 48}
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,17 +25,48 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(quality.score(F.col("text"), model) >= 0.5)
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of runs of lines; those left empty by it go."""
+    removed = line_runs.remove_repeats(docs, removed="_removed").where(
+        (F.col("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return removed.select(*[
+        F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col(c))
+        .cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
+        for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest doc_id.
+
+    Rows that repeat a doc_id are one document; rows without an id stay.
+    """
+    kept = near_dedup.near_duplicates(docs, **NEAR).where("kept").select(
+        F.col("doc_id").alias("_kept")).distinct()
+    turn = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
+    return (docs.join(kept, F.expr("doc_id = _kept")).withColumn("_turn", turn)
+            .where("_turn = 1").select(*docs.columns)
+            .unionByName(docs.where("doc_id IS NULL")))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in training order."""
     return mixing.mixed(docs, schedule, SHARE, MOST)
 
 
-STAGES = [("quality", classify), ("mixing", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' piece ids instead of their texts."""
+    return sentencepiece.encode(docs, tokenizer("piece_bpe_32k.model")).withColumn(
+        "n_tokens", F.size("ids"))
+
+
+STAGES = [("quality classifier", classify), ("line dedup", drop_repeated_lines),
+          ("minhash near-dedup", drop_near_duplicates), ("source mixing", mix),
+          ("sentencepiece", encode)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)
