@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 MARK = "▁"
-CACHE_PARTS, CACHE_CHARS, LONGEST_CACHED = 1 << 20, 1 << 24, 256
+CACHE_PARTS, CACHE_CHARS, LONGEST_CACHED = 5 << 17, 1 << 24, 256
 #: How far a symbol without a piece lies below the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Pieces that the model file bars with scores below this are never used.
