@@ -6,11 +6,13 @@ hash of each shingle picks a bin and a value, the bin keeps its least value; an
 bin borrows from a non-empty bin chosen by a hash that all documents share. ``rows``
 bins make a band; documents with the same band meet in a bucket.
 
-Documents with the same set are one from the start. In a bucket only a star of
-candidate pairs is made: its centre with each other member. Members that turn out
-to be linked with the centre leave; the rest form a star again, with another centre,
-for ``rounds`` rounds. Every pair is confirmed on the full sets, and confirmed links
-are joined to components.
+Documents with the same set are one from the start. In a bucket only stars of
+candidate pairs are made: a centre with each other member. The first centre is the
+member that shares most buckets with others, as the origin of a group of copies does.
+Every pair is confirmed on the full sets, and confirmed links are joined to
+components. Buckets that still hold several components get further stars, with
+``CENTRES`` centres drawn by a hash in each of the following rounds, between members
+of different components.
 
 Result per document row: doc_id, n_shingles, component_id (smallest doc_id that can
 be reached), kept. Null or empty texts and texts of white space have no shingles and
@@ -31,7 +33,7 @@ from logloom.llm.common import stored
 
 WORDS = 5
 ROWS, BANDS = 10, 48
-ROUNDS = 4
+ROUNDS, CENTRES = 3, 3
 SKETCH = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
 SETS = "node bigint, shingles array<bigint>"
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -152,15 +154,25 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def stars(members: DataFrame, turn: int) -> DataFrame:
-    """Rows (band, node) with the centre of their band; bands of one node fall away.
+    """Pairs (node, centre) of bucket members (band, node, shared, component).
 
-    The first centres are the smallest nodes, which a cluster shares over its bands;
-    later ones are drawn by a hash.
+    Buckets of one component, and pairs within one, fall away.
     """
-    centre = F.min("node") if turn == 0 else F.min_by("node", F.xxhash64("node", F.lit(turn)))
-    centres = members.groupBy("band").agg(centre.alias("centre"), F.count(F.lit(1)).alias("n"))
-    return (members.join(centres.where("n > 1").drop("n"), "band")
-            .where("node <> centre"))
+    if turn:
+        ranks = [F.xxhash64("node", F.lit(turn * CENTRES + i)) for i in range(CENTRES)]
+    else:  # ties are broken by a hash, the same in all buckets
+        ranks = [F.col("shared") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))]
+    centres = (
+        members.groupBy("band").agg(
+            F.min("component").alias("_low"), F.max("component").alias("_high"),
+            *[F.max_by("node", rank).alias(f"_{i}") for i, rank in enumerate(ranks)])
+        .where("_low < _high")
+        .select("band", F.explode(F.array_distinct(F.array(*[
+            f"_{i}" for i in range(len(ranks))]))).alias("centre")))
+    homes = members.select(F.col("node").alias("centre"), F.col("component").alias("_home")) \
+        .distinct()
+    return (members.join(centres, "band").select("node", "component", "centre").distinct()
+            .join(homes, "centre").where("component <> _home").select("node", "centre"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
@@ -175,19 +187,24 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
             .where(100 * common >= percent * union).select("a", "b"))
 
 
-def links(sketched: DataFrame, texts: DataFrame, percent: int, words: int,
-          rounds: int) -> DataFrame:
-    """Confirmed links a < b between nodes, from ``rounds`` rounds of stars."""
-    members = sketched.select("node", "n_shingles", F.explode("bands").alias("band"))
+def linked(sketched: DataFrame, texts: DataFrame, percent: int, words: int,
+           rounds: int) -> DataFrame:
+    """node, component of the nodes that rounds of stars have linked with others."""
+    members = sketched.select("node", F.explode("bands").alias("band"))
     members = stored(members.join(
-        members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
-        "band"), "near-buckets")
+        members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"),
+        "near-buckets")
+    members = stored(members.drop("n").join(
+        members.groupBy("node").agg(F.sum("n").alias("shared")), "node"), "near-members")
+    size = sketched.select("node", "n_shingles")
     tested = found = None
+    joined = members.select("node", F.col("node").alias("component")).where("false")
     for turn in range(rounds):
-        star = stored(stars(members.select("band", "node"), turn), f"near-star{turn}")
+        placed = members.join(joined, "node", "left").withColumn(
+            "component", F.coalesce("component", "node"))
+        star = stars(placed, turn)
         pairs = star.select(F.least("node", "centre").alias("a"),
                             F.greatest("node", "centre").alias("b")).distinct()
-        size = sketched.select("node", "n_shingles")
         # sets whose sizes differ too much cannot be similar enough
         pairs = (pairs.join(size.toDF("a", "size_a"), "a").join(size.toDF("b", "size_b"), "b")
                  .where(F.least("size_a", "size_b") * 100
@@ -195,18 +212,13 @@ def links(sketched: DataFrame, texts: DataFrame, percent: int, words: int,
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, f"near-pairs{turn}")
-        linked = stored(confirmed(pairs, texts, percent, words), f"near-links{turn}")
+        if pairs.isEmpty():
+            break
+        links = stored(confirmed(pairs, texts, percent, words), f"near-links{turn}")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = linked if found is None else found.unionByName(linked)
-        if turn + 1 < rounds:
-            near = found.selectExpr("a AS centre", "b AS node").unionByName(
-                found.selectExpr("b AS centre", "a AS node"))
-            # the centre has been compared with all; who is linked with it goes on in it
-            members = stored(star.join(near, ["centre", "node"], "left_anti")
-                             .select("band", "node"), f"near-rest{turn}")
-            if members.isEmpty():
-                break
-    return found
+        found = links if found is None else found.unionByName(links)
+        joined = components(found)
+    return joined
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,13 +262,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rows: int = ROWS, bands:
     """
     sketched = stored(sketches(docs, rows, bands, words), "near-sketches")
     filled = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = filled.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    # stored, so that the join below has an exchange of its own that can be split
+    same = stored(filled.groupBy("digest").agg(F.min("doc_id").alias("node")), "near-same")
     heads = stored(
         filled.join(same.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
         .select(F.col("doc_id").alias("node"), "n_shingles", "digest", "bands")
         .dropDuplicates(["node", "digest"]), "near-heads")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text")
-    found = components(links(heads, texts, percent, words, rounds))
+    found = linked(heads, texts, percent, words, rounds)
     placed = (
         sketched.select("doc_id", "n_shingles", "digest")
         .join(same.withColumnRenamed("node", "_node"), "digest", "left")

@@ -1,0 +1,190 @@
+"""Word encoder, token frames, edited counts and pieces against whole encodings."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from conftest import DATA
+from logloom.llm import edits, sentencepiece, token_frames
+from logloom.llm.queries import tokenizer
+from logloom.llm.vocabulary import WordEncoder
+
+tokenizers = pytest.importorskip("tokenizers")
+WORDS = tokenizer("word_bpe_49k.json")
+PIECES = tokenizer("piece_bpe_32k.model")
+WHOLE = tokenizers.Tokenizer.from_file(WORDS)
+ENCODER = WordEncoder(WORDS)
+ODD = ["J̌ a", "It's <|endoftext|>x <|ENDOFTEXT|>", "İstanbul ΣΑΣ. ﬁ 中文, ½. x…. a.. 1,2. ..",
+       "été\x1c\x85 x", "don't.", "", "a\x00b", "ŉ. ẞ, Ǆ", "x" * 3000]
+
+
+def ids_of(text):
+    return WHOLE.encode(text or "", add_special_tokens=False).ids
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("abAB .,'\n\té<|>1"), st.characters(codec="utf-8"))))
+def test_words_give_the_ids_of_the_text(text):
+    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids_of(text)
+
+
+def test_odd_texts():
+    for text in ODD:
+        assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids_of(text)
+
+
+SCHEMA = "doc_id bigint, text string, start string, file string, ids string"
+
+
+def test_frames_round_trip(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [
+        (-3, None), (-2, ""), (10 ** 6, "twice"), (10 ** 6, "twice"), (None, "no id"), (-1, ODD[2])]
+    frame = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in rows], SCHEMA).repartition(4)
+    folder = f"file://{tmp_path}/frames"
+    index = token_frames.write(frame, folder, WORDS, 1, frame_bytes=1 << 12)
+    got = token_frames.read(index, folder).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    start, want = 0, []
+    for doc_id, text in order:
+        data = np.array([*ids_of(text), 1], "<u4").tobytes()
+        want.append((doc_id, start, len(data) // 4, zlib.crc32(data)))
+        start += len(data) // 4
+    assert sorted(((r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in got),
+                  key=lambda r: r[1]) == want
+
+
+def test_reader_opens_only_the_frames_asked_for(tmp_path):
+    data = np.arange(100_000, dtype="<u4").tobytes()
+    writer = token_frames.FrameWriter(str(tmp_path / "x.zst"), frame_bytes=1000)
+    for i in range(0, len(data), 7777):
+        writer.write(data[i:i + 7777])
+    writer.close()
+    reader = token_frames.FrameReader(str(tmp_path / "x.zst"))
+    assert len(reader.sums) == 400
+    assert reader.read(4100, 2000) == data[4100:6100]
+    assert reader.frames_read == 3
+    broken = (tmp_path / "x.zst").read_bytes()
+    (tmp_path / "y.zst").write_bytes(broken[:30] + bytes([broken[30] ^ 1]) + broken[31:])
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        token_frames.FrameReader(str(tmp_path / "y.zst")).read(0, 4)
+
+
+def test_frames_of_no_rows(spark, tmp_path):
+    folder = f"file://{tmp_path}/none"
+    index = token_frames.write(spark.createDataFrame([], SCHEMA), folder, WORDS, 1)
+    assert token_frames.read(index, folder).collect() == []
+
+
+PARTS = ["a", "b ", " ", "the", "\n", "  \t", ".", "é", "don't ", "中文 ", "123", "<|endoftext|>"]
+
+
+@pytest.mark.parametrize("leaf", [1, 2, 32])
+def test_edits_keep_the_count(leaf):
+    draw, count = random.Random(leaf), edits.counter(WORDS)
+    for _ in range(200):
+        text = "".join(draw.choice(PARTS) for _ in range(draw.randint(0, 80)))
+        tree = edits.CountTree(text, count, leaf)
+        for _ in range(5):
+            at, removed = draw.randint(-1, len(text) + 2), draw.choice([0, 0, 1, 3, 25])
+            inserted = "".join(draw.choice(PARTS) for _ in range(draw.randint(0, 4)))
+            low = min(max(at, 0), len(text))
+            text = text[:low] + inserted + text[min(low + removed, len(text)):]
+            tree.edit(at, removed, inserted)
+            assert (tree.text, tree.total, tree.chars[1]) == (text, len(ids_of(text)), len(text))
+
+
+def test_an_edit_encodes_few_words():
+    tree = edits.CountTree("word " * 10_000, edits.counter(WORDS))
+    tree.encoded = 0
+    tree.edit(25_002, 1, "xy")
+    assert tree.encoded == 1
+    assert tree.total == len(ids_of("word " * 5000 + "woxyd" + " word" * 4999))
+
+
+def test_counted(spark):
+    docs = spark.createDataFrame([(1, "one two three", "z"), (2, None, "z"), (None, "x y", "z"),
+                                  (3, "", "z"), (1, "one two three", "z")],
+                                 "doc_id bigint, text string, tokens_after string")
+    changes = spark.createDataFrame([(1, 1, 0, 3, "zero"), (1, 2, 4, 1, None), (2, 0, 5, 5, "hi"),
+                                     (None, 0, 0, 9, "q"), (77, 0, 0, 0, "w"), (3, 0, None, None, "a b")],
+                                    "doc_id bigint, seq bigint, at bigint, removed bigint, inserted string")
+    got = sorted((tuple(r) for r in edits.counted(docs, changes, WORDS)
+                  .select("doc_id", "tokens_before", "tokens_after", "chars_after").collect()), key=str)
+    after = "zerotwo three"
+    one = (1, len(ids_of("one two three")), len(ids_of(after)), len(after))
+    assert got == sorted([one, one, (2, 0, len(ids_of("hi")), 2), (3, 0, len(ids_of("a b")), 3),
+                          (None, len(ids_of("x y")), len(ids_of("x y")), 3)], key=str)
+    assert edits.counted(docs.where("false"), changes, WORDS).collect() == []
+
+
+def best_path(text, vocabulary):
+    """Whole-text Viterbi; of equal scores the longer last piece."""
+    score, back = [0.0], [0]
+    for end in range(1, len(text) + 1):
+        options = []
+        for start in range(max(0, end - vocabulary.longest), end):
+            piece = text[start:end]
+            value = vocabulary.scores.get(piece, vocabulary.floor if end - start == 1 else None)
+            if value is not None:
+                options.append((score[start] + value, -start))
+        best = max(options)
+        score.append(best[0])
+        back.append(-best[1])
+    path, end = [], len(text)
+    while end:
+        path = vocabulary.code(text[back[end]:end]) + path
+        end = back[end]
+    return path
+
+
+SMALL = sentencepiece.Vocabulary.of({"a": -3.0, "b": -4.0, "ab": -5.0, "aba": -7.0, "bb": -7.0,
+                                     "abab": -9.0, "▁": -2.0, "▁a": -4.0, "b▁a": -6.0})
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab▁c", max_size=120), st.integers(1, 9))
+def test_streaming_is_the_best_path(text, step):
+    viterbi, ids = sentencepiece.StreamingViterbi(SMALL), []
+    for i in range(0, len(text), step):
+        ids += viterbi.feed(text[i:i + step])
+        assert len(viterbi.text) <= len(text)
+    assert ids + viterbi.finish() == best_path(text, SMALL)
+
+
+MODEL = sentencepiece.Vocabulary(PIECES)
+CODER = sentencepiece.Encoder(MODEL)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("the ▁ing\n  é"), st.characters(codec="utf-8")), max_size=60))
+def test_pieces_of_texts(text):
+    marked = "▁" + text.replace(" ", "▁")
+    assert CODER.encode(text).tolist() == (best_path(marked, MODEL) if text else [])
+    if "▁" not in text:
+        assert CODER.decode(CODER.encode(text).tolist()) == text
+
+
+def test_memory_stays_small_on_long_words():
+    viterbi = sentencepiece.StreamingViterbi(MODEL)
+    held = 0
+    for _ in range(2000):
+        viterbi.feed("thingnessabc" * 3)
+        held = max(held, len(viterbi.text))
+    assert held < 20 * MODEL.longest
+
+
+def test_encode_and_decode(spark):
+    rows = [(1, "Hello  world ", "p"), (2, None, "q"), (3, "", None), (1, "Hello  world ", "p"),
+            (None, "中文 \n ﬁ", "r")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, ids string")
+    coded = sentencepiece.encode(docs, PIECES)
+    assert coded.columns == ["doc_id", "ids"]
+    got = sentencepiece.decode(coded, PIECES).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(
+        ((i, t or "") for i, t, _ in rows), key=str)
+    assert sentencepiece.encode(docs.where("false"), PIECES).collect() == []
