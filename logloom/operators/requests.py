@@ -15,8 +15,6 @@ from logloom.operators.guard import is_unsafe
 from logloom.operators.quality import TO_JUDGE
 from logloom.sources.log import role_rows
 
-HISTORY_LIMIT = 50
-
 REVISE_OPERATIONAL = (
     "The last draft was rejected: {feedback} Confirm the appointment or contact details "
     "briefly, in first person, in fewer than {max_words} words."
@@ -48,26 +46,36 @@ def _last(items, count: int):
     return F.slice(items, F.greatest(F.size(items) - count + 1, F.lit(1)), F.lit(count))
 
 
+def chat_history(messages: DataFrame, width: int = BLOCK_IDS) -> DataFrame:
+    """id, session_id, at, role, content: what was said, numbered from 1 per session."""
+    rows = role_rows(messages, C.USER, C.ASSISTANT).select("id", "session_id", "role", "content")
+    return numbered(rows, ["session_id"], ["id"], "at", width)
+
+
 def chat_requests(messages: DataFrame, system_text: str, revisions: DataFrame | None = None,
-                  history_limit: int = HISTORY_LIMIT, max_words: int = C.MAX_WORDS,
+                  history_limit: int | None = None, max_words: int = C.MAX_WORDS,
                   width: int = BLOCK_IDS) -> DataFrame:
-    """A chat request per user message: system text, revision note, history, message.
+    """A chat request per user message: id, session_id, at, messages.
 
-    ``revisions`` (id, feedback) asks for a new draft of some messages.
-    ``history_limit`` is the size of the model's message window.
+    ``messages`` holds the system text, a revision note and the message. The history
+    is all of ``chat_history`` with the session's ``at`` below the request's, so that
+    requests and history together are no larger than the log. With a
+    ``history_limit``, the size of a model's message window, that many messages of it
+    are put before the message. ``revisions`` (id, feedback) asks for a new draft.
     """
-    rows = role_rows(messages, C.USER, C.ASSISTANT).select(
-        "id", "session_id", "role", "content", contains_any(
-            F.col("content"), C.OPERATIONAL_HINTS).alias("hint"))
-    rows = numbered(rows, ["session_id"], ["id"], "at", width)
+    rows = chat_history(messages, width).withColumn(
+        "hint", contains_any(F.col("content"), C.OPERATIONAL_HINTS))
     if revisions is not None:
         # joined before the histories are there, while rows are small
         rows = rows.join(revisions.select("id", "feedback"), "id", "left")
     entry = F.struct("role", "content")
-    rows = with_preceding(rows, ["session_id"], "at", F.struct(entry.alias("entry"), "hint"),
-                          max(history_limit, C.HISTORY_LOOKBACK), "before")
+    lent = F.struct(entry.alias("entry"), "hint") if history_limit else F.struct("hint")
+    rows = with_preceding(rows, ["session_id"], "at", lent,
+                          max(history_limit or 0, C.HISTORY_LOOKBACK), "before")
     rows = rows.where(F.col("role") == C.USER)
-    history = _last(F.transform("before", lambda b: b["entry"]), history_limit)
+    history = F.array().cast("array<struct<role:string,content:string>>")
+    if history_limit:
+        history = _last(F.transform("before", lambda b: b["entry"]), history_limit)
 
     def system(text):
         return F.array(F.struct(F.lit("system").alias("role"), text.alias("content")))
@@ -81,7 +89,7 @@ def chat_requests(messages: DataFrame, system_text: str, revisions: DataFrame |
             _filled(REVISE_GROUNDED, **args))
         note = F.when(F.col("feedback") != "", system(text)).otherwise(note)
     return rows.select(
-        "id", "session_id",
+        "id", "session_id", "at",
         F.concat(system(F.lit(system_text)), note, history, F.array(entry)).alias("messages"))
 
 

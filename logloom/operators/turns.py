@@ -1,6 +1,7 @@
 """Turns: assembled from the log, folded from drafts, written back to the log."""
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom import constants as C
@@ -11,9 +12,10 @@ from logloom.sources.log import role_rows
 
 
 def turns(messages: DataFrame) -> DataFrame:
-    """One row per turn, keyed by (session_id, timestamp), which its rows share.
+    """One row per turn, whose rows share (session_id, timestamp).
 
-    A turn begins with a user row; the reply, tool row and grading row may be
+    Where several turns share both, each user row begins one, in the order of id;
+    rows before the first user row belong to the first. A turn begins with a user row; the reply, tool row and grading row may be
     missing. ``tools`` holds distinct names; ``attempts`` and ``passed`` are
     NULL where no grading row was written, which does not mean "passed".
     """
@@ -22,9 +24,12 @@ def turns(messages: DataFrame) -> DataFrame:
                         F.when(F.col("role") == role, F.col("id")))
 
     grading = F.try_parse_json("_evaluator")
+    begun = F.count(F.when(F.col("role") == C.USER, 1)).over(
+        W.partitionBy("session_id", "timestamp").orderBy("id"))
     return (
         role_rows(messages, C.USER, C.ASSISTANT, C.TOOL_LOG, C.EVALUATOR_LOG)
-        .groupBy("session_id", "timestamp")
+        .withColumn("_turn", F.greatest(begun, F.lit(1)))
+        .groupBy("session_id", "timestamp", "_turn")
         .agg(F.min(F.when(F.col("role") == C.USER, F.col("id"))).alias("user_row_id"),
              content(C.USER).alias("user_message"),
              content(C.ASSISTANT).alias("response"),
@@ -42,14 +47,17 @@ def turns(messages: DataFrame) -> DataFrame:
 def fold_drafts(drafts: DataFrame, max_retries: int = C.MAX_RETRIES) -> DataFrame:
     """Fold the drafts seen so far of each turn; ``ended`` tells whether it is over.
 
-    Works on a stream in update mode too: what ends a turn stays the first such
-    draft, so later drafts repeat the same row.
+    Works on a stream in update mode too, in any order of arrival: a turn has ended
+    when a draft that ends it and all drafts before that are there, so later or
+    repeated drafts repeat the same row. Of repeated draft numbers one row counts.
     """
     fold = (
         drafts.where(F.col("draft_no") <= max_retries)
         .groupBy("turn_id")
         .agg(F.sort_array(F.collect_list(
-            F.struct("draft_no", "pass", "feedback", "response", "tools"))).alias("all"))
+            F.struct("draft_no", "pass", "feedback", "response", "tools"))).alias("_rows"))
+        .withColumn("all", F.filter("_rows", lambda d, i: (i == 0) | (
+            d["draft_no"] != F.get("_rows", i - 1)["draft_no"])))
     )
     stops = F.transform(
         F.filter("all", lambda d: d["pass"] | (d["draft_no"] >= max_retries)
@@ -74,7 +82,7 @@ def fold_drafts(drafts: DataFrame, max_retries: int = C.MAX_RETRIES) -> DataFram
             F.col("last.response").alias("response"),
             F.col("last.tools").alias("tools"),
             rejected.alias("rejections"),
-            F.col("stop").isNotNull().alias("ended"))
+            F.coalesce(F.size("seen") == F.col("stop") + 1, F.lit(False)).alias("ended"))
     )
 
 

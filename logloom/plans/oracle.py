@@ -478,18 +478,24 @@ SELECT id, failure_no, '## Failure ' || failure_no || chr(10) || 'User question:
 FROM (SELECT *, row_number() OVER (ORDER BY id) AS failure_no FROM failures)""",
     "chat_requests": _with(CHAT, CHAT_TURNS, GRADED, OPERATIONAL) + f"""
 , talk AS (
-  SELECT *, list(role || ': ' || content) OVER (
-      PARTITION BY session_id ORDER BY id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS history
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id) AS at
   FROM chat WHERE role IN ('user', 'assistant'))
-SELECT talk.id, talk.session_id, array_to_string(list_concat(
+SELECT talk.id, talk.session_id, talk.at, array_to_string(list_concat(
     ['system: ' || {_quoted(SYSTEM_TEXT)}],
     CASE WHEN feedback IS NULL THEN [] ELSE ['system: ' || replace(replace(
       CASE WHEN operational THEN {_quoted(R.REVISE_OPERATIONAL)}
            ELSE {_quoted(R.REVISE_GROUNDED)} END,
       '{{feedback}}', feedback), '{{max_words}}', '100')] END,
-    coalesce(history, []), ['user: ' || content]), chr(10)) AS request
+    ['user: ' || content]), chr(10)) AS request
 FROM talk JOIN operational USING (id) LEFT JOIN gradedf ON user_row_id = talk.id
 WHERE role = 'user'""",
+    "chat_history": _with(CHAT) + """
+SELECT id, session_id, role, content, row_number() OVER (PARTITION BY session_id ORDER BY id) AS at
+FROM chat WHERE role IN ('user', 'assistant')""",
+    "long_chat_history": _with(LOG) + """
+SELECT id, 'c' || (id % 20) AS session_id, role, content,
+       row_number() OVER (PARTITION BY id % 20 ORDER BY id) AS at
+FROM log WHERE role IN ('user', 'assistant')""",
     "judge_requests": _with(CHAT, CHAT_TURNS, GRADED, OPERATIONAL) + f"""
 SELECT user_row_id AS id, gradedf.session_id, concat_ws(chr(10) || chr(10),
     CASE WHEN tools <> '' THEN 'Tools used this turn: ' || tools END,
@@ -525,3 +531,6 @@ FROM incoming WHERE contains(content, 'IGNORE')""",
     "stream_checklist": CHECKLIST_ITEMS,
     "stream_turn_outcomes": TURN_OUTCOMES,
 }
+ORACLE |= {"stream_daily_activity": ORACLE["daily_activity"],
+           "stream_top_questions": ORACLE["top_unknown_questions"],
+           "stream_ratings": ORACLE["rating_histogram"]}

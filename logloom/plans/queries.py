@@ -312,11 +312,21 @@ def chat_requests(t: Tables) -> DataFrame:
     revisions = t.graded.where(F.col("feedback").isNotNull()).select(
         F.col("user_row_id").alias("id"), "feedback")
     rows = requests.chat_requests(t.chat, SYSTEM_TEXT, revisions)
-    return rows.select("id", "session_id", F.array_join(F.transform(
+    return rows.select("id", "session_id", "at", F.array_join(F.transform(
         "messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
         .alias("request"))
 
 
+def chat_history(t: Tables) -> DataFrame:
+    return requests.chat_history(t.chat)
+
+
+def long_chat_history(t: Tables) -> DataFrame:
+    """The log as five long conversations."""
+    session = F.concat(F.lit("c"), (F.col("id") % 20).cast("string"))
+    return requests.chat_history(t.log.withColumn("session_id", session))
+
+
 def judge_requests(t: Tables) -> DataFrame:
     return requests.judge_requests(t.graded, quality.operational_turns(t.chat), inputs.CONTEXT)
 
@@ -339,11 +349,31 @@ def stream_outbox(t: Tables) -> DataFrame:
     return jobs.read_outbox(t.spark, table)
 
 
-def stream_kpis(t: Tables) -> DataFrame:
+def _dashboard(t: Tables, read) -> DataFrame:
     table, state = shared_dir(t.spark, "dashboard"), shared_dir(t.spark, "dashboard-state")
     _finish(jobs.start_dashboard(inputs.event_log(t.stream("events")), table, state,
                                  sinks.AVAILABLE_NOW))
-    return jobs.read_kpis(t.spark, table)
+    return read(t.spark, table)
+
+
+def stream_kpis(t: Tables) -> DataFrame:
+    return _dashboard(t, jobs.read_kpis)
+
+
+def stream_daily(t: Tables) -> DataFrame:
+    return _dashboard(t, jobs.read_daily)
+
+
+def stream_daily_activity(t: Tables) -> DataFrame:
+    return _dashboard(t, jobs.read_daily_activity)
+
+
+def stream_top_questions(t: Tables) -> DataFrame:
+    return _dashboard(t, jobs.read_top_questions)
+
+
+def stream_ratings(t: Tables) -> DataFrame:
+    return _dashboard(t, jobs.read_ratings)
 
 
 def stream_rate_limit(t: Tables) -> DataFrame:
@@ -360,21 +390,6 @@ def stream_unsafe(t: Tables) -> DataFrame:
     return _joined(t.spark.read.parquet(table), "matched_rules")
 
 
-def stream_daily(t: Tables) -> DataFrame:
-    names = ["messages", "messages-state", "sessions", "sessions-state"]
-    messages, messages_state, sessions, sessions_state = (
-        shared_dir(t.spark, f"daily-{n}") for n in names)
-    stream = inputs.event_log(t.stream("events"))
-    for query in (
-        jobs.start_daily_messages(stream, messages, messages_state,
-                                  trigger=sinks.AVAILABLE_NOW),
-        jobs.start_daily_sessions(stream, sessions, sessions_state,
-                                  trigger=sinks.AVAILABLE_NOW),
-    ):
-        _finish(query)
-    return jobs.read_daily(t.spark, messages, sessions)
-
-
 def stream_checklist(t: Tables) -> DataFrame:
     table, state = shared_dir(t.spark, "checklist"), shared_dir(t.spark, "checklist-state")
     entries = payload.tool_entries(inputs.checklist_log(t.stream("events")))
@@ -436,6 +451,8 @@ QUERIES = {
     "max_retry_failures": max_retry_failures,
     "failure_digest": failure_digest,
     "chat_requests": chat_requests,
+    "chat_history": chat_history,
+    "long_chat_history": long_chat_history,
     "judge_requests": judge_requests,
     "guard_requests": guard_requests,
     "outbox": outbox_rows,
@@ -444,6 +461,9 @@ QUERIES = {
     "stream_rate_limit": stream_rate_limit,
     "stream_unsafe": stream_unsafe,
     "stream_daily": stream_daily,
+    "stream_daily_activity": stream_daily_activity,
+    "stream_top_questions": stream_top_questions,
+    "stream_ratings": stream_ratings,
     "stream_checklist": stream_checklist,
     "stream_turn_outcomes": stream_turn_outcomes,
 }

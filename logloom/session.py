@@ -45,7 +45,12 @@ def _local_root() -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which every executor sees.
 
-    A local temporary folder is used only where that setting is absent (tests).
+    Without that setting a temporary folder serves in local mode (tests); on a
+    cluster, where other executors would not see it, its absence is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local_root()
     return os.path.join(root, "logloom", f"{name}-{uuid.uuid4().hex}")

@@ -15,7 +15,7 @@ from logloom.functions.text import preview
 from logloom.operators import metrics, turns
 from logloom.operators.guard import is_unsafe
 from logloom.operators.payload import tool_entries
-from logloom.sources.log import role_counts, role_rows, with_day, with_ts
+from logloom.sources.log import role_counts, with_day
 from logloom.streaming.sinks import (
     batch_folder, compact, read_batches, start_append, start_batches, write_batch)
 
@@ -94,6 +94,13 @@ def read_daily_activity(spark: SparkSession, table: str, days: int = C.ACTIVE_DA
     return metrics.activity_rows(per_day, days)
 
 
+def read_daily(spark: SparkSession, table: str, days: int = C.ACTIVE_DAYS) -> DataFrame:
+    """day, messages, sessions of the latest active days; late rows count."""
+    per_day = _merge_days(read_batches(spark, f"{table}/days")).groupBy("day").agg(
+        F.sum("n").alias("messages"), F.count(F.lit(1)).alias("sessions"))
+    return per_day.orderBy(F.desc("day")).limit(days)
+
+
 def read_top_questions(spark: SparkSession, table: str,
                        limit: int = C.TOP_QUESTIONS) -> DataFrame:
     questions = _merge_questions(read_batches(spark, f"{table}/questions"))
@@ -104,52 +111,6 @@ def read_ratings(spark: SparkSession, table: str) -> DataFrame:
     return metrics.zero_filled_ratings(_merge_ratings(read_batches(spark, f"{table}/ratings")))
 
 
-# -- daily counts with a watermark ------------------------------------------------------
-
-LATE = "2 days"
-
-
-def _timed_user_rows(messages: DataFrame, delay: str) -> DataFrame:
-    return with_ts(role_rows(messages, C.USER)).withWatermark("ts", delay)
-
-
-def start_daily_messages(messages: DataFrame, table: str, checkpoint: str, delay: str = LATE,
-                         trigger=None) -> StreamingQuery:
-    """Messages per day; rows later than ``delay`` are dropped."""
-    counts = (
-        _timed_user_rows(messages, delay).groupBy(F.window("ts", "1 day"))
-        .agg(F.count(F.lit(1)).alias("messages"))
-        .select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "messages")
-    )
-    return start_batches(counts, checkpoint, lambda rows, n: write_batch(rows, table, n),
-                         trigger, mode="update")
-
-
-def start_daily_sessions(messages: DataFrame, table: str, checkpoint: str, delay: str = LATE,
-                         trigger=None) -> StreamingQuery:
-    """Each (day, session) once; ``delay`` must exceed a day for that to hold."""
-    pairs = (
-        _timed_user_rows(messages, delay)
-        .select("ts", "session_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
-        .dropDuplicatesWithinWatermark(["session_id", "day"])
-        .select("day", "session_id")
-    )
-    return start_append(pairs, table, checkpoint, trigger)
-
-
-def read_daily(spark: SparkSession, messages_table: str, sessions_table: str,
-               days: int = C.ACTIVE_DAYS) -> DataFrame:
-    """day, messages, sessions of the latest active days.
-
-    A day's count only grows, so its largest update is the current one.
-    """
-    messages = read_batches(spark, messages_table).groupBy("day").agg(
-        F.max("messages").alias("messages"))
-    sessions = spark.read.parquet(sessions_table).groupBy("day").agg(
-        F.count(F.lit(1)).alias("sessions"))
-    return messages.join(sessions, "day", "full_outer").orderBy(F.desc("day")).limit(days)
-
-
 # -- turn outcomes ---------------------------------------------------------------------------
 
 def start_turn_outcomes(drafts: DataFrame, table: str, checkpoint: str,
@@ -161,7 +122,7 @@ def start_turn_outcomes(drafts: DataFrame, table: str, checkpoint: str,
 
 
 def read_turn_outcomes(spark: SparkSession, table: str) -> DataFrame:
-    """Each ended turn once; drafts after the end repeated its row."""
+    """Each ended turn once; drafts after the end repeat its row unchanged."""
     return read_batches(spark, table).dropDuplicates(["turn_id"])
 
 

@@ -1,5 +1,7 @@
 """Streams over several files equal the batch result, also after a restart."""
 
+from itertools import permutations
+
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -126,14 +128,32 @@ def test_turn_ends_across_batches(spark, folder, tmp_path):
 
 
 def test_daily(spark, stream, batch, folder):
-    messages, sessions = folder("m"), folder("s")
-    rows = inputs.event_log(stream())
-    drain(jobs.start_daily_messages(rows, messages, folder("cm"), trigger=sinks.AVAILABLE_NOW))
-    drain(jobs.start_daily_sessions(rows, sessions, folder("cs"), trigger=sinks.AVAILABLE_NOW))
-    same(jobs.read_daily(spark, messages, sessions),
+    table = folder("d")
+    drain(jobs.start_dashboard(inputs.event_log(stream()), table, folder("c"),
+                               sinks.AVAILABLE_NOW))
+    same(jobs.read_daily(spark, table),
          metrics.messages_per_day(batch).join(metrics.sessions_per_day(batch), "day"))
 
 
+def test_drafts_in_any_order(spark, folder, tmp_path):
+    """Four drafts of a turn for each order of arrival, each draft also repeated."""
+    schema = ("turn_id bigint, draft_no int, response string, tools array<string>, pass boolean, "
+              "feedback string")
+    orders = list(permutations(range(4)))
+    path, table = str(tmp_path / "any"), folder("t")
+    for place in range(4):
+        rows = [(n, order[place], f"r{order[place]}", [], order[place] == n % 4, "f")
+                for n, order in enumerate(orders)]
+        spark.createDataFrame(rows * 2, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    drain(jobs.start_turn_outcomes(stream, table, folder("c"), sinks.AVAILABLE_NOW))
+    got = {r.turn_id: r for r in jobs.read_turn_outcomes(spark, table).collect()}
+    assert sinks.read_batches(spark, table).distinct().count() == len(orders)
+    for n in range(len(orders)):
+        assert (got[n].attempts, got[n].passed) == (n % 4, True)
+        assert [r.response for r in got[n].rejections] == [f"r{i}" for i in range(n % 4)]
+
+
 def test_screening_and_outbox(spark, stream, events, batch, folder):
     table, delivered = folder("t"), []
     notices = outbox.outbox(payload.tool_entries(inputs.event_log(stream())),
@@ -163,22 +183,19 @@ def test_stored_log_as_stream(spark, batch, folder):
 
 
 def test_late_rows(spark, folder, tmp_path):
-    """Past the watermark the daily job drops a row; the dashboard job counts it."""
+    """A row that comes days late counts."""
     path = str(tmp_path / "late")
     schema = "id bigint, session_id string, timestamp string, role string, content string"
-    # a batch is held to the watermark of the batch before the last
     for number, day in enumerate(["01", "10", "11", "01"]):
         spark.createDataFrame(
             [(number, f"s{number}", f"2024-03-{day}T10:00:00+00:00", "user", "x")],
             schema).coalesce(1).write.mode("append").parquet(path)
     rows = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
-    messages, sessions, board = folder("m"), folder("s"), folder("d")
-    drain(jobs.start_daily_messages(rows, messages, folder("c"), trigger=sinks.AVAILABLE_NOW))
-    drain(jobs.start_daily_sessions(rows, sessions, folder("c"), trigger=sinks.AVAILABLE_NOW))
+    board = folder("d")
     drain(jobs.start_dashboard(rows, board, folder("c"), sinks.AVAILABLE_NOW))
     daily = {r.day: (r.messages, r.sessions)
-             for r in jobs.read_daily(spark, messages, sessions).collect()}
-    assert daily == {f"2024-03-{day}": (1, 1) for day in ("01", "10", "11")}
+             for r in jobs.read_daily(spark, board).collect()}
+    assert daily == {"2024-03-01": (2, 2), "2024-03-10": (1, 1), "2024-03-11": (1, 1)}
     counted = {(r.day, r.metric): r.value for r in jobs.read_daily_activity(spark, board).collect()}
     assert counted[("2024-03-01", "Mensajes")] == 2
     assert jobs.read_kpis(spark, board).first().sessions == 4

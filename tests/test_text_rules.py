@@ -257,7 +257,8 @@ def test_chat_request_messages(log_rows):
     spark = rows.sparkSession
     again = spark.createDataFrame([(0, "bad"), (3, "long")], "id bigint, feedback string")
     got = {r.id: [(m.role, m.content) for m in r.messages]
-           for r in requests.chat_requests(rows, "SYS", again, max_words=9).collect()}
+           for r in requests.chat_requests(
+               rows, "SYS", again, history_limit=50, max_words=9).collect()}
     assert got[4] == [("system", "SYS"), ("user", "other")]
     assert got[3] == [
         ("system", "SYS"),
@@ -284,3 +285,26 @@ def test_guard_and_judge_requests(log_rows):
     assert judged[0].prompt.startswith("Tools used this turn: b, c\n\n" + requests.OPERATIONAL_NOTE)
     assert "Approved context:\nCTX" in judged[0].prompt
     assert "Candidate response (2 words):\none two" in judged[0].prompt
+
+
+def test_turns_that_share_a_timestamp(spark):
+    """Each user row of a session and time begins a turn."""
+    at = "2024-01-01T00:00:00+00:00"
+    rows = [(n, "s", at, role, text) for n, (role, text) in enumerate([
+        ("user", "a"), ("assistant", "A"), ("user", "b"), ("assistant", "B"),
+        ("tool_log", '["x"]'), ("user", "c")])]
+    log = spark.createDataFrame(
+        rows, "id bigint, session_id string, timestamp string, role string, content string")
+    got = {r.user_message: (r.user_row_id, r.response, list(r.tools))
+           for r in turns.turns(log).collect()}
+    assert got == {"a": (0, "A", []), "b": (2, "B", ["x"]), "c": (5, None, [])}
+
+
+def test_requests_leave_no_history_out(log_rows):
+    """Request and numbered history together hold a long conversation."""
+    rows = log_rows(*[("s", "user", f"m{n}") for n in range(60)])
+    asked = requests.chat_requests(rows, "SYS").orderBy("at").collect()
+    history = requests.chat_history(rows).orderBy("at").collect()
+    assert [(r["at"], len(r.messages)) for r in asked] == [(n, 2) for n in range(1, 61)]
+    assert [h.content for h in history if h["at"] < asked[-1]["at"]] == [
+        f"m{n}" for n in range(59)]
