@@ -478,9 +478,9 @@ SELECT id, failure_no, '## Failure ' || failure_no || chr(10) || 'User question:
 FROM (SELECT *, row_number() OVER (ORDER BY id) AS failure_no FROM failures)""",
     "chat_requests": _with(CHAT, CHAT_TURNS, GRADED, OPERATIONAL) + f"""
 , talk AS (
-  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id) AS at
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id) AS place
   FROM chat WHERE role IN ('user', 'assistant'))
-SELECT talk.id, talk.session_id, talk.at, array_to_string(list_concat(
+SELECT talk.id, talk.session_id, talk.place, array_to_string(list_concat(
     ['system: ' || {_quoted(SYSTEM_TEXT)}],
     CASE WHEN feedback IS NULL THEN [] ELSE ['system: ' || replace(replace(
       CASE WHEN operational THEN {_quoted(R.REVISE_OPERATIONAL)}
@@ -490,11 +490,11 @@ SELECT talk.id, talk.session_id, talk.at, array_to_string(list_concat(
 FROM talk JOIN operational USING (id) LEFT JOIN gradedf ON user_row_id = talk.id
 WHERE role = 'user'""",
     "chat_history": _with(CHAT) + """
-SELECT id, session_id, role, content, row_number() OVER (PARTITION BY session_id ORDER BY id) AS at
+SELECT id, session_id, role, content, row_number() OVER (PARTITION BY session_id ORDER BY id) AS place
 FROM chat WHERE role IN ('user', 'assistant')""",
     "long_chat_history": _with(LOG) + """
 SELECT id, 'c' || (id % 20) AS session_id, role, content,
-       row_number() OVER (PARTITION BY id % 20 ORDER BY id) AS at
+       row_number() OVER (PARTITION BY id % 20 ORDER BY id) AS place
 FROM log WHERE role IN ('user', 'assistant')""",
     "judge_requests": _with(CHAT, CHAT_TURNS, GRADED, OPERATIONAL) + f"""
 SELECT user_row_id AS id, gradedf.session_id, concat_ws(chr(10) || chr(10),

@@ -312,19 +312,20 @@ def chat_requests(t: Tables) -> DataFrame:
     revisions = t.graded.where(F.col("feedback").isNotNull()).select(
         F.col("user_row_id").alias("id"), "feedback")
     rows = requests.chat_requests(t.chat, SYSTEM_TEXT, revisions)
-    return rows.select("id", "session_id", "at", F.array_join(F.transform(
+    return rows.select("id", "session_id", F.col("at").alias("place"), F.array_join(F.transform(
         "messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
         .alias("request"))
 
 
 def chat_history(t: Tables) -> DataFrame:
-    return requests.chat_history(t.chat)
+    return requests.chat_history(t.chat).withColumnRenamed("at", "place")
 
 
 def long_chat_history(t: Tables) -> DataFrame:
     """The log as five long conversations."""
     session = F.concat(F.lit("c"), (F.col("id") % 20).cast("string"))
-    return requests.chat_history(t.log.withColumn("session_id", session))
+    rows = requests.chat_history(t.log.withColumn("session_id", session))
+    return rows.withColumnRenamed("at", "place")
 
 
 def judge_requests(t: Tables) -> DataFrame:
