@@ -97,7 +97,7 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", F.col("text").alias("whole"))
     pieces = tokenizer("piece_bpe_32k.model")
-    coded = sentencepiece.decode(sentencepiece.encode(docs, pieces), pieces)
+    coded = sentencepiece.decode(sentencepiece.encode(docs, pieces, cached=1 << 20), pieces)
     return coded.select("doc_id", F.size("ids").alias("n_tokens"), "ids",
                         (F.coalesce("whole", F.lit("")) == F.col("text")).alias("round_trip"))
 

@@ -155,8 +155,8 @@ class StreamingViterbi:
 class Encoder:
     """Whole texts to ids; parts between certain boundaries are encoded once."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, cached: int = CACHE_PARTS):
+        self.v, self.cached = vocabulary, cached
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -171,7 +171,7 @@ class Encoder:
         code = self._stream(text)
         if len(key) <= LONGEST_CACHED:
             self.held += len(key)
-            if len(self.known) >= CACHE_PARTS or self.held > CACHE_CHARS:
+            if len(self.known) >= self.cached or self.held > CACHE_CHARS:
                 self.known.clear()
                 self.held = len(key)
             self.known[key] = code
@@ -202,21 +202,25 @@ class Encoder:
         return text[1:].replace(MARK, " ")
 
 
-def worker_encoder(path: str) -> Encoder:
+def worker_encoder(path: str, cached: int = CACHE_PARTS) -> Encoder:
     """One encoder per Python worker, kept between tasks (see ``vocabulary.encoder``)."""
     state = sys.modules.setdefault(STATE, ModuleType(STATE))
     if getattr(state, "path", None) != path:
         state.path, state.encoder = path, Encoder(Vocabulary(path))
+    state.encoder.cached = cached
     return state.encoder
 
 
-def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Rows of ``docs`` without their text, with ``ids`` (array of int)."""
+def encode(docs: DataFrame, vocabulary: str, cached: int = CACHE_PARTS) -> DataFrame:
+    """Rows of ``docs`` without their text, with ``ids`` (array of int).
+
+    ``cached`` bounds the parts that a worker remembers: a million take about 200 MB.
+    """
     kept = [c for c in docs.columns if c not in ("text", "ids")]
     schema = StructType([docs.schema[c] for c in kept]).add("ids", ArrayType(IntegerType()))
 
     def run(batches):
-        coder = worker_encoder(vocabulary)
+        coder = worker_encoder(vocabulary, cached)
         for batch in batches:
             coded = [coder.encode(t.as_py()) for t in batch["text"]]
             offsets = np.cumsum([0, *map(len, coded)])
