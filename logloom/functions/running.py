@@ -4,7 +4,7 @@ A plain ``row_number() OVER (PARTITION BY session ORDER BY id)`` sorts a whole
 session in one task. ``id`` is unique, so a block of ``width`` consecutive ids
 holds at most ``width`` log rows of a session: windows below run per
 (session, block), and only one summary row per block goes through the
-per-session window.
+per-session window. Rows whose key is NULL are one key, the empty text.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -43,6 +43,10 @@ def _block(width: int) -> Column:
     return whole_part(F.col("id"), width)
 
 
+def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.fillna("", keys) if keys else rows
+
+
 def _preceding(keys):
     return W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
 
@@ -54,7 +58,7 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str,
     ``order`` must begin with ``id``. With no keys the numbering is global and
     the single-task window sees one row per block.
     """
-    rows = rows.withColumn("_block", _block(width))
+    rows = _named(rows, keys).withColumn("_block", _block(width))
     blocks = (
         rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(_preceding(keys)), F.lit(0)))
@@ -78,9 +82,7 @@ def within_last(rows: DataFrame, keys: list[str], flag: Column, lookback: int, n
     and those of ``flag``, the block summary reads the same shuffle as the rows.
     """
     inside = W.partitionBy(*keys, "_block").orderBy("id")
-    rows = rows.withColumn("_block", _block(width))
-    for column in [*keys, "_block"]:
-        rows = rows.where(F.col(column).isNotNull())
+    rows = _named(rows, keys).withColumn("_block", _block(width)).where("_block IS NOT NULL")
     local = rows.withColumn("_local", F.row_number().over(inside)).withColumn(
         "_hit", F.max(F.when(flag, F.col("_local"))).over(inside))
     blocks = (

@@ -61,6 +61,12 @@ def integer(v: Column) -> Column:
                   F.try_variant_get(v, "$", "bigint"))
 
 
+def whole_number(v: Column) -> Column:
+    """A JSON number rounded toward zero; NULL for text, booleans and the rest."""
+    is_number = json_type(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    return F.when(is_number, F.try_variant_get(v, "$", "bigint"))
+
+
 def is_true(v: Column) -> Column:
     """JSON ``true`` itself, not a value that merely converts to it."""
     return F.coalesce(F.to_json(v) == "true", F.lit(False))

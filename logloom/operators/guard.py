@@ -41,14 +41,21 @@ def guard_decisions(messages: DataFrame, verdicts: DataFrame | None = None,
 
     ``messages`` holds id, session_id, ts, content. ``verdicts`` holds id and
     the classifier's verdict; a message without one is blocked. With no verdict
-    table at all the rules alone decide. Texts are tested where they are read;
-    only their preview goes on.
+    table at all the rules alone decide.
     """
+    return decided(with_rate_limit(ruled(messages), limit, window_seconds), verdicts)
+
+
+def ruled(messages: DataFrame) -> DataFrame:
+    """Texts are tested where they are read; only the result and a preview go on."""
     content = F.col("content")
-    rows = with_rate_limit(
-        messages.select("id", "session_id", "ts", preview(content).alias("preview"),
-                        is_unsafe(content).alias("_unsafe")), limit, window_seconds)
-    unsafe = F.col("_unsafe")
+    return messages.select("id", "session_id", "ts", preview(content).alias("preview"),
+                           is_unsafe(content).alias("unsafe"))
+
+
+def decided(rows: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """The decision from ``within_limit``, ``unsafe`` and the verdict, in that order."""
+    unsafe = F.col("unsafe")
     if verdicts is not None:
         rows = rows.join(verdicts.select("id", "verdict"), "id", "left")
         unsafe = unsafe | ~verdict_is_safe(F.col("verdict"))

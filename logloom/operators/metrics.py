@@ -76,6 +76,21 @@ def dashboard_kpis(messages: DataFrame) -> DataFrame:
     return kpis(session_flags(messages))
 
 
+def _recent(messages: DataFrame, days: int) -> DataFrame:
+    """User rows of the latest active days.
+
+    In a stored log day and role are folders: the days are found without reading
+    a column, and only their folders are read. Elsewhere a second scan would save
+    nothing, so all user rows are taken.
+    """
+    users = role_rows(with_day(messages), C.USER)
+    if "day" not in messages.columns:
+        return users
+    latest = _latest(users.groupBy("day").agg(F.count(F.lit(1)).alias("_n")), days)
+    # as many rows as days
+    return users.join(F.broadcast(latest.select("day")), "day", "left_semi")
+
+
 def _latest(days: DataFrame, limit: int) -> DataFrame:
     return days.orderBy(F.desc("day")).limit(limit)
 
@@ -89,7 +104,7 @@ def messages_per_day(messages: DataFrame, days: int = C.ACTIVE_DAYS) -> DataFram
 
 def sessions_per_day(messages: DataFrame, days: int = C.ACTIVE_DAYS) -> DataFrame:
     """Distinct sessions with a user row of the latest active days, oldest first."""
-    per_day = role_rows(with_day(messages), C.USER).groupBy("day").agg(
+    per_day = _recent(messages, days).groupBy("day").agg(
         F.count_distinct("session_id").alias("sessions"))
     return _latest(per_day, days).orderBy("day")
 
@@ -102,13 +117,16 @@ def daily_activity(messages: DataFrame, days: int = C.ACTIVE_DAYS,
     gives what limiting each and merging them would. Counting per (day,
     session) first keeps a busy day off a single task.
     """
-    return activity_rows(day_sessions(messages), days, labels)
+    return activity_rows(_per_day_session(_recent(messages, days)), days, labels)
 
 
 def day_sessions(messages: DataFrame) -> DataFrame:
     """User messages per (day, session)."""
-    return role_rows(with_day(messages), C.USER).groupBy("day", "session_id").agg(
-        F.count(F.lit(1)).alias("n"))
+    return _per_day_session(role_rows(with_day(messages), C.USER))
+
+
+def _per_day_session(users: DataFrame) -> DataFrame:
+    return users.groupBy("day", "session_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def activity_rows(per_session: DataFrame, days: int = C.ACTIVE_DAYS,
@@ -123,13 +141,17 @@ def activity_rows(per_session: DataFrame, days: int = C.ACTIVE_DAYS,
 
 
 def asked_questions(entries: DataFrame) -> DataFrame:
-    """Unanswered questions by exact text: times asked and where first seen."""
+    """Unanswered questions by exact value: times asked and where first seen.
+
+    The text "5" and the number 5 are different questions; ``is_text`` tells.
+    """
     question = V.member(F.col("args"), "question")
     return (
         entries.where((F.col("name") == C.RECORD_UNKNOWN) & V.truthy(question))
         .select(V.text(F.col("args"), "question").alias("question"),
+                (V.json_type(question) == "STRING").alias("is_text"),
                 place(F.col("id"), F.col("pos")).alias("at"))
-        .groupBy("question").agg(F.count(F.lit(1)).alias("times"), F.min("at").alias("first"))
+        .groupBy("question", "is_text").agg(F.count(F.lit(1)).alias("times"), F.min("at").alias("first"))
     )
 
 

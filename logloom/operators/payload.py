@@ -82,7 +82,7 @@ def evaluator_entries(messages: DataFrame) -> DataFrame:
         .where(v.isNotNull())
         .select(
             "id", "session_id", "timestamp",
-            F.try_variant_get(v, "$.attempts", "bigint").alias("attempts"),
+            V.whole_number(V.member(v, "attempts")).alias("attempts"),
             F.try_variant_get(v, "$.passed", "boolean").alias("passed"),
             F.try_variant_get(v, "$.max_retries_exceeded", "boolean")
             .alias("max_retries_exceeded"),

@@ -7,7 +7,7 @@ from logloom import constants as C
 from logloom.functions import variant as V
 from logloom.functions.running import BLOCK_IDS, within_last
 from logloom.functions.text import contains_any, matches, matches_any, word_count
-from logloom.sources.facts import supports_age
+from logloom.sources.facts import any_supports_age
 from logloom.sources.log import role_rows
 
 OPERATIONAL_LENGTH, LENGTH, AGE, MISSING_TOOL, TO_JUDGE = (
@@ -55,16 +55,18 @@ def declined_without_record(turns: DataFrame) -> DataFrame:
         "session_id", "timestamp", "user_row_id", "response")
 
 
-def quality_cascade(turns: DataFrame, context: str = "",
+def quality_cascade(turns: DataFrame, facts: DataFrame | None = None,
                     max_words: int = C.MAX_WORDS) -> DataFrame:
     """Grade each reply by the first rule it breaks; the rest goes to the judge.
 
-    ``context`` is the approved text; whether it supports age claims is a
-    constant of the plan. One projection, no shuffle.
+    ``facts`` (source, text) are the approved texts; whether one of them supports
+    age claims is one value, found by an aggregation of theirs. The turns need no
+    shuffle.
     """
     message, response, tools = F.col("user_message"), F.col("response"), F.col("tools")
     words = F.col("words")
-    invented_age = (matches(message, C.AGE_QUESTION) & ~supports_age(F.lit(context))
+    supported = F.lit(False) if facts is None else any_supports_age(facts)
+    invented_age = (matches(message, C.AGE_QUESTION) & ~supported
                     & matches_any(response, C.AGE_CLAIMS))
     outcome = (
         F.when((words > max_words) & used_operational_tool(tools), OPERATIONAL_LENGTH)

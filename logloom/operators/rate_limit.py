@@ -13,7 +13,7 @@ must follow that order is cut down first:
    independent of each other.
 3. Of the messages of one instant only the first ``limit`` can get in; the rest
    are dropped before the shuffle, as rejected.
-4. What is left is gathered and sorted in slices of a cell. The ordered pass
+4. What is left is gathered and sorted in slices of a cell, even in time. The ordered pass
    gets the bare offsets in the cell, four bytes per message for windows up to
    half an hour: the slices of a run stream through one carry of ``limit``
    times, which jumps from one accepted message to the next.
@@ -113,11 +113,12 @@ def with_rate_limit(messages: DataFrame, limit: int = C.RATE_LIMIT,
     """Add ``within_limit`` to messages with id, session_id and ts.
 
     Order inside a session is (ts, id); a message exactly ``window_seconds``
-    old no longer counts.
+    old no longer counts. Messages without a session are one session, named by the
+    empty text; a message without a time gets in and counts for no other.
     """
     window = window_seconds * MICROS
     rows = (
-        messages.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+        messages.fillna("", ["session_id"]).withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
         .withColumn("_cell", whole_part(F.col("_at"), window))
     )
     inside = F.coalesce(F.array_contains("_accepted", F.col("id")), F.lit(True))

@@ -103,12 +103,13 @@ def guard_requests(messages: DataFrame, instruction: str = GUARD_INSTRUCTION) ->
     )
 
 
-def judge_requests(graded: DataFrame, operational: DataFrame, context: str,
+def judge_requests(graded: DataFrame, operational: DataFrame,
                    criteria: str = JUDGE_INSTRUCTION) -> DataFrame:
-    """A judge request for each reply the rule cascade leaves open.
+    """A judge request for each reply the rule cascade leaves open: id, session_id, note, prompt.
 
     ``graded`` comes from ``quality_cascade``, ``operational`` (id, operational)
-    from ``operational_turns``.
+    from ``operational_turns``. A request is the note, the approved context and the
+    prompt; the context, the same for all, stays in its own table (``facts.context_rows``).
     """
     rows = graded.where(F.col("outcome") == TO_JUDGE).join(
         operational.select(F.col("id").alias("user_row_id"), "operational"), "user_row_id", "left")
@@ -116,11 +117,11 @@ def judge_requests(graded: DataFrame, operational: DataFrame, context: str,
                    F.concat(F.lit("Tools used this turn: "), F.array_join("tools", ", ")))
     note = F.when(F.col("operational"), OPERATIONAL_NOTE)
     prompt = F.concat_ws(
-        "\n\n", tools, note,
-        F.lit("Approved context:\n" + context),
+        "\n\n",
         F.lit("Criteria:\n" + criteria),
         F.concat(F.lit("User question:\n"), F.col("user_message")),
         F.concat(F.lit("Candidate response ("), F.col("words").cast("string"),
                  F.lit(" words):\n"), F.col("response")),
         F.lit(JUDGE_ANSWER))
-    return rows.select(F.col("user_row_id").alias("id"), "session_id", prompt.alias("prompt"))
+    return rows.select(F.col("user_row_id").alias("id"), "session_id",
+                       F.concat_ws("\n\n", tools, note).alias("note"), prompt.alias("prompt"))

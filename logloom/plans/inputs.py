@@ -17,7 +17,6 @@ SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "labels": "doc_id bigint, quality int, toxic int",
 }
-CONTEXT = "Works as a data engineer. Likes distributed systems."
 
 
 def _union(*parts: DataFrame) -> DataFrame:

@@ -55,7 +55,11 @@ class Tables:
     @property
     def graded(self) -> DataFrame:
         replied = turns.turns(self.chat).where(F.col("response").isNotNull())
-        return quality.quality_cascade(replied, inputs.CONTEXT)
+        return quality.quality_cascade(replied, self.facts)
+
+    @property
+    def facts(self) -> DataFrame:
+        return facts.facts_from_table(self.batch("documents"), "source", "text")
 
     @property
     def checklist_entries(self) -> DataFrame:
@@ -67,6 +71,11 @@ class Tables:
         return guard.guard_decisions(inputs.incoming(rows), inputs.incoming_verdicts(rows),
                                      **DAY_LIMIT)
 
+    @property
+    def live_decisions(self) -> DataFrame:
+        return jobs.guard_decisions(inputs.incoming(self.stream("events")),
+                                    inputs.incoming_verdicts(self.batch("events")), **DAY_LIMIT)
+
 
 def _joined(rows: DataFrame, *names: str) -> DataFrame:
     """Array columns as comma-joined text."""
@@ -115,7 +124,11 @@ def session_registry(t: Tables) -> DataFrame:
 
 
 def approved_facts(t: Tables) -> DataFrame:
-    return facts.facts_from_table(t.batch("documents"), "source", "text")
+    return t.facts
+
+
+def context_rows(t: Tables) -> DataFrame:
+    return facts.context_rows(t.facts)
 
 
 def stream_log_counts(t: Tables) -> DataFrame:
@@ -247,6 +260,14 @@ def rate_limit_decisions(t: Tables) -> DataFrame:
     return decided.drop("ts")
 
 
+def burst_rate_limit(t: Tables) -> DataFrame:
+    """The usual limit; ten senders, messages 400 times closer in time."""
+    rows = inputs.incoming(t.batch("events")).selectExpr(
+        "id", "'g' || (id % 10) AS session_id",
+        "timestamp_micros(unix_micros(ts) div 400) AS ts")
+    return rate_limit.rate_limit_decisions(rows).drop("ts")
+
+
 def guard_verdicts(t: Tables) -> DataFrame:
     return guard.guard_verdicts(inputs.guard_texts(t.batch("labels"))).select("doc_id", "safe")
 
@@ -270,7 +291,7 @@ def operational_turns(t: Tables) -> DataFrame:
 
 
 def context_supports_age(t: Tables) -> DataFrame:
-    return facts.context_supports_age(approved_facts(t))
+    return facts.context_supports_age(t.facts)
 
 
 def declined_without_record(t: Tables) -> DataFrame:
@@ -329,7 +350,7 @@ def long_chat_history(t: Tables) -> DataFrame:
 
 
 def judge_requests(t: Tables) -> DataFrame:
-    return requests.judge_requests(t.graded, quality.operational_turns(t.chat), inputs.CONTEXT)
+    return requests.judge_requests(t.graded, quality.operational_turns(t.chat))
 
 
 def guard_requests(t: Tables) -> DataFrame:
@@ -345,11 +366,24 @@ def outbox_rows(t: Tables) -> DataFrame:
 def stream_outbox(t: Tables) -> DataFrame:
     table, state = shared_dir(t.spark, "outbox"), shared_dir(t.spark, "outbox-state")
     notices = outbox.outbox(payload.tool_entries(inputs.event_log(t.stream("events"))),
-                            jobs.screened(inputs.incoming(t.stream("events"))))
+                            t.live_decisions)
     _finish(jobs.start_outbox(notices, table, state, trigger=sinks.AVAILABLE_NOW))
     return jobs.read_outbox(t.spark, table)
 
 
+def stream_guard_decisions(t: Tables) -> DataFrame:
+    table, state = shared_dir(t.spark, "decided"), shared_dir(t.spark, "decided-state")
+    _finish(sinks.start_append(t.live_decisions, table, state, sinks.AVAILABLE_NOW))
+    return t.spark.read.parquet(table).select("id", "session_id", "allowed", "reason", "reply")
+
+
+def stream_block_log(t: Tables) -> DataFrame:
+    table, state = shared_dir(t.spark, "blocked"), shared_dir(t.spark, "blocked-state")
+    _finish(jobs.start_log(guard.block_rows(t.live_decisions), table, state,
+                           sinks.AVAILABLE_NOW))
+    return log.read_log(t.spark, table).select(*log.COLUMNS)
+
+
 def _dashboard(t: Tables, read) -> DataFrame:
     table, state = shared_dir(t.spark, "dashboard"), shared_dir(t.spark, "dashboard-state")
     _finish(jobs.start_dashboard(inputs.event_log(t.stream("events")), table, state,
@@ -413,6 +447,7 @@ QUERIES = {
     "session_transcript": session_transcript,
     "session_registry": session_registry,
     "approved_facts": approved_facts,
+    "context_rows": context_rows,
     "stream_log_counts": stream_log_counts,
     "tool_entries": tool_entries,
     "evaluator_entries": evaluator_entries,
@@ -439,6 +474,7 @@ QUERIES = {
     "checklist_bad_marks": checklist_bad_marks,
     "unsafe_messages": unsafe_messages,
     "rate_limit_decisions": rate_limit_decisions,
+    "burst_rate_limit": burst_rate_limit,
     "guard_verdicts": guard_verdicts,
     "guard_decisions": guard_decisions,
     "reply_word_counts": reply_word_counts,
@@ -458,6 +494,8 @@ QUERIES = {
     "guard_requests": guard_requests,
     "outbox": outbox_rows,
     "stream_outbox": stream_outbox,
+    "stream_guard_decisions": stream_guard_decisions,
+    "stream_block_log": stream_block_log,
     "stream_kpis": stream_kpis,
     "stream_rate_limit": stream_rate_limit,
     "stream_unsafe": stream_unsafe,

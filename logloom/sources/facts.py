@@ -7,7 +7,6 @@ from logloom import constants as C
 from logloom.functions.text import matches
 
 CONTEXT_HEADING = "Approved facts; nothing outside this text may be cited:"
-CONTEXT_CHARS = 1_000_000
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
@@ -23,17 +22,17 @@ def facts_from_table(rows: DataFrame, source: str, text: str) -> DataFrame:
     return rows.select(F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
 
 
-def context_text(facts: DataFrame, max_chars: int = CONTEXT_CHARS) -> str:
-    """The approved facts as one prompt text, sources in order of their names.
+def context_rows(facts: DataFrame) -> DataFrame:
+    """The approved facts as prompt text: source and text, to print in the order of source.
 
-    A prompt has room for little text, so the size is checked before anything
-    is fetched; facts beyond ``max_chars`` are an error, not cut.
+    The heading is the row without a source. Rows, not one string, as facts have no
+    size bound; requests refer to them (``requests.judge_requests``).
     """
-    size = facts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if size > max_chars:
-        raise ValueError(f"approved facts hold {size} characters, more than {max_chars}")
-    parts = [f"{row.source}:\n{row.text}" for row in facts.orderBy("source").collect()]
-    return "\n\n".join([CONTEXT_HEADING, *parts])
+    heading = facts.sparkSession.sql(
+        "SELECT CAST(NULL AS STRING) AS source, :heading AS text",
+        args={"heading": CONTEXT_HEADING})
+    return heading.unionByName(facts.select(
+        "source", F.concat("source", F.lit(":\n"), "text").alias("text")))
 
 
 def supports_age(text: Column) -> Column:
@@ -49,3 +48,9 @@ def context_supports_age(facts: DataFrame) -> DataFrame:
     """
     return facts.groupBy("source").agg(
         F.bool_or(supports_age(F.col("text"))).alias("supports_age"))
+
+
+def any_supports_age(facts: DataFrame) -> Column:
+    """Whether any text supports an age claim, as a one-row subquery; false without facts."""
+    return F.coalesce(
+        facts.agg(F.bool_or(supports_age(F.col("text")))).scalar(), F.lit(False))

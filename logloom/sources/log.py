@@ -28,12 +28,15 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_export(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Read a log exported by another program as JSON lines, CSV with header or ORC."""
+    """Read a log exported by another program as JSON lines, CSV with header or ORC.
+
+    Rows without a session are one session, named by the empty text.
+    """
     reader = spark.read.schema(LOG_SCHEMA)
     if fmt == "csv":
         # texts may hold line breaks and doubled quotes
         reader = reader.options(header=True, multiLine=True, quote='"', escape='"')
-    return reader.format(fmt).load(path)
+    return reader.format(fmt).load(path).fillna("", ["session_id"])
 
 
 def stream_log(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -48,9 +51,10 @@ def write_log(messages: DataFrame, path: str, mode: str = "append") -> None:
     """Append rows partitioned by day and role.
 
     The rebalance hint lets AQE split a day and role that hold much of the data
-    and merge small ones, so files come out even.
+    and merge small ones, so files come out even. Rows without a session are one
+    session, named by the empty text.
     """
-    (with_day(messages)
+    (with_day(messages).fillna("", ["session_id"])
      .hint("rebalance", "day", "role")
      .write.mode(mode).partitionBy("day", "role").parquet(path))
 

@@ -13,11 +13,18 @@ from pyspark.sql.streaming import StreamingQuery
 from logloom import constants as C
 from logloom.functions.text import preview
 from logloom.operators import metrics, turns
-from logloom.operators.guard import is_unsafe
+from logloom.operators.guard import decided, is_unsafe, ruled
 from logloom.operators.payload import tool_entries
-from logloom.sources.log import role_counts, with_day
+from logloom.sources.log import LOG_SCHEMA, role_counts, with_day
 from logloom.streaming.sinks import (
-    batch_folder, compact, read_batches, start_append, start_batches, write_batch)
+    batch_folder, compact, read_batches, remove_covered, start_append, start_batches,
+    write_batch)
+from logloom.streaming.stateful import with_rate_limit
+
+NOTICE = "id bigint, pos int, kind string, text string"
+OUTCOME = ("turn_id bigint, attempts bigint, passed boolean, max_retries_exceeded boolean, "
+           "response string, tools array<string>, rejections array<struct<attempt: int, "
+           "response: string, feedback: string, tools_used: array<string>>>")
 
 
 # -- the log itself ------------------------------------------------------------------
@@ -36,7 +43,7 @@ def start_role_counts(messages: DataFrame, table: str, checkpoint: str,
 
 
 def read_role_counts(spark: SparkSession, table: str) -> DataFrame:
-    return read_batches(spark, table).groupBy("role").agg(F.sum("n").alias("n"))
+    return read_batches(spark, table, "role string, n bigint").groupBy("role").agg(F.sum("n").alias("n"))
 
 
 # -- refreshing dashboard ------------------------------------------------------------
@@ -46,7 +53,7 @@ def _merge_days(rows: DataFrame) -> DataFrame:
 
 
 def _merge_questions(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("question").agg(F.sum("times").alias("times"),
+    return rows.groupBy("question", "is_text").agg(F.sum("times").alias("times"),
                                         F.min("first").alias("first"))
 
 
@@ -62,17 +69,25 @@ DASHBOARD_TABLES = {
 }
 
 
+def _dashboard_parts(rows: DataFrame) -> dict[str, DataFrame]:
+    entries = tool_entries(rows)
+    return {"flags": metrics.session_flags(rows), "days": metrics.day_sessions(rows),
+            "questions": metrics.asked_questions(entries),
+            "ratings": metrics.rating_counts(entries)}
+
+
+def _dashboard_table(spark: SparkSession, table: str, name: str) -> DataFrame:
+    schema = _dashboard_parts(spark.createDataFrame([], LOG_SCHEMA))[name].schema
+    return DASHBOARD_TABLES[name](read_batches(spark, f"{table}/{name}", schema))
+
+
 def start_dashboard(messages: DataFrame, table: str, checkpoint: str,
                     trigger=None) -> StreamingQuery:
     """Keep mergeable parts of all dashboard metrics; late rows always count."""
     def write(rows, batch_id):
         rows = rows.persist()
-        entries = tool_entries(rows)
-        parts = {"flags": metrics.session_flags(rows), "days": metrics.day_sessions(rows),
-                 "questions": metrics.asked_questions(entries),
-                 "ratings": metrics.rating_counts(entries)}
         try:
-            for name, part in parts.items():
+            for name, part in _dashboard_parts(rows).items():
                 write_batch(part, f"{table}/{name}", batch_id)
         finally:
             rows.unpersist()
@@ -85,30 +100,33 @@ def compact_dashboard(spark: SparkSession, table: str, upto: int) -> None:
         compact(spark, f"{table}/{name}", merge, upto)
 
 
+def remove_compacted(spark: SparkSession, table: str, upto: int) -> None:
+    for name in DASHBOARD_TABLES:
+        remove_covered(spark, f"{table}/{name}", upto)
+
+
 def read_kpis(spark: SparkSession, table: str) -> DataFrame:
-    return metrics.kpis(metrics.merge_flags(read_batches(spark, f"{table}/flags")))
+    return metrics.kpis(_dashboard_table(spark, table, "flags"))
 
 
 def read_daily_activity(spark: SparkSession, table: str, days: int = C.ACTIVE_DAYS) -> DataFrame:
-    per_day = _merge_days(read_batches(spark, f"{table}/days"))
-    return metrics.activity_rows(per_day, days)
+    return metrics.activity_rows(_dashboard_table(spark, table, "days"), days)
 
 
 def read_daily(spark: SparkSession, table: str, days: int = C.ACTIVE_DAYS) -> DataFrame:
     """day, messages, sessions of the latest active days; late rows count."""
-    per_day = _merge_days(read_batches(spark, f"{table}/days")).groupBy("day").agg(
+    per_day = _dashboard_table(spark, table, "days").groupBy("day").agg(
         F.sum("n").alias("messages"), F.count(F.lit(1)).alias("sessions"))
     return per_day.orderBy(F.desc("day")).limit(days)
 
 
 def read_top_questions(spark: SparkSession, table: str,
                        limit: int = C.TOP_QUESTIONS) -> DataFrame:
-    questions = _merge_questions(read_batches(spark, f"{table}/questions"))
-    return metrics.most_asked(questions, limit)
+    return metrics.most_asked(_dashboard_table(spark, table, "questions"), limit)
 
 
 def read_ratings(spark: SparkSession, table: str) -> DataFrame:
-    return metrics.zero_filled_ratings(_merge_ratings(read_batches(spark, f"{table}/ratings")))
+    return metrics.zero_filled_ratings(_dashboard_table(spark, table, "ratings"))
 
 
 # -- turn outcomes ---------------------------------------------------------------------------
@@ -123,7 +141,7 @@ def start_turn_outcomes(drafts: DataFrame, table: str, checkpoint: str,
 
 def read_turn_outcomes(spark: SparkSession, table: str) -> DataFrame:
     """Each ended turn once; drafts after the end repeat its row unchanged."""
-    return read_batches(spark, table).dropDuplicates(["turn_id"])
+    return read_batches(spark, table, OUTCOME).dropDuplicates(["turn_id"])
 
 
 # -- screening and outbox -------------------------------------------------------------------
@@ -137,6 +155,17 @@ def screened(messages: DataFrame) -> DataFrame:
         F.when(unsafe, "unsafe").alias("reason"))
 
 
+def guard_decisions(messages: DataFrame, verdicts: DataFrame | None = None,
+                    limit: int = C.RATE_LIMIT,
+                    window_seconds: int = C.RATE_WINDOW_SECONDS) -> DataFrame:
+    """The whole decision on a stream of messages: rate limit, then rules, then verdict.
+
+    As ``guard.guard_decisions``; ``verdicts`` is a table that is read per micro-batch.
+    """
+    rows = with_rate_limit(ruled(messages), limit, window_seconds)
+    return decided(rows, verdicts)
+
+
 def start_outbox(notices: DataFrame, table: str, checkpoint: str, deliver=None,
                  trigger=None) -> StreamingQuery:
     """Append notices (id, pos, kind, text); ``deliver`` gets each written batch.
@@ -152,4 +181,4 @@ def start_outbox(notices: DataFrame, table: str, checkpoint: str, deliver=None,
 
 
 def read_outbox(spark: SparkSession, table: str) -> DataFrame:
-    return read_batches(spark, table).dropDuplicates(["id", "pos", "kind"])
+    return read_batches(spark, table, NOTICE).dropDuplicates(["id", "pos", "kind"])

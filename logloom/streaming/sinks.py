@@ -3,14 +3,16 @@
 Each micro-batch writes one folder named after its id, and a repeated batch
 overwrites its own folder, so replays after a failure change nothing. Readers
 merge the folders. ``compact`` folds finished batches into a snapshot, after
-which readers skip what the snapshot covers.
+which readers skip what the snapshot covers; ``remove_covered`` deletes it.
 """
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 AVAILABLE_NOW = {"availableNow": True}
 REFRESH = {"processingTime": "30 seconds"}
@@ -39,8 +41,15 @@ def _parts(rows: DataFrame, before: int | None = None, upto: int | None = None)
     return rows.where(snapshot | later).drop("upto", "batch")
 
 
-def read_batches(spark: SparkSession, table: str) -> DataFrame:
-    return _parts(spark.read.parquet(table))
+def read_batches(spark: SparkSession, table: str, schema: StructType | str) -> DataFrame:
+    """The table as it is now: empty, with ``schema``, before the first batch."""
+    try:
+        rows = spark.read.parquet(table)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], schema)
+    return _parts(rows)
 
 
 def compact(spark: SparkSession, table: str, merge: Callable[[DataFrame], DataFrame],
@@ -50,6 +59,24 @@ def compact(spark: SparkSession, table: str, merge: Callable[[DataFrame], DataFr
     merge(covered).write.mode("overwrite").parquet(f"{table}/upto={upto}/batch={upto}")
 
 
+def remove_covered(spark: SparkSession, table: str, upto: int) -> None:
+    """Delete the folders that the snapshot ``upto`` covers.
+
+    For when no reader is left that began before ``compact``: a reader names its
+    files when it begins.
+    """
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = to_path(table).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(to_path(f"{table}/upto={upto}/batch={upto}/_SUCCESS")):
+        raise ValueError(f"{table} has no snapshot {upto}")
+    for folder in files.globStatus(to_path(f"{table}/upto=*/batch=*")):
+        found = folder.getPath()
+        snapshot = int(found.getParent().getName().split("=")[1])
+        batch = int(found.getName().split("=")[1])
+        if batch <= upto and snapshot != upto:
+            files.delete(found, True)
+
+
 def start_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None],
                   trigger=None, mode: str = "append") -> StreamingQuery:
     return (

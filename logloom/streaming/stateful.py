@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from logloom import constants as C
 from logloom.functions import variant as V
@@ -13,6 +14,7 @@ from logloom.functions.sliding import admit
 from logloom.session import ROCKSDB
 
 MICROS = 1_000_000
+WITHIN = StructField("within_limit", BooleanType())
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -29,14 +31,15 @@ class RateLimiter(StatefulProcessor):
         self.accepted = handle.getListState("accepted", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable")
+        batch = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable",
+                                                  ignore_index=True)
+        timed = batch["at"].dropna().astype("int64")  # the others, sorted last, get in
         carry = deque((at for (at,) in self.accepted.get()), maxlen=self.limit)
-        taken = admit(batch["at"].tolist(), carry, self.window)
+        within = batch["at"].isna()
+        within[admit(timed.tolist(), carry, self.window)] = True
         self.accepted.put([(at,) for at in carry])
-        within = pd.Series(False, index=range(len(batch)))
-        within[taken] = True
-        yield pd.DataFrame({"id": batch["id"].to_numpy(), "session_id": key[0],
-                            "within_limit": within.to_numpy()})
+        yield batch.drop(columns="session_id").assign(
+            at=batch["at"].astype("Int64"), within_limit=within, session_id=key[0])
 
     def close(self) -> None:
         pass
@@ -44,21 +47,32 @@ class RateLimiter(StatefulProcessor):
 
 def limited(messages: DataFrame, limit: int = C.RATE_LIMIT,
             window_seconds: int = C.RATE_WINDOW_SECONDS) -> DataFrame:
-    """Live rate limit on a stream with id, session_id, ts.
+    """id, session_id, within_limit of a stream with id, session_id, ts."""
+    rows = messages.select("id", "session_id", "ts")
+    return with_rate_limit(rows, limit, window_seconds).drop("ts")
 
-    Inside a micro-batch the order is (ts, id), across micro-batches arrival. A
+
+def with_rate_limit(messages: DataFrame, limit: int = C.RATE_LIMIT,
+                    window_seconds: int = C.RATE_WINDOW_SECONDS) -> DataFrame:
+    """Add ``within_limit`` to a stream with id, session_id, ts and what else it has.
+
+    Sessions and times that are missing count as in the batch operator. The state
+    holds ``limit`` times per session and does not end, as a session may go on at any
+    time. Inside a micro-batch the order is (ts, id), across micro-batches arrival. A
     session's rows of one micro-batch meet in one task, so bound the batch at
     the source (``maxFilesPerTrigger``).
     """
     use_rocksdb(messages.sparkSession)
-    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    columns = messages.columns
+    rows = messages.fillna("", ["session_id"]).withColumn(
+        "at", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
     return (
-        messages.select("id", "session_id", at)
-        .groupBy("session_id")
+        rows.groupBy("session_id")
         .transformWithStateInPandas(
             RateLimiter(limit, window_seconds * MICROS),
-            outputStructType="id bigint, session_id string, within_limit boolean",
+            outputStructType=StructType([*rows.schema, WITHIN]),
             outputMode="append", timeMode="None")
+        .withColumn("ts", F.timestamp_micros("at")).select(*columns, "within_limit")
     )
 
 

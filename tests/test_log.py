@@ -4,7 +4,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from logloom.operators import metrics, payload
+from logloom.operators import metrics, payload, quality, requests
 from logloom.plans import inputs
 from logloom.plans.dashboard import load_dashboard
 from logloom.sources import facts, log
@@ -113,10 +113,34 @@ def test_facts_from_files(spark, tmp_path):
     rows = facts.read_facts(spark, str(tmp_path))
     assert {r.source: r.text.count("\n") for r in rows.collect()} == {
         "summary.txt": 2, "profile.txt": 0}
-    text = facts.context_text(rows)
-    assert text == (f"{facts.CONTEXT_HEADING}\n\nprofile.txt:\n5 años de experiencia\n\n"
-                    "summary.txt:\nI build things.\nBorn in Rosario.\n")
-    with pytest.raises(ValueError):
-        facts.context_text(rows, max_chars=10)
+    assert [r.text for r in facts.context_rows(rows).orderBy("source").collect()] == [
+        facts.CONTEXT_HEADING, "profile.txt:\n5 años de experiencia",
+        "summary.txt:\nI build things.\nBorn in Rosario.\n"]
     assert {r.source: r.supports_age for r in facts.context_supports_age(rows).collect()} == {
         "summary.txt": True, "profile.txt": False}
+
+
+def test_rows_without_a_session(spark, log_rows, tmp_path):
+    """They are one session, named by the empty text, wherever sessions are formed."""
+    rows = log_rows((None, "user", "a call"), (None, "assistant", "A"), (None, "user", "b"),
+                    ("s", "user", "c"))
+    history = requests.chat_history(rows).where("session_id = ''").orderBy("id").collect()
+    assert [r["at"] for r in history] == [1, 2, 3]
+    assert requests.chat_requests(rows, "S").count() == 3
+    assert {r.id: r.operational for r in quality.operational_turns(rows).collect()} == {
+        0: True, 2: True, 3: False}
+    log.write_log(rows, str(tmp_path / "log"))
+    stored = log.read_log(spark, str(tmp_path / "log"))
+    assert {r.session_id for r in log.session_registry(stored).collect()} == {"", "s"}
+
+
+def test_daily_activity_reads_the_latest_days_only(spark, tmp_path):
+    rows = spark.sql("""SELECT id, 's' || id % 3 AS session_id, '2024-01-' ||
+        lpad(id % 28 + 1, 2, '0') || 'T10:00:00+00:00' AS timestamp, 'user' AS role,
+        'x' AS content FROM range(200)""")
+    log.write_log(rows, str(tmp_path / "log"))
+    stored = log.read_log(spark, str(tmp_path / "log"))
+    for metric in (metrics.daily_activity, metrics.sessions_per_day, metrics.messages_per_day):
+        assert metric(stored).collect() == metric(rows).collect()
+    plan = metrics.daily_activity(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan

@@ -264,3 +264,19 @@ def test_no_grading_row_does_not_mean_passed(spark):
         "attempts", "passed", F.lit(None).cast("string").alias("evaluator_detail"))
     assert rows.where("NOT passed").count() == 1
     assert turns.turns_to_log(rows).where("role = 'evaluator_log'").count() == 0
+
+
+def test_attempts_must_be_a_number(log_rows):
+    base = {"passed": False, "user_message": "q"}
+    rows = log_rows(*[("s", "evaluator_log", json.dumps({**base, "attempts": value}))
+                      for value in ("3", True, [3], 3, 3.0)])
+    failed = mining.max_retry_failures(payload.evaluator_entries(rows))
+    assert sorted(r.id for r in failed.collect()) == [3, 4]
+
+
+def test_questions_of_different_types(log_rows):
+    rows = log_rows(*[("s", "tool_log", json.dumps([
+        {"name": "record_unknown_question", "arguments": {"question": q}}]))
+        for q in (5, "5", "5", "why", 5, 5)])
+    top = metrics.top_unknown_questions(payload.tool_entries(rows)).collect()
+    assert [(r.question, r.times) for r in top] == [("5", 3), ("5", 2), ("why", 1)]

@@ -9,7 +9,7 @@ from logloom.plans.queries import QUERIES, Tables
 
 BATCH = sorted(n for n in QUERIES if not n.startswith("stream_"))
 # the ordered pass of the rate limit is the only Python in batch queries
-PYTHON = {"rate_limit_decisions", "guard_decisions", "guard_block_log", "outbox"}
+PYTHON = {"burst_rate_limit", "rate_limit_decisions", "guard_decisions", "guard_block_log", "outbox"}
 
 
 def plan(rows):

@@ -148,7 +148,7 @@ def test_drafts_in_any_order(spark, folder, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     drain(jobs.start_turn_outcomes(stream, table, folder("c"), sinks.AVAILABLE_NOW))
     got = {r.turn_id: r for r in jobs.read_turn_outcomes(spark, table).collect()}
-    assert sinks.read_batches(spark, table).distinct().count() == len(orders)
+    assert sinks.read_batches(spark, table, jobs.OUTCOME).distinct().count() == len(orders)
     for n in range(len(orders)):
         assert (got[n].attempts, got[n].passed) == (n % 4, True)
         assert [r.response for r in got[n].rejections] == [f"r{i}" for i in range(n % 4)]
@@ -167,6 +167,44 @@ def test_screening_and_outbox(spark, stream, events, batch, folder):
     assert sum(delivered) == whole.count()
 
 
+def test_guard_on_a_stream(spark, stream, events, folder):
+    """Limit, rules and verdict in order, with rows that have no session or time."""
+    def messages(rows):
+        return inputs.incoming(rows).withColumns({
+            "session_id": F.expr("if(id % 7 = 0, NULL, session_id)"),
+            "ts": F.expr("if(id % 13 = 0, NULL, ts)")})
+
+    table = folder("t")
+    rows = spark.read.parquet(events)
+    verdicts = inputs.incoming_verdicts(rows)
+    one_batch = spark.readStream.schema(rows.schema).parquet(events)
+    drain(sinks.start_append(jobs.guard_decisions(messages(one_batch), verdicts, **LIMIT), table,
+                             folder("c"), sinks.AVAILABLE_NOW))
+    same(spark.read.parquet(table), guard.guard_decisions(messages(rows), verdicts, **LIMIT))
+
+
+def test_dashboard_before_and_after(spark, stream, batch, folder):
+    """Empty tables before the first batch; the same result when covered folders are gone."""
+    table = folder("t")
+    assert tuple(jobs.read_kpis(spark, table).first()) == (0, 0.0, 0, 0, 0.0)
+    for read in (jobs.read_daily, jobs.read_daily_activity, jobs.read_top_questions,
+                 jobs.read_ratings):
+        assert read(spark, table).collect() == []
+    assert jobs.read_outbox(spark, table).collect() == []
+    assert jobs.read_turn_outcomes(spark, table).collect() == []
+    drain(jobs.start_dashboard(inputs.event_log(stream()), table, folder("c"),
+                               sinks.AVAILABLE_NOW))
+    with pytest.raises(ValueError):
+        jobs.remove_compacted(spark, table, 1)
+    jobs.compact_dashboard(spark, table, 0)
+    jobs.compact_dashboard(spark, table, 1)
+    jobs.remove_compacted(spark, table, 1)
+    assert spark.read.parquet(f"{table}/days").where("batch < 1").isEmpty()
+    same(jobs.read_kpis(spark, table), metrics.dashboard_kpis(batch))
+    same(jobs.read_top_questions(spark, table),
+         metrics.top_unknown_questions(payload.tool_entries(batch)))
+
+
 def test_log_sink(spark, stream, batch, folder):
     path = folder("log")
     drain(jobs.start_log(inputs.event_log(stream()), path, folder("c"), sinks.AVAILABLE_NOW))

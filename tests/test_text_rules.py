@@ -138,7 +138,8 @@ def test_judge_verdict_fails_closed(spark):
 def grade(spark, message, response, tools=(), context=""):
     row = spark.createDataFrame([(message, response, list(tools))],
                                 "user_message string, response string, tools array<string>")
-    return quality.quality_cascade(row, context).first()
+    approved = spark.createDataFrame([("a", "none"), ("b", context)], "source string, text string")
+    return quality.quality_cascade(row, approved).first()
 
 
 @pytest.mark.parametrize("message, response, tools, context, outcome", [
@@ -280,10 +281,10 @@ def test_guard_and_judge_requests(log_rows):
         "user_row_id bigint, session_id string, user_message string, response string, "
         "tools array<string>"))
     operational = spark.createDataFrame([(1, True)], "id bigint, operational boolean")
-    judged = requests.judge_requests(graded, operational, "CTX", "CRIT").collect()
+    judged = requests.judge_requests(graded, operational, "CRIT").collect()
     assert [r.id for r in judged] == [1]
-    assert judged[0].prompt.startswith("Tools used this turn: b, c\n\n" + requests.OPERATIONAL_NOTE)
-    assert "Approved context:\nCTX" in judged[0].prompt
+    assert judged[0].note == "Tools used this turn: b, c\n\n" + requests.OPERATIONAL_NOTE
+    assert judged[0].prompt.startswith("Criteria:\nCRIT\n\nUser question:\nq")
     assert "Candidate response (2 words):\none two" in judged[0].prompt
 
 
