@@ -233,15 +233,13 @@ def encode(docs: DataFrame, vocabulary: str, cached: int = CACHE_PARTS) -> DataF
 
 
 def decode(rows: DataFrame, vocabulary: str) -> DataFrame:
-    """Rows with ``ids`` given back their ``text``."""
-    kept = [c for c in rows.columns if c != "text"]
-    schema = StructType([rows.schema[c] for c in kept]).add("text", "string")
+    """Rows with ``ids`` given back their ``text``; null ids and unknown numbers give nothing.
 
-    def run(batches):
-        coder = worker_encoder(vocabulary)
-        for batch in batches:
-            texts = pa.array([coder.decode(i.values.to_numpy().tolist() if i.is_valid else ())
-                              for i in batch["ids"]], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), texts], [*kept, "text"])
-
-    return rows.select(*kept).mapInArrow(run, schema)
+    SQL functions look the pieces up, so that no second Python worker runs beside the
+    one that encodes. Bytes that are not UTF-8 become replacement marks.
+    """
+    pieces = F.split(F.lit(",".join(p.hex() for p in Vocabulary(vocabulary).data)), ",")
+    coded = F.unhex(F.array_join(F.transform("ids", lambda i: F.get(pieces, i)), ""))
+    text = F.make_valid_utf8(F.coalesce(coded.cast("string"), F.lit("")))
+    text = F.replace(F.substr(text, F.lit(2)), F.lit(MARK), F.lit(" "))
+    return rows.select(*[c for c in rows.columns if c != "text"], text.alias("text"))
