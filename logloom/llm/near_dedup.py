@@ -12,7 +12,8 @@ member that shares most buckets with others, as the origin of a group of copies
 Every pair is confirmed on the full sets, and confirmed links are joined to
 components. Buckets that still hold several components get further stars, with
 ``CENTRES`` centres drawn by a hash in each of the following rounds, between members
-of different components.
+of different components and never the same pair twice, until ``QUIET`` rounds in
+succession have found no link.
 
 Result per document row: doc_id, n_shingles, component_id (smallest doc_id that can
 be reached), kept. Null or empty texts and texts of white space have no shingles and
@@ -33,7 +34,7 @@ from logloom.llm.common import stored
 
 WORDS = 5
 ROWS, BANDS = 10, 48
-ROUNDS, CENTRES = 3, 3
+CENTRES, QUIET = 3, 2
 SKETCH = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
 SETS = "node bigint, shingles array<bigint>"
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -188,18 +189,23 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
 
 
 def linked(sketched: DataFrame, texts: DataFrame, percent: int, words: int,
-           rounds: int) -> DataFrame:
-    """node, component of the nodes that rounds of stars have linked with others."""
+           quiet: int) -> DataFrame:
+    """node, component of the nodes that rounds of stars have linked with others.
+
+    The rounds read the texts of bucket members only, which are stored once.
+    """
     members = sketched.select("node", F.explode("bands").alias("band"))
     members = stored(members.join(
         members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"),
         "near-buckets")
-    members = stored(members.drop("n").join(
-        members.groupBy("node").agg(F.sum("n").alias("shared")), "node"), "near-members")
+    nodes = members.groupBy("node").agg(F.sum("n").alias("shared"))
+    members = stored(members.drop("n").join(nodes, "node"), "near-members")
+    texts = stored(texts.join(nodes, "node", "left_semi"), "near-texts")
     size = sketched.select("node", "n_shingles")
     tested = found = None
     joined = members.select("node", F.col("node").alias("component")).where("false")
-    for turn in range(rounds):
+    turn = still = 0
+    while still < quiet:
         placed = members.join(joined, "node", "left").withColumn(
             "component", F.coalesce("component", "node"))
         star = stars(placed, turn)
@@ -212,10 +218,13 @@ def linked(sketched: DataFrame, texts: DataFrame, percent: int, words: int,
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, f"near-pairs{turn}")
-        if pairs.isEmpty():
-            break
         links = stored(confirmed(pairs, texts, percent, words), f"near-links{turn}")
         tested = pairs if tested is None else tested.unionByName(pairs)
+        turn += 1
+        if links.isEmpty():
+            still += 1
+            continue
+        still = 0
         found = links if found is None else found.unionByName(links)
         joined = components(found)
     return joined
@@ -254,11 +263,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, rows: int = ROWS, bands: int = BANDS,
-                    words: int = WORDS, rounds: int = ROUNDS) -> DataFrame:
+                    words: int = WORDS, quiet: int = QUIET) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Nodes are the smallest doc_ids of the documents with one set. Sketches are stored
-    once; texts are read again only for documents of candidate pairs.
+    once; texts are read again once, for documents that share a bucket.
     """
     sketched = stored(sketches(docs, rows, bands, words), "near-sketches")
     filled = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -269,7 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rows: int = ROWS, bands:
         .select(F.col("doc_id").alias("node"), "n_shingles", "digest", "bands")
         .dropDuplicates(["node", "digest"]), "near-heads")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text")
-    found = linked(heads, texts, percent, words, rounds)
+    found = linked(heads, texts, percent, words, quiet)
     placed = (
         sketched.select("doc_id", "n_shingles", "digest")
         .join(same.withColumnRenamed("node", "_node"), "digest", "left")
