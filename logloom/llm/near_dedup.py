@@ -202,7 +202,7 @@ def linked(sketched: DataFrame, texts: DataFrame, percent: int, words: int,
     members = stored(members.drop("n").join(nodes, "node"), "near-members")
     texts = stored(texts.join(nodes, "node", "left_semi"), "near-texts")
     size = sketched.select("node", "n_shingles")
-    tested = found = None
+    tested = None
     joined = members.select("node", F.col("node").alias("component")).where("false")
     turn = still = 0
     while still < quiet:
@@ -225,11 +225,23 @@ def linked(sketched: DataFrame, texts: DataFrame, percent: int, words: int,
             still += 1
             continue
         still = 0
-        found = links if found is None else found.unionByName(links)
-        joined = components(found)
+        joined = stored(merged(joined, links), f"near-joined{turn}")
     return joined
 
 
+def merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component after further links (a, b); only components they touch are walked."""
+    for side in ("a", "b"):
+        links = links.join(joined.toDF(side, "_home"), side, "left") \
+            .withColumn(side, F.coalesce("_home", side)).drop("_home")
+    moved = components(links.where("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return (
+        joined.join(moved.toDF("component", "_to"), "component", "left")
+        .select("node", F.coalesce("_to", "component").alias("component"))
+        .unionByName(moved.join(joined, "node", "left_anti")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (least node reached) for every node of ``edges`` (a, b).
 
