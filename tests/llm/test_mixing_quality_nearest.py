@@ -150,6 +150,16 @@ def test_recall(spark):
     assert sum((q, i) in found for q, _, i, _ in want) >= 0.95 * len(want)
 
 
+def test_recall_with_the_functions_of_a_large_table(spark):
+    draw = np.random.default_rng(5)  # 8 functions is what 3 million entries get
+    rows = [(i, v.tolist()) for i, v in enumerate(draw.standard_normal((4000, 32)).astype("f4"))]
+    frame = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], VECTORS)
+    want = brute(rows, lambda i: i % 40 == 0, 10)
+    got = nearest.nearest(frame, F.col("vec_id") % 40 == 0, k=10, functions=8).collect()
+    found = {(r.query_id, r.vec_id) for r in got}
+    assert sum((q, i) in found for q, _, i, _ in want) >= 0.95 * len(want)
+
+
 def test_hot_vectors_and_faults(spark):
     draw = np.random.default_rng(2)
     rows = [(i, [1.0, 0.0, 0.5, 0.25]) for i in range(300)]
