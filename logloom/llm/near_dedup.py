@@ -6,14 +6,13 @@ hash of each shingle picks a bin and a value, the bin keeps its least value; an
 bin borrows from a non-empty bin chosen by a hash that all documents share. ``rows``
 bins make a band; documents with the same band meet in a bucket.
 
-Documents with the same set are one from the start. In a bucket only stars of
-candidate pairs are made: a centre with each other member. The first centre is the
-member that shares most buckets with others, as the origin of a group of copies does.
-Every pair is confirmed on the full sets, and confirmed links are joined to
-components. Buckets that still hold several components get further stars, with
-``CENTRES`` centres drawn by a hash in each of the following rounds, between members
-of different components and never the same pair twice, until ``QUIET`` rounds in
-succession have found no link.
+Documents with the same set are one from the start. In a bucket first a star of
+candidate pairs is made: the member that shares most buckets with others, as the
+origin of a group of copies does, with each other member. Its pairs are confirmed on
+the full sets, and confirmed links are joined to components. In buckets that still
+hold several components every pair between them is then tested on the full sets:
+members are cut into blocks, and a task holds two blocks at a time. So all links
+within a bucket are found; buckets with the same members are tested once.
 
 Result per document row: doc_id, n_shingles, component_id (smallest doc_id that can
 be reached), kept. Null or empty texts and texts of white space have no shingles and
@@ -34,7 +33,7 @@ from logloom.llm.common import stored
 
 WORDS = 5
 ROWS, BANDS = 10, 48
-CENTRES, QUIET = 3, 2
+BLOCK, COLUMNS = 256, 4096
 SKETCH = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
 SETS = "node bigint, shingles array<bigint>"
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -154,26 +153,130 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, SETS)
 
 
-def stars(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs (node, centre) of bucket members (band, node, shared, component).
+def stars(members: DataFrame) -> DataFrame:
+    """Pairs (node, centre) of bucket members (band, node, shared)."""
+    # ties are broken by a hash, the same in all buckets
+    rank = F.col("shared") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+    centres = members.groupBy("band").agg(F.max_by("node", rank).alias("centre"))
+    return (members.join(centres, "band").where("node <> centre")
+            .select("node", "centre").distinct())
 
-    Buckets of one component, and pairs within one, fall away.
+
+def blocked(placed: DataFrame, block: int) -> DataFrame:
+    """band, i, j, right, node, component: members of open buckets by pairs of blocks.
+
+    ``placed`` has band, node, component. What is outside a bucket's largest component
+    is cut into blocks that meet each other and themselves; the largest component's
+    blocks meet only those. In buckets of two the star has tested the only pair.
+    """
+    inside = placed.groupBy("band", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    opened = (
+        inside.groupBy("band").agg(
+            F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"),
+            F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+        .where("n > 2 AND top.n < n")
+        .groupBy("n", "x", "y").agg(F.min(F.struct("band", "top")).alias("one"))
+        .select("one.band", F.col("one.top.component").alias("main"),
+                F.ceil((F.col("n") - F.col("one.top.n")) / block).alias("rest"),
+                F.ceil(F.col("one.top.n") / block).alias("mains")))
+    return (
+        placed.join(opened, "band")
+        .withColumn("own", F.expr("if(component = main, rest + pmod(xxhash64(node), mains), "
+                                  "pmod(xxhash64(node), rest))"))
+        .withColumn("other", F.explode(F.expr(
+            "sequence(0L, if(own < rest, rest + mains, rest) - 1)")))
+        .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                (F.col("own") > F.col("other")).alias("right"), "node", "component"))
+
+
+def in_common(left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
+    """How many values each list of ``left`` shares with each of ``right``; each distinct."""
+    rows = [np.repeat(np.arange(len(x)), x.value_lengths().to_numpy(zero_copy_only=False))
+            for x in (left, right)]
+    known, column = np.unique(np.concatenate([x.flatten().to_numpy() for x in (left, right)]),
+                              return_inverse=True)
+    columns = column[:len(rows[0])], column[len(rows[0]):]
+    both = np.logical_and(*[np.bincount(c, minlength=len(known)) > 0 for c in columns])
+    number = np.cumsum(both) - 1
+    kept = [(r[both[c]], number[c[both[c]]]) for r, c in zip(rows, columns, strict=True)]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(both.sum()), COLUMNS):
+        dense = []
+        for (r, c), n in zip(kept, out.shape, strict=True):
+            here = (c >= first) & (c < first + COLUMNS)
+            dense.append(np.zeros((n, COLUMNS), np.float32))
+            dense[-1][r[here], c[here] - first] = 1
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def _block_links(percent: int):
+    """a, b for rows of ``blocked`` with their shingles, sorted by band, i, j.
+
+    Of the links of two blocks those are given that join further components.
     """
-    if turn:
-        ranks = [F.xxhash64("node", F.lit(turn * CENTRES + i)) for i in range(CENTRES)]
-    else:  # ties are broken by a hash, the same in all buckets
-        ranks = [F.col("shared") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))]
-    centres = (
-        members.groupBy("band").agg(
-            F.min("component").alias("_low"), F.max("component").alias("_high"),
-            *[F.max_by("node", rank).alias(f"_{i}") for i, rank in enumerate(ranks)])
-        .where("_low < _high")
-        .select("band", F.explode(F.array_distinct(F.array(*[
-            f"_{i}" for i in range(len(ranks))]))).alias("centre")))
-    homes = members.select(F.col("node").alias("centre"), F.col("component").alias("_home")) \
-        .distinct()
-    return (members.join(centres, "band").select("node", "component", "centre").distinct()
-            .join(homes, "centre").where("component <> _home").select("node", "centre"))
+    def tested(held):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        right = rows["right"].to_numpy()
+        node, home = rows["node"].to_numpy(), rows["component"].to_numpy()
+        sets = rows["shingles"].combine_chunks()
+        one = np.flatnonzero(~right)
+        two = one if rows["i"][0] == rows["j"][0] else np.flatnonzero(right)
+        different = home[one][:, None] != home[two][None, :]
+        if not different.any():
+            return
+        left, other = sets.take(pa.array(one)), sets.take(pa.array(two))
+        common = in_common(left, other)
+        sizes = [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                 for x in (left, other)]
+        union = sizes[0][:, None] + sizes[1][None, :] - common
+        parent = {}
+
+        def root(x):
+            while (up := parent.get(x, x)) != x:
+                x = up
+            return x
+
+        links = []
+        for x, y in np.argwhere(different & (100 * common >= percent * union)).tolist():
+            a, b = root(int(home[one[x]])), root(int(home[two[y]]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append(sorted((int(node[one[x]]), int(node[two[y]]))))
+        if links:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            keys = [batch[c].to_numpy() for c in ("band", "i", "j")]
+            cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], 0)) + 1
+            for first, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+                if first == end:
+                    continue
+                if key != (now := tuple(int(k[first]) for k in keys)):
+                    if held:
+                        yield from tested(held)
+                    key, held = now, []
+                held.append(batch.slice(first, end - first))
+        if held:
+            yield from tested(held)
+
+    return run
+
+
+def remaining(placed: DataFrame, texts: DataFrame, percent: int, words: int,
+              block: int) -> DataFrame:
+    """Links a, b that join all components with a link between members of one bucket."""
+    rows = stored(blocked(placed, block), "near-blocks")
+    found = stored(sets(texts.join(rows.select("node").distinct(), "node", "left_semi"), words),
+                   "near-sets")
+    return (rows.join(found, "node").repartition("band", "i", "j")
+            .sortWithinPartitions("band", "i", "j").mapInArrow(_block_links(percent),
+                                                               "a bigint, b bigint").distinct())
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
@@ -189,10 +292,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
 
 
 def linked(sketched: DataFrame, texts: DataFrame, percent: int, words: int,
-           quiet: int) -> DataFrame:
-    """node, component of the nodes that rounds of stars have linked with others.
+           block: int) -> DataFrame:
+    """node, component of the nodes that are linked with others in some bucket.
 
-    The rounds read the texts of bucket members only, which are stored once.
+    Stars and blocks read the texts of bucket members only, which are stored once.
     """
     members = sketched.select("node", F.explode("bands").alias("band"))
     members = stored(members.join(
@@ -202,31 +305,18 @@ def linked(sketched: DataFrame, texts: DataFrame, percent: int, words: int,
     members = stored(members.drop("n").join(nodes, "node"), "near-members")
     texts = stored(texts.join(nodes, "node", "left_semi"), "near-texts")
     size = sketched.select("node", "n_shingles")
-    tested = None
-    joined = members.select("node", F.col("node").alias("component")).where("false")
-    turn = still = 0
-    while still < quiet:
-        placed = members.join(joined, "node", "left").withColumn(
-            "component", F.coalesce("component", "node"))
-        star = stars(placed, turn)
-        pairs = star.select(F.least("node", "centre").alias("a"),
-                            F.greatest("node", "centre").alias("b")).distinct()
-        # sets whose sizes differ too much cannot be similar enough
-        pairs = (pairs.join(size.toDF("a", "size_a"), "a").join(size.toDF("b", "size_b"), "b")
-                 .where(F.least("size_a", "size_b") * 100
-                        >= F.greatest("size_a", "size_b") * percent).select("a", "b"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, f"near-pairs{turn}")
-        links = stored(confirmed(pairs, texts, percent, words), f"near-links{turn}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        turn += 1
-        if links.isEmpty():
-            still += 1
-            continue
-        still = 0
-        joined = stored(merged(joined, links), f"near-joined{turn}")
-    return joined
+    pairs = stars(members).select(F.least("node", "centre").alias("a"),
+                                  F.greatest("node", "centre").alias("b")).distinct()
+    # sets whose sizes differ too much cannot be similar enough
+    pairs = stored(
+        pairs.join(size.toDF("a", "size_a"), "a").join(size.toDF("b", "size_b"), "b")
+        .where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
+        .select("a", "b"), "near-pairs")
+    joined = stored(components(confirmed(pairs, texts, percent, words)), "near-joined")
+    placed = members.select("node", "band").join(joined, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    links = stored(remaining(placed, texts, percent, words, block), "near-links")
+    return joined if links.isEmpty() else stored(merged(joined, links), "near-linked")
 
 
 def merged(joined: DataFrame, links: DataFrame) -> DataFrame:
@@ -275,7 +365,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, rows: int = ROWS, bands: int = BANDS,
-                    words: int = WORDS, quiet: int = QUIET) -> DataFrame:
+                    words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Nodes are the smallest doc_ids of the documents with one set. Sketches are stored
@@ -290,7 +380,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rows: int = ROWS, bands:
         .select(F.col("doc_id").alias("node"), "n_shingles", "digest", "bands")
         .dropDuplicates(["node", "digest"]), "near-heads")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text")
-    found = linked(heads, texts, percent, words, quiet)
+    found = linked(heads, texts, percent, words, block)
     placed = (
         sketched.select("doc_id", "n_shingles", "digest")
         .join(same.withColumnRenamed("node", "_node"), "digest", "left")

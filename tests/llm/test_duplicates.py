@@ -105,6 +105,22 @@ def test_near_copies(spark, percent, rows, bands):
     assert rows_of(near_dedup.near_duplicates(frame, percent, rows, bands)) == near(data, percent)
 
 
+def template_pairs(own, shared, count=150):
+    """Texts 2 i and 2 i + 1 share ``shared`` of their ``own`` shingles besides 356 of a template."""
+    template = [f"W{i}" for i in range(360)]
+    return [(2 * i + side, " ".join([*template, *[f"pair{i}-{k}" for k in range(shared)],
+                                     *[f"own{i}-{side}-{k}" for k in range(own - shared)]]))
+            for i in range(count) for side in (0, 1)]
+
+
+@pytest.mark.parametrize("block", [None, 16])
+def test_pairs_in_large_buckets_of_unlike_texts(spark, block):
+    data = template_pairs(45, 13)  # 85.2 % in a pair, 79.8 % between pairs
+    frame = spark.createDataFrame([(i, t, "x", "y") for i, t in data], SCHEMA)
+    got = near_dedup.near_duplicates(frame, **({"block": block} if block else {}))
+    assert rows_of(got) == sorted(((i, 401, i - i % 2, i % 2 == 0) for i, _ in data), key=str)
+
+
 def test_sample_documents(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     data = [(r.doc_id, r.text) for r in docs.collect()]
