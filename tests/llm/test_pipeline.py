@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
 
 import corpus_pipeline  # noqa: E402
 from conftest import DATA  # noqa: E402
-from test_duplicates import near  # noqa: E402
+from test_duplicates import near, template_pairs  # noqa: E402
 from test_line_runs import without_repeats  # noqa: E402
 
 FOLDER = f"{DATA}/sf0.001"
@@ -59,6 +59,14 @@ def test_near_duplicates(stages):
     assert sorted(r.doc_id for r in stages[3].collect()) == sorted(kept)
 
 
+def test_near_duplicates_among_many_unlike_texts(spark):
+    rows = [(i, t, "en", "s", len(t)) for i, t in template_pairs(60, 14)]  # 80.1 % and 74.8 %
+    docs = spark.createDataFrame(
+        rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 300, 2))
+
+
 def test_mix(stages):
     sizes, taken = {}, {}
     for frame, into in ((stages[3], sizes), (stages[4], taken)):
