@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import (
-    edits, exact_dedup, line_runs, mixing, near_dedup, nearest, quality, sentencepiece,
-    token_frames, tool_calls)
+    decontaminate, edits, exact_dedup, filter_audit, line_runs, mixing, near_dedup, nearest,
+    part_codes, quality, sentencepiece, token_frames, tool_calls)
 from logloom.llm.common import table
 from logloom.session import configure
 
@@ -129,6 +129,26 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_part_codes(spark: SparkSession, folder: str) -> DataFrame:
+    codes, books = part_codes.encode(table(spark, folder, "embeddings"))
+    return part_codes.with_label_errors(codes).select(
+        "vec_id", "label", "code", "error", "label_error",
+        F.lit(part_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, folder, "documents"),
+                                       table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def bound(query):
     return lambda spark, folder: query(configure(spark), folder)
 
@@ -144,4 +164,7 @@ QUERIES = {name: bound(query) for name, query in [
     ("op8_mixing", op8_mixing),
     ("op9_exact_dedup", op9_exact_dedup),
     ("op10_near_dedup", op10_near_dedup),
+    ("op11_part_codes", op11_part_codes),
+    ("op12_decontamination", op12_decontamination),
+    ("op13_filter_audit", op13_filter_audit),
 ]}
