@@ -86,6 +86,8 @@ AGE_IN_CONTEXT = (
     r"\b(edad|nació|nacimiento|born|years old|age)\b"
     r"|\baños\b(?!\s*(de\s*)?(experiencia|trabajando|en\s))"
 )
+# one of these is in every text that AGE_IN_CONTEXT matches
+AGE_CONTEXT_NEEDLES = ["edad", "naci", "born", "years old", "age", "años"]
 UNSURE = (
     r"\b(no (lo )?s[eé]|no tengo|no figure|no consta|no está|no disponible|"
     r"don't know|not in my profile)\b"

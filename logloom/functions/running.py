@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.session import stored
+
 BLOCK_IDS = 1 << 20
 BLOCKS = 4096
 CHUNKS = 20
@@ -73,6 +75,27 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str,
     )
 
 
+def placed_by_sums(rows: DataFrame, order: list[Column | str], size: str, name: str) -> DataFrame:
+    """Add the sum of ``size`` over all rows before each, in one order of the whole table.
+
+    Rows are range-partitioned, sorted and stored; sums run within each partition, and
+    one row per partition carries them on. Nothing needs dense or unique keys. Rows that
+    are equal in ``order`` may change places, others never do, however Spark deals them.
+    """
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({
+        "_part": F.spark_partition_id(), "_turn": F.monotonically_increasing_id()})
+    laid = stored(laid, "placed")
+    parts = laid.groupBy("_part").agg(F.sum(size).alias("_n"))
+    ahead = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = W.partitionBy("_part").orderBy("_turn").rowsBetween(W.unboundedPreceding, -1)
+    return (
+        laid.withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+        .join(parts, "_part")
+        .withColumn(name, (F.col("_ahead") + F.col("_inside")).cast("bigint"))
+        .drop("_part", "_turn", "_inside", "_ahead"))
+
+
 def within_last(rows: DataFrame, keys: list[str], flag: Column, lookback: int, name: str,
                 width: int = BLOCK_IDS) -> DataFrame:
     """Does ``flag`` hold on the row or on one of its ``lookback`` predecessors by id.

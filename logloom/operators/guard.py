@@ -55,10 +55,13 @@ def ruled(messages: DataFrame) -> DataFrame:
 
 def decided(rows: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """The decision from ``within_limit``, ``unsafe`` and the verdict, in that order."""
-    unsafe = F.col("unsafe")
-    if verdicts is not None:
-        rows = rows.join(verdicts.select("id", "verdict"), "id", "left")
-        unsafe = unsafe | ~verdict_is_safe(F.col("verdict"))
+    if verdicts is None:
+        return with_reason(rows, F.col("unsafe"))
+    rows = rows.join(verdicts.select("id", "verdict"), "id", "left")
+    return with_reason(rows, F.col("unsafe") | ~verdict_is_safe(F.col("verdict")))
+
+
+def with_reason(rows: DataFrame, unsafe: Column) -> DataFrame:
     reason = F.when(~F.col("within_limit"), "rate_limit").when(unsafe, "unsafe")
     reply = (F.when(F.col("reason") == "rate_limit", C.REPLY_RATE_LIMITED)
              .when(F.col("reason") == "unsafe", C.REPLY_BLOCKED).otherwise(""))

@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom import constants as C
+from logloom.functions.running import placed_by_sums
 from logloom.functions.text import iso_utc
 from logloom.operators.payload import tool_names
 from logloom.operators.quality import used_operational_tool
@@ -105,15 +106,8 @@ def evaluator_detail(max_retries_exceeded: Column, attempts: Column, user_messag
         response.alias("final_response"), rejections.alias("rejections"))))
 
 
-def turns_to_log(turns: DataFrame) -> DataFrame:
-    """Two to four log rows per turn, all with its timestamp.
-
-    Input: id (first of four free ids), session_id, timestamp, user_message,
-    response, tools_used (any array, or NULL), attempts, passed,
-    evaluator_detail (JSON text or NULL). A turn without a timestamp gets the
-    current one. A turn graded once writes no grading row unless it carries a
-    detail.
-    """
+def _with_lines(turns: DataFrame, *kept: str) -> DataFrame:
+    """session_id, timestamp, lines: the log rows of each turn as (place, role, content)."""
     timestamp = F.coalesce("timestamp", iso_utc(F.current_timestamp())).alias("timestamp")
     used = F.when(F.size("tools_used") > 0, F.to_json("tools_used"))
     short = F.when(F.col("attempts") > 0, F.to_json(F.struct("attempts", "passed")))
@@ -124,11 +118,40 @@ def turns_to_log(turns: DataFrame) -> DataFrame:
         (C.EVALUATOR_LOG, F.coalesce("evaluator_detail", short)),
     ]
     lines = F.array(*[
-        F.struct((F.col("id") + n).alias("id"), F.lit(role).alias("role"),
-                 content.alias("content"))
+        F.struct(F.lit(n).alias("place"), F.lit(role).alias("role"), content.alias("content"))
         for n, (role, content) in enumerate(rows)])
+    return turns.select(*kept, "session_id", timestamp,
+                        F.filter(lines, lambda r: r["content"].isNotNull()).alias("lines"))
+
+
+def turns_to_log(turns: DataFrame) -> DataFrame:
+    """Two to four log rows per turn, all with its timestamp.
+
+    Input: id (first of four free ids), session_id, timestamp, user_message,
+    response, tools_used (any array, or NULL), attempts, passed,
+    evaluator_detail (JSON text or NULL). A turn without a timestamp gets the
+    current one. A turn graded once writes no grading row unless it carries a
+    detail. ``numbered_log`` finds the ids itself.
+    """
+    return (
+        _with_lines(turns, "id").select("id", "session_id", "timestamp",
+                                        F.explode("lines").alias("r"))
+        .select((F.col("id") + F.col("r.place")).alias("id"), "session_id", "timestamp", "r.role",
+                "r.content")
+    )
+
+
+def numbered_log(turns: DataFrame, first: int = 1) -> DataFrame:
+    """The same rows with ids ``first``, ``first`` + 1 and so on, without gaps.
+
+    Turns come in the order of timestamp and session, of equal ones in the order of their
+    contents, so the same turns always get the same ids; a turn's rows follow each other.
+    Turns that are equal in everything are interchangeable.
+    """
+    rows = _with_lines(turns).withColumn("_rows", F.size("lines").cast("bigint"))
+    placed = placed_by_sums(rows, ["timestamp", "session_id", F.to_json("lines")], "_rows", "_at")
     return (
-        turns.select("session_id", timestamp,
-                     F.explode(F.filter(lines, lambda r: r["content"].isNotNull())).alias("r"))
-        .select("r.id", "session_id", "timestamp", "r.role", "r.content")
+        placed.select("_at", "session_id", "timestamp", F.posexplode("lines").alias("_n", "r"))
+        .select((F.col("_at") + F.col("_n") + first).alias("id"), "session_id", "timestamp",
+                "r.role", "r.content")
     )

@@ -525,8 +525,9 @@ SELECT session_id, timestamp, words, outcome, feedback FROM gradedf""",
     "context_supports_age": f"""
 SELECT source, bool_or({SUPPORTS_AGE}) AS supports_age FROM documents GROUP BY source""",
     "context_rows": f"""
-SELECT NULL AS source, {_quoted(CONTEXT_HEADING)} AS text
-UNION ALL SELECT source, source || ':' || chr(10) || text FROM documents""",
+SELECT true AS is_heading, NULL AS source, {_quoted(CONTEXT_HEADING)} AS text
+UNION ALL SELECT false, if(doc_id % 9 = 0, NULL, source),
+  if(doc_id % 9 = 0, '', source || ':' || chr(10)) || coalesce(text, '') FROM documents""",
     "declined_without_record": _with(CHAT, CHAT_TURNS) + f"""
 SELECT session_id, timestamp, user_row_id, response FROM turns
 WHERE NOT contains(tools, 'record_unknown_question')

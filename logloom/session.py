@@ -5,7 +5,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -54,3 +54,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _local_root()
     return os.path.join(root, "logloom", f"{name}-{uuid.uuid4().hex}")
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    What follows neither computes the rows again nor loses them with an executor, and
+    values that depend on where a row lies stay as they are.
+    """
+    path = shared_dir(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom import constants as C
-from logloom.functions.text import matches
+from logloom.functions.text import gated, matches
 
 CONTEXT_HEADING = "Approved facts; nothing outside this text may be cited:"
 
@@ -23,21 +23,24 @@ def facts_from_table(rows: DataFrame, source: str, text: str) -> DataFrame:
 
 
 def context_rows(facts: DataFrame) -> DataFrame:
-    """The approved facts as prompt text: source and text, to print in the order of source.
+    """The approved facts as prompt text: is_heading, source, text.
 
-    The heading is the row without a source. Rows, not one string, as facts have no
+    To print with the heading first, then in the order of source. A fact without a source
+    is its text alone; a missing text is empty. Rows, not one string, as facts have no
     size bound; requests refer to them (``requests.judge_requests``).
     """
     heading = facts.sparkSession.sql(
-        "SELECT CAST(NULL AS STRING) AS source, :heading AS text",
+        "SELECT true AS is_heading, CAST(NULL AS STRING) AS source, :heading AS text",
         args={"heading": CONTEXT_HEADING})
     return heading.unionByName(facts.select(
-        "source", F.concat("source", F.lit(":\n"), "text").alias("text")))
+        F.lit(False).alias("is_heading"), "source",
+        F.concat_ws(":\n", "source", F.coalesce("text", F.lit(""))).alias("text")))
 
 
 def supports_age(text: Column) -> Column:
     """Does a context text state an age, birth or years other than of experience."""
-    return matches(F.lower(text), C.AGE_IN_CONTEXT)
+    low = F.lower(text)
+    return gated(low, C.AGE_CONTEXT_NEEDLES, matches(low, C.AGE_IN_CONTEXT))
 
 
 def context_supports_age(facts: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ as a batch DataFrame. ``trigger`` is ``REFRESH`` (30 seconds) by default;
 ``AVAILABLE_NOW`` drains the source and stops.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,9 +19,9 @@ from logloom.operators.guard import decided, is_unsafe, ruled
 from logloom.operators.payload import tool_entries
 from logloom.sources.log import LOG_SCHEMA, role_counts, with_day
 from logloom.streaming.sinks import (
-    batch_folder, compact, read_batches, remove_covered, start_append, start_batches,
-    write_batch)
-from logloom.streaming.stateful import with_rate_limit
+    OPEN, Version, batch_folder, compact, pinned, publish, read_batches, read_version,
+    remove_covered, start_append, start_batches, write_batch)
+from logloom.streaming.stateful import ended_drafts, with_rate_limit
 
 NOTICE = "id bigint, pos int, kind string, text string"
 OUTCOME = ("turn_id bigint, attempts bigint, passed boolean, max_retries_exceeded boolean, "
@@ -48,6 +50,15 @@ def read_role_counts(spark: SparkSession, table: str) -> DataFrame:
 
 # -- refreshing dashboard ------------------------------------------------------------
 
+@dataclass(frozen=True)
+class LiveDashboard:
+    version: Version | None
+    kpis: DataFrame
+    daily: DataFrame
+    unknown: DataFrame
+    ratings: DataFrame
+
+
 def _merge_days(rows: DataFrame) -> DataFrame:
     return rows.groupBy("day", "session_id").agg(F.sum("n").alias("n"))
 
@@ -76,28 +87,49 @@ def _dashboard_parts(rows: DataFrame) -> dict[str, DataFrame]:
             "ratings": metrics.rating_counts(entries)}
 
 
-def _dashboard_table(spark: SparkSession, table: str, name: str) -> DataFrame:
+def _dashboard_table(spark: SparkSession, table: str, name: str,
+                     version: Version | None = None) -> DataFrame:
+    """A part as ``version`` has it, else as the newest version that is complete."""
     schema = _dashboard_parts(spark.createDataFrame([], LOG_SCHEMA))[name].schema
-    return DASHBOARD_TABLES[name](read_batches(spark, f"{table}/{name}", schema))
+    version = version or pinned(spark, table)
+    rows = (read_batches(spark, f"{table}/{name}", schema) if version is None
+            else read_version(spark, f"{table}/{name}", schema, version))
+    return DASHBOARD_TABLES[name](rows)
 
 
 def start_dashboard(messages: DataFrame, table: str, checkpoint: str,
                     trigger=None) -> StreamingQuery:
-    """Keep mergeable parts of all dashboard metrics; late rows always count."""
+    """Keep mergeable parts of all dashboard metrics; late rows always count.
+
+    A batch becomes visible, in all parts at once, when all its parts are written. A
+    repeated batch that was complete is not written again.
+    """
+    spark = messages.sparkSession
+    if pinned(spark, table) is None:
+        publish(spark, table, "batch", OPEN)
+
     def write(rows, batch_id):
+        session = rows.sparkSession
+        if pinned(session, table).batch >= batch_id:
+            return
         rows = rows.persist()
         try:
             for name, part in _dashboard_parts(rows).items():
                 write_batch(part, f"{table}/{name}", batch_id)
         finally:
             rows.unpersist()
+        publish(session, table, "batch", batch_id)
 
     return start_batches(messages, checkpoint, write, trigger)
 
 
 def compact_dashboard(spark: SparkSession, table: str, upto: int) -> None:
+    """Fold all parts up to batch ``upto``, which must be complete, and then publish that."""
+    if pinned(spark, table).batch < upto:
+        raise ValueError(f"batch {upto} of {table} is not complete")
     for name, merge in DASHBOARD_TABLES.items():
         compact(spark, f"{table}/{name}", merge, upto)
+    publish(spark, table, "snapshot", upto)
 
 
 def remove_compacted(spark: SparkSession, table: str, upto: int) -> None:
@@ -105,43 +137,56 @@ def remove_compacted(spark: SparkSession, table: str, upto: int) -> None:
         remove_covered(spark, f"{table}/{name}", upto)
 
 
-def read_kpis(spark: SparkSession, table: str) -> DataFrame:
-    return metrics.kpis(_dashboard_table(spark, table, "flags"))
+def read_dashboard(spark: SparkSession, table: str, days: int = C.ACTIVE_DAYS,
+                   limit: int = C.TOP_QUESTIONS) -> LiveDashboard:
+    """All metrics as after one and the same batch, however many are being written."""
+    version = pinned(spark, table)
+    return LiveDashboard(
+        version, read_kpis(spark, table, version),
+        read_daily_activity(spark, table, days, version),
+        read_top_questions(spark, table, limit, version), read_ratings(spark, table, version))
+
+
+def read_kpis(spark: SparkSession, table: str, version: Version | None = None) -> DataFrame:
+    return metrics.kpis(_dashboard_table(spark, table, "flags", version))
 
 
-def read_daily_activity(spark: SparkSession, table: str, days: int = C.ACTIVE_DAYS) -> DataFrame:
-    return metrics.activity_rows(_dashboard_table(spark, table, "days"), days)
+def read_daily_activity(spark: SparkSession, table: str, days: int = C.ACTIVE_DAYS,
+                        version: Version | None = None) -> DataFrame:
+    return metrics.activity_rows(_dashboard_table(spark, table, "days", version), days)
 
 
-def read_daily(spark: SparkSession, table: str, days: int = C.ACTIVE_DAYS) -> DataFrame:
+def read_daily(spark: SparkSession, table: str, days: int = C.ACTIVE_DAYS,
+               version: Version | None = None) -> DataFrame:
     """day, messages, sessions of the latest active days; late rows count."""
-    per_day = _dashboard_table(spark, table, "days").groupBy("day").agg(
+    per_day = _dashboard_table(spark, table, "days", version).groupBy("day").agg(
         F.sum("n").alias("messages"), F.count(F.lit(1)).alias("sessions"))
     return per_day.orderBy(F.desc("day")).limit(days)
 
 
-def read_top_questions(spark: SparkSession, table: str,
-                       limit: int = C.TOP_QUESTIONS) -> DataFrame:
-    return metrics.most_asked(_dashboard_table(spark, table, "questions"), limit)
+def read_top_questions(spark: SparkSession, table: str, limit: int = C.TOP_QUESTIONS,
+                       version: Version | None = None) -> DataFrame:
+    return metrics.most_asked(_dashboard_table(spark, table, "questions", version), limit)
 
 
-def read_ratings(spark: SparkSession, table: str) -> DataFrame:
-    return metrics.zero_filled_ratings(_dashboard_table(spark, table, "ratings"))
+def read_ratings(spark: SparkSession, table: str, version: Version | None = None) -> DataFrame:
+    return metrics.zero_filled_ratings(_dashboard_table(spark, table, "ratings", version))
 
 
 # -- turn outcomes ---------------------------------------------------------------------------
 
 def start_turn_outcomes(drafts: DataFrame, table: str, checkpoint: str,
-                        trigger=None) -> StreamingQuery:
-    """Write a turn as soon as a draft has come that ends it; state is its drafts."""
-    ended = turns.fold_drafts(drafts).where("ended").drop("ended")
-    return start_batches(ended, checkpoint, lambda rows, n: write_batch(rows, table, n),
-                         trigger, mode="update")
+                        trigger=None, keep_ms: int | None = None) -> StreamingQuery:
+    """Write a turn as soon as the drafts are there that end it; only open turns have state."""
+    def write(rows, batch_id):
+        write_batch(turns.fold_drafts(rows).where("ended").drop("ended"), table, batch_id)
+
+    return start_batches(ended_drafts(drafts, keep_ms=keep_ms), checkpoint, write, trigger)
 
 
 def read_turn_outcomes(spark: SparkSession, table: str) -> DataFrame:
-    """Each ended turn once; drafts after the end repeat its row unchanged."""
-    return read_batches(spark, table, OUTCOME).dropDuplicates(["turn_id"])
+    """Each ended turn, as it was written when it ended."""
+    return read_batches(spark, table, OUTCOME)
 
 
 # -- screening and outbox -------------------------------------------------------------------

@@ -4,9 +4,14 @@ Each micro-batch writes one folder named after its id, and a repeated batch
 overwrites its own folder, so replays after a failure change nothing. Readers
 merge the folders. ``compact`` folds finished batches into a snapshot, after
 which readers skip what the snapshot covers; ``remove_covered`` deletes it.
+
+Several tables that belong together are published together: a batch, or a snapshot, gets
+a mark once all its folders are complete, and readers pin the newest marks. What they see
+of every table is then the state after one batch, whatever is being written.
 """
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +46,49 @@ def _parts(rows: DataFrame, before: int | None = None, upto: int | None = None)
     return rows.where(snapshot | later).drop("upto", "batch")
 
 
+@dataclass(frozen=True)
+class Version:
+    """The last finished batch, and the last snapshot that is complete in all tables."""
+
+    batch: int
+    snapshot: int = OPEN
+
+
+def _hadoop(spark: SparkSession, path: str):
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    return to_path, to_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def publish(spark: SparkSession, table: str, kind: str, number: int) -> None:
+    """Mark a ``batch`` or ``snapshot`` of all tables under ``table`` as complete."""
+    to_path, files = _hadoop(spark, table)
+    files.create(to_path(f"{table}/versions/{kind}-{number}"), True).close()
+
+
+def pinned(spark: SparkSession, table: str) -> Version | None:
+    """The newest version; none where nothing was ever published."""
+    to_path, files = _hadoop(spark, table)
+    newest = {}
+    for mark in files.globStatus(to_path(f"{table}/versions/*-*")) or []:
+        kind, number = mark.getPath().getName().split("-", 1)
+        newest[kind] = max(newest.get(kind, OPEN), int(number))
+    return Version(newest["batch"], newest.get("snapshot", OPEN)) if newest else None
+
+
+def read_version(spark: SparkSession, table: str, schema: StructType | str,
+                 version: Version) -> DataFrame:
+    """The table as that version has it."""
+    try:
+        rows = spark.read.parquet(table)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], schema)
+    covered = (F.col("upto") == version.snapshot) & (F.col("upto") != OPEN)
+    later = (F.col("upto") == OPEN) & F.col("batch").between(version.snapshot + 1, version.batch)
+    return rows.where(covered | later).drop("upto", "batch")
+
+
 def read_batches(spark: SparkSession, table: str, schema: StructType | str) -> DataFrame:
     """The table as it is now: empty, with ``schema``, before the first batch."""
     try:
@@ -65,8 +113,7 @@ def remove_covered(spark: SparkSession, table: str, upto: int) -> None:
     For when no reader is left that began before ``compact``: a reader names its
     files when it begins.
     """
-    to_path = spark._jvm.org.apache.hadoop.fs.Path
-    files = to_path(table).getFileSystem(spark._jsc.hadoopConfiguration())
+    to_path, files = _hadoop(spark, table)
     if not files.exists(to_path(f"{table}/upto={upto}/batch={upto}/_SUCCESS")):
         raise ValueError(f"{table} has no snapshot {upto}")
     for folder in files.globStatus(to_path(f"{table}/upto=*/batch=*")):
