@@ -8,9 +8,9 @@ XXH64, then the number of frames, a descriptor and a magic number. An index tabl
 (Parquet) says for each document its file, its first token there and its length, so
 a reader decompresses only the frames that hold the documents asked for.
 
-One task writes one file, under a temporary name until it is whole; a repeated task
-replaces it by the same bytes. Files go through Arrow's file systems to the shared
-folder.
+One task writes one file; a repeated task writes one of another name, and only files
+that the index names count. Readers give rows by portions of READ_BYTES. Files go
+through Arrow's file systems to the shared folder.
 
 Nulls and empty texts: only the end id. Repeated rows are written each; a null
 doc_id comes first. No rows give no files and an empty result. Other columns are
@@ -35,7 +35,7 @@ from pyspark.sql.types import StructType
 from logloom.llm.vocabulary import encoder
 from logloom.session import shared_dir
 
-FRAME_BYTES = 1 << 18
+FRAME_BYTES, READ_BYTES = 1 << 18, 1 << 25
 LEVEL = 3
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -50,12 +50,11 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class FrameWriter:
-    """Appends bytes to a file; ``close`` adds the seek table and gives it its name."""
+    """Appends bytes to a file; ``close`` adds the seek table."""
 
     def __init__(self, path: str, frame_bytes: int = FRAME_BYTES, level: int = LEVEL):
-        self.files, self.path = file_system(path)
-        self.part = f"{self.path}.{uuid.uuid4().hex}.tmp"
-        self.out = self.files.open_output_stream(self.part)
+        files, where = file_system(path)
+        self.out = files.open_output_stream(where, compression=None)
         self.frame_bytes, self.pending, self.entries = frame_bytes, bytearray(), []
         self.compressor = zstandard.ZstdCompressor(level=level, write_checksum=True)
 
@@ -78,7 +77,6 @@ class FrameWriter:
             FOOTER, len(self.entries), WITH_CHECKSUMS, SEEKABLE)
         self.out.write(struct.pack(HEADER, SKIPPABLE, len(table)) + table)
         self.out.close()
-        self.files.move(self.part, self.path)
 
 
 class FrameReader:
@@ -145,7 +143,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int,
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 if writer is None:
-                    name = f"{TaskContext.get().partitionId():08d}.zst"
+                    # a repeated task writes a file of its own; the index names the one that counts
+                    name = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.zst"
                     writer = FrameWriter(f"{folder}/{name}", frame_bytes)
                 ids = encoder(vocabulary).encode(text.as_py()) + end
                 writer.write(ids)
@@ -185,16 +184,21 @@ def read(documents: DataFrame, folder: str) -> DataFrame:
     def fetch(batches):
         reader, name = None, None
         for batch in batches:
-            ids = []
-            for file, first, count in zip(batch["file"].to_pylist(), batch["first"].to_pylist(),
-                                          batch["n_tokens"].to_pylist(), strict=True):
+            done, ids, held = 0, [], 0
+            for last, (file, first, count) in enumerate(zip(
+                    batch["file"].to_pylist(), batch["first"].to_pylist(),
+                    batch["n_tokens"].to_pylist(), strict=True), 1):
                 if file != name:
                     if reader:
                         reader.close()
                     reader, name = FrameReader(f"{folder}/{file}"), file
                 ids.append(reader.read(first * 4, count * 4))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())],
-                                             [*batch.schema.names, "ids"])
+                held += count * 4
+                if held >= READ_BYTES or last == len(batch):
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.slice(done, last - done).columns, pa.array(ids, pa.binary())],
+                        [*batch.schema.names, "ids"])
+                    done, ids, held = last, [], 0
         if reader:
             reader.close()
 

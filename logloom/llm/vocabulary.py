@@ -4,6 +4,7 @@ import os
 import sys
 from array import array
 from types import ModuleType
+from unicodedata import normalize
 
 import numpy as np
 
@@ -13,6 +14,15 @@ JOINED = 256
 STATE = "logloom_worker_words"
 
 
+def stays_letter(character: str) -> bool:
+    """Whether it ends in a letter or digit when composed and lower-cased.
+
+    Some letters end in a mark then, which joins a stop that follows.
+    """
+    return character.isalnum() and (
+        character.isascii() or normalize("NFC", character.lower())[-1].isalnum())
+
+
 class WordEncoder:
     """Encodes the words of a text once each; ids are little-endian unsigned 32-bit.
 
@@ -48,7 +58,7 @@ class WordEncoder:
         for word in new:
             text = word.decode("utf-8", "replace")
             # a stop after a letter or digit is a run of its own
-            if len(text) > 1 and text[-1] in ".," and text[-2].isalnum():
+            if len(text) > 1 and text[-1] in ".," and stays_letter(text[-2]):
                 stopped.append(word)
                 word, text = word[:-1], text[:-1]
                 if word in known:

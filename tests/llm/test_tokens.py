@@ -1,6 +1,8 @@
 """Word encoder, token frames, edited counts and pieces against whole encodings."""
 
 import random
+import sys
+import unicodedata
 import zlib
 
 import numpy as np
@@ -40,6 +42,17 @@ def test_odd_texts():
 SCHEMA = "doc_id bigint, text string, start string, file string, ids string"
 
 
+@pytest.mark.parametrize("stop", ["", ".", ","])
+def test_every_character(stop):
+    """Alone and before a stop, where some letters end in a mark that joins it."""
+    words = [f"q{c}{stop} {c}{stop}" for c in map(chr, range(sys.maxunicode + 1))
+             if unicodedata.category(c) not in ("Cn", "Cs", "Co")]
+    assert len(words) > 140_000
+    for at in range(0, len(words), 500):
+        text = "\n".join(words[at:at + 500])
+        assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids_of(text)
+
+
 def test_frames_round_trip(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [
