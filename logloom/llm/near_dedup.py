@@ -6,13 +6,18 @@ hash of each shingle picks a bin and a value, the bin keeps its least value; an
 bin borrows from a non-empty bin chosen by a hash that all documents share. ``rows``
 bins make a band; documents with the same band meet in a bucket.
 
-Documents with the same set are one from the start. In a bucket first a star of
-candidate pairs is made: the member that shares most buckets with others, as the
-origin of a group of copies does, with each other member. Its pairs are confirmed on
-the full sets, and confirmed links are joined to components. In buckets that still
-hold several components every pair between them is then tested on the full sets:
-members are cut into blocks, and a task holds two blocks at a time. So all links
-within a bucket are found; buckets with the same members are tested once.
+Documents with the same set are one from the start. In a bucket a star of candidate
+pairs is made: the member that shares most buckets with others, as the origin of a
+group of copies does, with each other member. Its pairs are confirmed on the full sets,
+and confirmed links are joined to components.
+
+Links between members that are not the star's are found exactly, by prefixes: with the
+shingles of all sets in one order, two sets of n shingles that share ceil(t n) have one
+in common among the first n - ceil(t n) + 1 of each. Members of buckets that still hold
+several components list those few shingles; members of different components that meet in
+a list are confirmed on the full sets. The order puts rare shingles first, so that texts
+which only share a template do not meet. It may be any order, so frequent shingles are
+counted on a sample of the members and told to the tasks up to a bound.
 
 Result per document row: doc_id, n_shingles, component_id (smallest doc_id that can
 be reached), kept. Null or empty texts and texts of white space have no shingles and
@@ -33,9 +38,10 @@ from logloom.llm.common import stored
 
 WORDS = 5
 ROWS, BANDS = 10, 48
-BLOCK, COLUMNS = 256, 4096
+#: The order of shingles: one of SAMPLED members is counted; the HINTS most frequent come last.
+SAMPLED, HINTS = 8, 1 << 20
+PORTION = 1 << 22
 SKETCH = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
-SETS = "node bigint, shingles array<bigint>"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,15 +148,24 @@ def sketches(docs: DataFrame, rows: int, bands: int, words: int) -> DataFrame:
 
 
 def sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, shingles for rows (node, text)."""
+    """Rows with ``shingles`` for their text, in portions of at least PORTION shingles."""
+    kept = [c for c in docs.columns if c != "text"]
+
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            found = [shingles(t.as_py(), hashes, words).view(np.int64) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["node"], _lists(found)],
-                                             ["node", "shingles"])
+            first, found, held = 0, [], 0
+            for last, text in enumerate(batch["text"], 1):
+                found.append(shingles(text.as_py(), hashes, words).view(np.int64))
+                held += len(found[-1])
+                if held >= PORTION or last == len(batch):
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch[c].slice(first, last - first) for c in kept), _lists(found)],
+                        [*kept, "shingles"])
+                    first, found, held = last, [], 0
 
-    return docs.select("node", "text").mapInArrow(run, SETS)
+    schema = ", ".join(f"{c} bigint" for c in kept)
+    return docs.select(*kept, "text").mapInArrow(run, f"{schema}, shingles array<bigint>")
 
 
 def stars(members: DataFrame) -> DataFrame:
@@ -162,127 +177,92 @@ def stars(members: DataFrame) -> DataFrame:
             .select("node", "centre").distinct())
 
 
-def blocked(placed: DataFrame, block: int) -> DataFrame:
-    """band, i, j, right, node, component: members of open buckets by pairs of blocks.
+def frequent(found: DataFrame, sampled: int, hints: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that recur among sampled sets, at most ``hints``, and their counts."""
+    rows = (
+        found.where(F.pmod(F.xxhash64("node"), F.lit(sampled)) == 0)
+        .select(F.explode("shingles").alias("shingle"))
+        .groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        .orderBy(F.desc("n"), "shingle").limit(hints).toArrow())
+    shingle, n = (rows[c].to_numpy().astype(np.int64) for c in ("shingle", "n"))
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
 
-    ``placed`` has band, node, component. What is outside a bucket's largest component
-    is cut into blocks that meet each other and themselves; the largest component's
-    blocks meet only those. In buckets of two the star has tested the only pair.
-    """
-    inside = placed.groupBy("band", "component").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
-        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    opened = (
-        inside.groupBy("band").agg(
-            F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"),
-            F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
-        .where("n > 2 AND top.n < n")
-        .groupBy("n", "x", "y").agg(F.min(F.struct("band", "top")).alias("one"))
-        .select("one.band", F.col("one.top.component").alias("main"),
-                F.ceil((F.col("n") - F.col("one.top.n")) / block).alias("rest"),
-                F.ceil(F.col("one.top.n") / block).alias("mains")))
-    return (
-        placed.join(opened, "band")
-        .withColumn("own", F.expr("if(component = main, rest + pmod(xxhash64(node), mains), "
-                                  "pmod(xxhash64(node), rest))"))
-        .withColumn("other", F.explode(F.expr(
-            "sequence(0L, if(own < rest, rest + mains, rest) - 1)")))
-        .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                (F.col("own") > F.col("other")).alias("right"), "node", "component"))
-
-
-def in_common(left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
-    """How many values each list of ``left`` shares with each of ``right``; each distinct."""
-    rows = [np.repeat(np.arange(len(x)), x.value_lengths().to_numpy(zero_copy_only=False))
-            for x in (left, right)]
-    known, column = np.unique(np.concatenate([x.flatten().to_numpy() for x in (left, right)]),
-                              return_inverse=True)
-    columns = column[:len(rows[0])], column[len(rows[0]):]
-    both = np.logical_and(*[np.bincount(c, minlength=len(known)) > 0 for c in columns])
-    number = np.cumsum(both) - 1
-    kept = [(r[both[c]], number[c[both[c]]]) for r, c in zip(rows, columns, strict=True)]
-    out = np.zeros((len(left), len(right)), np.float32)
-    for first in range(0, int(both.sum()), COLUMNS):
-        dense = []
-        for (r, c), n in zip(kept, out.shape, strict=True):
-            here = (c >= first) & (c < first + COLUMNS)
-            dense.append(np.zeros((n, COLUMNS), np.float32))
-            dense[-1][r[here], c[here] - first] = 1
-        out += dense[0] @ dense[1].T
-    return out.astype(np.int64)
-
-
-def _block_links(percent: int):
-    """a, b for rows of ``blocked`` with their shingles, sorted by band, i, j.
-
-    Of the links of two blocks those are given that join further components.
-    """
-    def tested(held):
-        rows = pa.Table.from_batches(held).combine_chunks()
-        right = rows["right"].to_numpy()
-        node, home = rows["node"].to_numpy(), rows["component"].to_numpy()
-        sets = rows["shingles"].combine_chunks()
-        one = np.flatnonzero(~right)
-        two = one if rows["i"][0] == rows["j"][0] else np.flatnonzero(right)
-        different = home[one][:, None] != home[two][None, :]
-        if not different.any():
-            return
-        left, other = sets.take(pa.array(one)), sets.take(pa.array(two))
-        common = in_common(left, other)
-        sizes = [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                 for x in (left, other)]
-        union = sizes[0][:, None] + sizes[1][None, :] - common
-        parent = {}
-
-        def root(x):
-            while (up := parent.get(x, x)) != x:
-                x = up
-            return x
-
-        links = []
-        for x, y in np.argwhere(different & (100 * common >= percent * union)).tolist():
-            a, b = root(int(home[one[x]])), root(int(home[two[y]]))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                links.append(sorted((int(node[one[x]]), int(node[two[y]]))))
-        if links:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
+def prefixes(found: DataFrame, shared, percent: int) -> DataFrame:
+    """shingle, node, component, n, place: each set's first shingles, rare ones before others."""
     def run(batches):
-        key, held = None, []
+        known, counts = shared.value
         for batch in batches:
-            keys = [batch[c].to_numpy() for c in ("band", "i", "j")]
-            cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], 0)) + 1
-            for first, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
-                if first == end:
-                    continue
-                if key != (now := tuple(int(k[first]) for k in keys)):
-                    if held:
-                        yield from tested(held)
-                    key, held = now, []
-                held.append(batch.slice(first, end - first))
-        if held:
-            yield from tested(held)
-
-    return run
-
-
-def remaining(placed: DataFrame, texts: DataFrame, percent: int, words: int,
-              block: int) -> DataFrame:
-    """Links a, b that join all components with a link between members of one bucket."""
-    rows = stored(blocked(placed, block), "near-blocks")
-    found = stored(sets(texts.join(rows.select("node").distinct(), "node", "left_semi"), words),
-                   "near-sets")
-    return (rows.join(found, "node").repartition("band", "i", "j")
-            .sortWithinPartitions("band", "i", "j").mapInArrow(_block_links(percent),
-                                                               "a bigint, b bigint").distinct())
+            out, lengths = [], []
+            for one in batch["shingles"]:
+                own = one.values.to_numpy()
+                n = len(own)
+                first = n - -(-percent * n // 100) + 1
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    often = np.where(known[at] == own, counts[at], 0)
+                    own = own[np.argsort(often, kind="stable")]
+                out.append(own[:first])
+                lengths.append(n)
+            counts = list(map(len, out))
+            each = np.repeat(np.arange(len(batch)), counts)
+            places = [np.arange(c) for c in counts]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([*out, np.empty(0, np.int64)])),
+                batch["node"].take(pa.array(each)), batch["component"].take(pa.array(each)),
+                pa.array(np.array(lengths, np.int64)[each]),
+                pa.array(np.concatenate([*places, np.empty(0, np.int64)]))],
+                ["shingle", "node", "component", "n", "place"])
 
+    return found.mapInArrow(
+        run, "shingle bigint, node bigint, component bigint, n bigint, place bigint")
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """a, b of ``pairs`` (a < b) whose sets have 100 * common >= percent * union."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = sets(texts.join(wanted, "node", "left_semi"), words)
+
+def meetings(index: DataFrame, percent: int) -> DataFrame:
+    """a, b (a < b) of different components that meet in ``index`` and can be similar.
+
+    The first shingle that two sets have in common, in the order, leaves both enough
+    shingles from it on: sets of n and m need (n + m) * percent / (100 + percent) in common.
+    In each list the members outside the largest component meet all others, so a list
+    of one component costs nothing and its largest one never meets itself.
+    """
+    inside = index.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
+    mixed = inside.groupBy("shingle").agg(
+        F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("kinds")
+    ).where("kinds > 1").select("shingle", F.col("top.component").alias("main"))
+    rows = stored(index.join(mixed, "shingle"), "near-lists")
+    left = rows.where("component <> main").select(
+        "shingle", *[F.col(c).alias(f"{c}_l") for c in ("node", "component", "n", "place")])
+    rest = F.least(F.col("n") - F.col("place"), F.col("n_l") - F.col("place_l"))
+    return (
+        left.join(rows, "shingle")
+        .where("component <> component_l AND (component = main OR node > node_l)")
+        .where(rest * (100 + percent) >= (F.col("n") + F.col("n_l")) * percent)
+        .select(F.least("node", "node_l").alias("a"), F.greatest("node", "node_l").alias("b"))
+        .distinct())
+
+
+def remaining(placed: DataFrame, texts: DataFrame, percent: int, words: int, sampled: int,
+              hints: int) -> DataFrame:
+    """Links a, b between components, among the members of buckets with several.
+
+    ``placed`` has band, node, component. All such links are found that have
+    100 * common >= percent * union, also those between buckets.
+    """
+    opened = placed.groupBy("band").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    members = stored(placed.join(opened.select("band"), "band", "left_semi")
+                     .select("node", "component").distinct(), "near-open")
+    found = stored(sets(texts.join(members, "node"), words), "near-sets")
+    shared = placed.sparkSession.sparkContext.broadcast(frequent(found, sampled, hints))
+    index = stored(prefixes(found, shared, percent), "near-prefixes")
+    pairs = stored(meetings(index, percent), "near-meetings")
+    return similar(pairs, found.select("node", "shingles"), percent)
+
+
+def similar(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """a, b of ``pairs`` whose sets, in ``found``, have 100 * common >= percent * union."""
     common = F.size(F.array_intersect("left", "right")).cast("bigint")
     union = F.size("left") + F.size("right") - common
     return (pairs.join(found.select(F.col("node").alias("b"), F.col("shingles").alias("right")),
@@ -291,11 +271,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
             .where(100 * common >= percent * union).select("a", "b"))
 
 
-def linked(sketched: DataFrame, texts: DataFrame, percent: int, words: int,
-           block: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """``similar`` pairs by their texts."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return similar(pairs, sets(texts.join(wanted, "node", "left_semi"), words), percent)
+
+
+def linked(sketched: DataFrame, texts: DataFrame, percent: int, words: int, sampled: int,
+           hints: int) -> DataFrame:
     """node, component of the nodes that are linked with others in some bucket.
 
-    Stars and blocks read the texts of bucket members only, which are stored once.
+    Stars and prefixes read the texts of bucket members only, which are stored once.
     """
     members = sketched.select("node", F.explode("bands").alias("band"))
     members = stored(members.join(
@@ -315,7 +301,7 @@ def linked(sketched: DataFrame, texts: DataFrame, percent: int, words: int,
     joined = stored(components(confirmed(pairs, texts, percent, words)), "near-joined")
     placed = members.select("node", "band").join(joined, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
-    links = stored(remaining(placed, texts, percent, words, block), "near-links")
+    links = stored(remaining(placed, texts, percent, words, sampled, hints), "near-links")
     return joined if links.isEmpty() else stored(merged(joined, links), "near-linked")
 
 
@@ -365,7 +351,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, rows: int = ROWS, bands: int = BANDS,
-                    words: int = WORDS, block: int = BLOCK) -> DataFrame:
+                    words: int = WORDS, sampled: int = SAMPLED,
+                    hints: int = HINTS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Nodes are the smallest doc_ids of the documents with one set. Sketches are stored
@@ -380,7 +367,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rows: int = ROWS, bands:
         .select(F.col("doc_id").alias("node"), "n_shingles", "digest", "bands")
         .dropDuplicates(["node", "digest"]), "near-heads")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text")
-    found = linked(heads, texts, percent, words, block)
+    found = linked(heads, texts, percent, words, sampled, hints)
     placed = (
         sketched.select("doc_id", "n_shingles", "digest")
         .join(same.withColumnRenamed("node", "_node"), "digest", "left")

@@ -113,11 +113,11 @@ def template_pairs(own, shared, count=150):
             for i in range(count) for side in (0, 1)]
 
 
-@pytest.mark.parametrize("block", [None, 16])
-def test_pairs_in_large_buckets_of_unlike_texts(spark, block):
+@pytest.mark.parametrize("order", [{}, {"sampled": 1, "hints": 50}, {"hints": 0}])
+def test_pairs_in_large_buckets_of_unlike_texts(spark, order):
     data = template_pairs(45, 13)  # 85.2 % in a pair, 79.8 % between pairs
     frame = spark.createDataFrame([(i, t, "x", "y") for i, t in data], SCHEMA)
-    got = near_dedup.near_duplicates(frame, **({"block": block} if block else {}))
+    got = near_dedup.near_duplicates(frame, **order)
     assert rows_of(got) == sorted(((i, 401, i - i % 2, i % 2 == 0) for i, _ in data), key=str)
 
 
