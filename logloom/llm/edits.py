@@ -156,8 +156,10 @@ def counted(docs: DataFrame, edits: DataFrame, vocabulary: str) -> DataFrame:
         schema = schema.add(name, LongType())
     gathered = edits.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(
         F.struct("seq", "at", "removed", "inserted"))).cast(EDITS).alias("_edits"))
-    rows = docs.select(*kept, F.coalesce("text", F.lit("")).alias("text")).join(
-        gathered, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    # the caller's columns travel as one, whatever their names
+    rows = docs.select(F.struct(*kept).alias("_row"), "doc_id",
+                       F.coalesce("text", F.lit("")).alias("text")).join(
+        gathered, F.col("doc_id") == F.col("_id"), "left").drop("_id", "doc_id")
 
     def run(batches):
         count = counter(vocabulary)
@@ -172,7 +174,7 @@ def counted(docs: DataFrame, edits: DataFrame, vocabulary: str) -> DataFrame:
                 found.append((before, tree.total, tree.chars[1], tree.encoded))
             columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] or [
                 pa.array([], pa.int64())] * len(added)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *columns],
+            yield pa.RecordBatch.from_arrays([*batch["_row"].flatten(), *columns],
                                              [*kept, *added])
 
     return rows.mapInArrow(run, schema)

@@ -150,10 +150,13 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS,
                    removed: str = "removed_lines") -> DataFrame:
     """``docs`` with later copies of runs deleted from ``text``; ``removed`` counts lines."""
     columns = [c for c in docs.columns if c != removed]
-    rows = _keyed(docs.select(*columns)).join(repeated_lines(docs, min_words), KEY, "left")
+    # the caller's other columns travel as one, whatever their names
+    packed = docs.select(F.struct("doc_id", *[c for c in columns if c not in ("doc_id", "text")])
+                         .alias("_row"), "doc_id", "text")
+    rows = _keyed(packed).join(repeated_lines(docs, min_words), KEY, "left")
     cut = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("_drop"))
     text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.element_at(cut, i + 1)), "\n"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns],
-                       F.coalesce(F.size("_drop"), F.lit(0)).alias(removed))
+    return rows.select(*[text.alias("text") if c == "text" else F.col("_row")[c].alias(c)
+                         for c in columns], F.coalesce(F.size("_drop"), F.lit(0)).alias(removed))

@@ -168,8 +168,11 @@ def mixed(docs: DataFrame, schedule, share: float, most: float,
         F.transform(F.sequence(F.lit(0), F.col("_copies") - 1), lambda copy: _time(
             F.least((copy * F.col("source_size") + F.col("before")) / F.col("target"),
                     F.lit(1.0)) * F.col("weight"))).alias("_times"))
-    chosen = docs.join(times, F.expr("doc_id <=> _id AND source <=> _source")
-                       & (words(F.col("text")) == F.col("_size")))
-    return (chosen.select(*columns, F.explode("_times").alias("_time"))
+    # the caller's columns travel as one, whatever their names
+    packed = docs.select(F.struct(*columns).alias("_row"), "doc_id", "source",
+                         words(F.col("text")).alias("_words"))
+    chosen = packed.join(times, F.expr(
+        "doc_id <=> _id AND source <=> _source AND _words = _size"))
+    return (chosen.select("_row", "doc_id", F.explode("_times").alias("_time"))
             .repartitionByRange("_time", "doc_id").sortWithinPartitions("_time", "doc_id")
-            .select(*columns))
+            .select(*[F.col("_row")[c].alias(c) for c in columns]))

@@ -30,7 +30,8 @@ def stages(spark, tmp_path_factory):
 
 
 def pairs(frame):
-    return sorted((r.doc_id, r.text) for r in frame.collect())
+    return sorted(((r.doc_id, r.text) for r in frame.collect()),
+                  key=lambda p: (p[0] is None, p))
 
 
 def test_columns(stages):
@@ -94,3 +95,31 @@ def test_odd_rows(spark):
             out = stage(spark, frame, FOLDER)
             assert set(out.columns) >= {"doc_id"}
             assert out.count() <= 2 * frame.count()
+
+
+def test_unlike_texts_with_one_id(spark):
+    """Each has its own decision; rows without an id too."""
+    long, other = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    near_long = long + " end"
+    rows = [(5, long), (5, other), (3, long), (None, near_long), (None, "own text"), (None, "own text"),
+            (8, "single"), (8, "single")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+    assert sorted(pairs(got), key=str) == sorted(
+        [(3, long), (5, other), (None, "own text"), (8, "single")], key=str)
+
+
+CLASHING = ["_id", "_h", "_row", "_drop", "removed", "removed_lines", "_time", "_size", "_source",
+            "_times", "_words", "row", "hash", "first", "last", "id", "node", "kept", "turn", "own"]
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[1:4]])
+def test_columns_named_like_internal_ones(spark, stage):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(30).persist()
+    more = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in CLASHING])
+    plain, got = stage(spark, docs, FOLDER), stage(spark, more, FOLDER)
+    assert got.columns == more.columns
+    assert pairs(got) == pairs(plain)
+    for c in CLASHING:
+        assert got.where(F.col(c) != F.concat(F.lit(c), F.col("doc_id"))).isEmpty()

@@ -135,6 +135,16 @@ def test_counted(spark):
     assert edits.counted(docs.where("false"), changes, WORDS).collect() == []
 
 
+def test_edits_beside_columns_named_like_internal_ones(spark):
+    docs = spark.createDataFrame([(1, "one two", 5, "e", "r")],
+                                 "doc_id bigint, text string, _id int, _edits string, _row string")
+    changes = spark.createDataFrame([(1, 1, 0, 3, "zero")],
+                                    "doc_id bigint, seq bigint, at bigint, removed bigint, inserted string")
+    [row] = edits.counted(docs, changes, WORDS).collect()
+    assert (row._id, row._edits, row._row) == (5, "e", "r")
+    assert row.tokens_after == len(ids_of("zero two"))
+
+
 def best_path(text, vocabulary):
     """Whole-text Viterbi; of equal scores the longer last piece."""
     score, back = [0.0], [0]
