@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom import constants as C
-from logloom.functions.running import BLOCK_IDS, numbered
+from logloom.functions.running import block_width, numbered
 
 
 def max_retry_failures(evaluations: DataFrame, max_retries: int = C.MAX_RETRIES) -> DataFrame:
@@ -23,9 +23,12 @@ def failure_count(failures: DataFrame) -> DataFrame:
 
 
 def failure_digest(failures: DataFrame, last_n: int | None = None,
-                   width: int = BLOCK_IDS) -> DataFrame:
+                   width: int | None = None) -> DataFrame:
     """One text block per failure, numbered from 1 in id order.
 
+    The blocks of ids that the numbering goes by are as wide as the ids are sparse
+    (``block_width``), unless ``width`` says otherwise.
+
     Blocks stay rows, because the whole digest has no size bound;
     ``orderBy("failure_no")`` lists them. ``last_n`` keeps the latest failures.
     """
@@ -50,5 +53,6 @@ def failure_digest(failures: DataFrame, last_n: int | None = None,
                     F.concat(F.lit("User question: "), F.col("user_message"))),
             F.transform("rejections", rejection_lines)),
         "\n")
+    width = width or block_width(failures)
     return numbered(failures, [], ["id"], "failure_no", width).select(
         "id", "failure_no", block.alias("block"))

@@ -13,8 +13,8 @@ must follow that order is cut down first:
    independent of each other.
 3. Of the messages of one instant only the first ``limit`` can get in; the rest
    are dropped before the shuffle, as rejected.
-4. What is left is gathered and sorted in slices of a cell, even in time. The ordered pass
-   gets the bare offsets in the cell, four bytes per message for windows up to
+4. What is left is gathered and sorted in slices of a cell: even in time, and cut again by
+   rows where a burst falls into one. The ordered pass gets the bare offsets in the cell, four bytes per message for windows up to
    half an hour: the slices of a run stream through one carry of ``limit``
    times, which jumps from one accepted message to the next.
 
@@ -35,7 +35,8 @@ from logloom.functions.sliding import admit
 
 MICROS = 1_000_000
 SLICE_ROWS = 2_000
-SLICE = ["session_id", "_run", "_cell", "_slice"]
+TIME_SLICE = ["session_id", "_run", "_cell", "_slice"]
+SLICE = [*TIME_SLICE, "_sub"]
 PASS = ["session_id", "_run", "_cell", "_offsets"]
 
 
@@ -76,29 +77,36 @@ def _ordered_pass(limit: int, window: int):
     return over_slices
 
 
-def _accepted(rows: DataFrame, limit: int, window: int) -> DataFrame:
-    """Per busy cell, the ids that get in."""
+def sliced(rows: DataFrame, limit: int, window: int) -> DataFrame:
+    """The messages of busy cells by slices of at most ``SLICE_ROWS``: SLICE, _rows."""
     in_cell = F.col("_at") - F.col("_cell") * window
     parts = whole_part(F.col("_n"), SLICE_ROWS) + 1
     instant = W.partitionBy("session_id", "_at").orderBy("id")
-    slices = (
+    in_slice = F.row_number().over(W.partitionBy(*TIME_SLICE).orderBy("_at", "id"))
+    return (
         rows.select("session_id", "_cell", "_at", "id")
         .join(busy_cells(rows, limit), ["session_id", "_cell"])
         .withColumn("_slice", whole_part(in_cell * parts, window))
         .withColumn("_nth", F.row_number().over(instant))
         .where(F.col("_nth") <= limit)
+        .withColumn("_sub", whole_part(in_slice.cast("bigint") - 1, SLICE_ROWS))
         # both uses of the slices read this one shuffle
         .repartition(*SLICE)
         .groupBy(*SLICE)
         .agg(F.sort_array(F.collect_list(F.struct("_at", "id"))).alias("_rows"))
     )
+
+
+def _accepted(rows: DataFrame, limit: int, window: int) -> DataFrame:
+    """Per busy cell, the ids that get in."""
+    slices = sliced(rows, limit, window)
     width = "int" if window < 1 << 31 else "bigint"
     offsets = F.transform("_rows", lambda r: (r["_at"] - F.col("_cell") * window).cast(width))
     taken = (
         slices.select(*SLICE, offsets.alias("_offsets"))
         .repartition("session_id", "_run").sortWithinPartitions(*SLICE)
         .mapInPandas(_ordered_pass(limit, window),
-                     "session_id string, _run bigint, _cell bigint, _slice bigint, "
+                     "session_id string, _run bigint, _cell bigint, _slice bigint, _sub bigint, "
                      "_taken array<int>")
     )
     ids = F.transform("_taken", lambda i: F.col("_rows.id")[i])

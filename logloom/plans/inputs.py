@@ -159,3 +159,37 @@ def completions(events: DataFrame) -> DataFrame:
              || if(event_id % 11 = 0, '"date":5', '"date":"2024-02-01"') || ',"time":"10:00"'
              || if(event_id % 9 = 0, ',"extra":1', '') || '}}', '"', chr(92) || '"')
         || '"}}}}]}}' AS completion""")
+
+
+#: A tool whose arguments nest, for ``schemas.schema_violations``.
+PLAN_MEETING = {
+    "type": "object", "required": ["guest", "slots"], "additionalProperties": False,
+    "properties": {
+        "guest": {"type": "object", "required": ["email"], "additionalProperties": False,
+                  "properties": {"email": {"type": "string", "pattern": "@"},
+                                 "age": {"type": "integer", "minimum": 18, "maximum": 120}}},
+        "slots": {"type": "array", "minItems": 1, "maxItems": 3,
+                  "items": {"type": "object", "required": ["day"], "properties": {
+                      "day": {"type": "string", "minLength": 10, "maxLength": 10},
+                      "mode": {"enum": ["call", "visit", None]}}}},
+        "note": {"type": ["string", "null"]}}}
+
+
+def nested_calls(events: DataFrame) -> DataFrame:
+    """A call of ``plan_meeting`` per event, some of them faulty at some depth."""
+    guest = """CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 7 = 0 THEN '"guest":"x",'
+      ELSE '"guest":{"email":' || CASE WHEN event_id % 5 = 0 THEN '5'
+          WHEN event_id % 13 = 0 THEN '"nobody"' ELSE '"a@x"' END
+        || ',"age":' || CASE WHEN event_id % 6 = 0 THEN '17' WHEN event_id % 10 = 1 THEN '121.5'
+          ELSE '30' END || if(event_id % 17 = 0, ',"vip":true', '') || '},' END"""
+    slot = """'{' || CASE (event_id + k) % 14 WHEN 0 THEN '' WHEN 12 THEN '"day":"soon",'
+        ELSE '"day":"2024-02-01",' END || '"mode":' || CASE (event_id + k) % 4
+        WHEN 0 THEN '"call"' WHEN 1 THEN '"visit"' WHEN 2 THEN 'null' ELSE '"mail"' END || '}'"""
+    count = """CASE WHEN event_id % 9 = 0 THEN 0 WHEN event_id % 8 = 0 THEN 4
+      ELSE CAST(event_id % 3 AS INT) + 1 END"""
+    return events.selectExpr(
+        "event_id AS id", "0 AS pos", "'plan_meeting' AS name",
+        f"""try_parse_json('{{' || {guest} || '"slots":[' || array_join(transform(
+            slice(sequence(0, 3), 1, {count}), k -> {slot}), ',') || '],"note":'
+            || if(event_id % 15 = 0, '7', 'null') || if(event_id % 19 = 0, ',"x":1', '')
+            || '}}') AS args""")

@@ -604,3 +604,49 @@ ORACLE |= {"stream_daily_activity": ORACLE["daily_activity"],
            "stream_outbox": ORACLE["outbox"],
            "stream_guard_decisions": ORACLE["guard_decisions"],
            "stream_block_log": ORACLE["guard_block_log"]}
+ORACLE |= {
+    "distinct_sessions": _with(LOG) + """
+SELECT substr(timestamp, 1, 10) AS day, count(DISTINCT session_id) AS sessions
+FROM log WHERE role = 'user' GROUP BY 1""",
+    "stream_distinct_sessions": ORACLE["sessions_per_day"],
+    "stream_late_verdicts": ORACLE["guard_decisions"],
+    # ids follow the batch, the time, the session and the place in the turn
+    "appended_log": f"""
+SELECT row_number() OVER (ORDER BY (id // 4) % 2, timestamp, session_id, id // 4 || '"', id % 4)
+         AS id, session_id, timestamp, role, content
+FROM ({ORACLE["turns_to_log"]}) AS r""",
+    "delivered_notices": f"""
+SELECT id, pos, kind, CAST(least(3, id % 4 + 1) AS INTEGER) AS attempts,
+       CASE WHEN id % 4 = 3 THEN 'given_up' ELSE 'answered' END AS state
+FROM ({ORACLE["outbox"]}) AS o WHERE NOT starts_with(kind, 'blocked_')""",
+    # the faults follow from the number of the event and of the slot
+    "nested_arg_violations": """
+WITH e AS (SELECT event_id AS id, event_id % 11 <> 0 AND event_id % 7 <> 0 AS guest,
+    CASE WHEN event_id % 9 = 0 THEN 0 WHEN event_id % 8 = 0 THEN 4 ELSE event_id % 3 + 1 END AS n
+  FROM events),
+s AS (SELECT id, k, (id + k) % 14 AS day, (id + k) % 4 AS mode,
+    '$.slots[' || k || ']' AS path FROM e, range(0, 4) AS r(k) WHERE k < n),
+v AS (
+  SELECT id, '$.guest' AS path, 'required' AS violation FROM e WHERE id % 11 = 0
+  UNION ALL SELECT id, '$.guest', 'type' FROM e WHERE id % 11 <> 0 AND id % 7 = 0
+  UNION ALL SELECT id, '$.guest.email', 'type' FROM e WHERE guest AND id % 5 = 0
+  UNION ALL SELECT id, '$.guest.email', 'pattern' FROM e
+    WHERE guest AND id % 5 <> 0 AND id % 13 = 0
+  UNION ALL SELECT id, '$.guest.age', 'minimum' FROM e WHERE guest AND id % 6 = 0
+  UNION ALL SELECT id, '$.guest.age', unnest(['type', 'maximum']) FROM e
+    WHERE guest AND id % 6 <> 0 AND id % 10 = 1
+  UNION ALL SELECT id, '$.guest.vip', 'additionalProperties' FROM e WHERE guest AND id % 17 = 0
+  UNION ALL SELECT id, '$.slots', 'minItems' FROM e WHERE n = 0
+  UNION ALL SELECT id, '$.slots', 'maxItems' FROM e WHERE n = 4
+  UNION ALL SELECT id, path || '.day', 'required' FROM s WHERE day = 0
+  UNION ALL SELECT id, path || '.day', 'minLength' FROM s WHERE day = 12
+  UNION ALL SELECT id, path || '.mode', 'enum' FROM s WHERE mode = 3
+  UNION ALL SELECT id, '$.note', 'type' FROM e WHERE id % 15 = 0
+  UNION ALL SELECT id, '$.x', 'additionalProperties' FROM e WHERE id % 19 = 0)
+SELECT id, CAST(0 AS INTEGER) AS pos, 'plan_meeting' AS name, path, violation FROM v""",
+    "answered_requests": f"""
+SELECT id, session_id, CASE length(prompt) % 5 WHEN 0 THEN 2 ELSE 1 END AS attempts,
+       CASE length(prompt) % 5 WHEN 0 THEN 'given_up' ELSE 'answered' END AS state,
+       length(prompt) % 5 > 1 AS safe
+FROM ({ORACLE["guard_requests"]}) AS r""",
+}

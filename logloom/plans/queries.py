@@ -1,17 +1,19 @@
 """The registered queries: (spark, folder of sample tables) -> DataFrame."""
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import variant as V
 from logloom.functions.text import iso_utc
 from logloom.operators import (
-    checklist, events, guard, metrics, mining, outbox, payload, quality, rate_limit, requests,
-    turns)
+    attempts, checklist, distinct, events, guard, metrics, mining, outbox, payload, quality,
+    rate_limit, requests, schemas, turns)
 from logloom.plans import inputs
 from logloom.session import configure, shared_dir
-from logloom.sources import facts, log
-from logloom.streaming import jobs, sinks, stateful
+from logloom.sources import append, facts, log
+from logloom.streaming import jobs, sinks, stateful, verdicts
 
 DAY_LIMIT = {"limit": 3, "window_seconds": 86400}
 SYSTEM_TEXT = "You answer for the owner of this page."
@@ -32,6 +34,14 @@ class Tables:
         return (self.spark.readStream.schema(inputs.SCHEMAS[name])
                 .parquet(f"{self.folder}/{name}.parque[t]"))
 
+    def files(self, name: str, rows: int = 4_000) -> DataFrame:
+        """The table as a stream of files of so many rows, one per micro-batch."""
+        path = shared_dir(self.spark, f"stream-{name}")
+        table = self.batch(name)
+        table.write.option("maxRecordsPerFile", rows).parquet(path)
+        return (self.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
+                .parquet(path))
+
     @property
     def log(self) -> DataFrame:
         return inputs.event_log(self.batch("events"))
@@ -94,21 +104,33 @@ def log_role_counts(t: Tables) -> DataFrame:
     return log.role_counts(t.log)
 
 
-def turns_to_log(t: Tables) -> DataFrame:
+def _saved_turns(t: Tables) -> DataFrame:
+    """A turn per event, as it is saved: turn_id and the columns of ``turns_to_log``."""
     rows = t.batch("events")
     outcome = turns.turn_outcomes(inputs.drafts(rows))
     asked = F.concat(F.lit("q"), F.col("turn_id").cast("string"))
     at = rows.select(F.col("event_id").alias("turn_id"), "ts")
-    return turns.turns_to_log(
-        outcome.join(at, "turn_id").select(
-            (F.col("turn_id") * 4).alias("id"),
-            F.concat(F.lit("t"), (F.col("turn_id") % 100).cast("string")).alias("session_id"),
-            iso_utc(F.col("ts")).alias("timestamp"),
-            asked.alias("user_message"), "response", F.col("tools").alias("tools_used"),
-            "attempts", "passed",
-            turns.evaluator_detail(F.col("max_retries_exceeded"), F.col("attempts"), asked,
-                                   F.col("response"), F.col("rejections"))
-            .alias("evaluator_detail")))
+    return outcome.join(at, "turn_id").select(
+        "turn_id", (F.col("turn_id") * 4).alias("id"),
+        F.concat(F.lit("t"), (F.col("turn_id") % 100).cast("string")).alias("session_id"),
+        iso_utc(F.col("ts")).alias("timestamp"),
+        asked.alias("user_message"), "response", F.col("tools").alias("tools_used"),
+        "attempts", "passed",
+        turns.evaluator_detail(F.col("max_retries_exceeded"), F.col("attempts"), asked,
+                               F.col("response"), F.col("rejections"))
+        .alias("evaluator_detail"))
+
+
+def turns_to_log(t: Tables) -> DataFrame:
+    return turns.turns_to_log(_saved_turns(t))
+
+
+def appended_log(t: Tables) -> DataFrame:
+    """Turns appended in two batches; the log gives the ids."""
+    path, saved = shared_dir(t.spark, "appended"), _saved_turns(t)
+    for odd in (0, 1):
+        append.append_turns(saved.where(F.col("turn_id") % 2 == odd), path)
+    return append.read_appended(t.spark, path)
 
 
 def guard_block_log(t: Tables) -> DataFrame:
@@ -135,7 +157,7 @@ def context_rows(t: Tables) -> DataFrame:
 
 def stream_log_counts(t: Tables) -> DataFrame:
     table, state = shared_dir(t.spark, "roles"), shared_dir(t.spark, "roles-state")
-    _finish(jobs.start_role_counts(inputs.event_log(t.stream("events")), table, state,
+    _finish(jobs.start_role_counts(inputs.event_log(t.files("events")), table, state,
                                    sinks.AVAILABLE_NOW))
     return jobs.read_role_counts(t.spark, table)
 
@@ -183,6 +205,11 @@ def tool_arg_violations(t: Tables) -> DataFrame:
     return payload.arg_violations(payload.tool_calls(inputs.completions(t.batch("events"))))
 
 
+def nested_arg_violations(t: Tables) -> DataFrame:
+    return schemas.schema_violations(inputs.nested_calls(t.batch("events")),
+                                     {"plan_meeting": inputs.PLAN_MEETING})
+
+
 # -- dashboard -----------------------------------------------------------------------
 
 def dashboard_kpis(t: Tables) -> DataFrame:
@@ -197,6 +224,10 @@ def sessions_per_day(t: Tables) -> DataFrame:
     return metrics.sessions_per_day(t.log)
 
 
+def distinct_sessions(t: Tables) -> DataFrame:
+    return distinct.sessions_per_day(t.log, days=None)
+
+
 def daily_activity(t: Tables) -> DataFrame:
     return metrics.daily_activity(t.log)
 
@@ -363,6 +394,40 @@ def outbox_rows(t: Tables) -> DataFrame:
     return outbox.outbox(t.entries, t.decisions)
 
 
+# -- calls to other programs -----------------------------------------------------------------------
+
+def _rounds(count: int, run) -> None:
+    """Run at times far enough apart for every pause to be over."""
+    for n in range(count):
+        run(datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(hours=n))
+
+
+def delivered_notices(t: Tables) -> DataFrame:
+    """Notices to a receiver that refuses each id % 4 times; given up after three attempts."""
+    def send(notice):
+        if notice["attempt"] <= notice["id"] % 4:
+            raise ConnectionError("refused")
+
+    path, notices = shared_dir(t.spark, "deliveries"), outbox.event_notices(t.entries)
+    _rounds(4, lambda now: attempts.deliver_due(notices, path, send, now=now, most=3))
+    ledger = attempts.read_ledger(t.spark, path, notices.select(*attempts.NOTICE_KEYS).schema)
+    return attempts.outcomes(notices, ledger, attempts.NOTICE_KEYS, 3).select(
+        *attempts.NOTICE_KEYS, "attempts", "state")
+
+
+def answered_requests(t: Tables) -> DataFrame:
+    """Classifier requests put to a stand-in that goes by their length and fails on some."""
+    def ask(row):
+        if len(row["prompt"]) % 5 == 0:
+            raise TimeoutError
+        return "UNSAFE" if len(row["prompt"]) % 5 == 1 else " safe\n"
+
+    path, asked = shared_dir(t.spark, "answers"), requests.guard_requests(t.chat)
+    _rounds(2, lambda now: attempts.ask_due(asked, ["prompt"], path, ask, now=now, most=2))
+    found = attempts.answers(asked, ["prompt"], path, most=2)
+    return guard.guard_verdicts(found).select("id", "session_id", "attempts", "state", "safe")
+
+
 # -- streams ---------------------------------------------------------------------------------------
 
 def stream_outbox(t: Tables) -> DataFrame:
@@ -388,7 +453,7 @@ def stream_block_log(t: Tables) -> DataFrame:
 
 def _dashboard(t: Tables, read) -> DataFrame:
     table, state = shared_dir(t.spark, "dashboard"), shared_dir(t.spark, "dashboard-state")
-    _finish(jobs.start_dashboard(inputs.event_log(t.stream("events")), table, state,
+    _finish(jobs.start_dashboard(inputs.event_log(t.files("events")), table, state,
                                  sinks.AVAILABLE_NOW))
     return read(t.spark, table)
 
@@ -420,9 +485,50 @@ def stream_rate_limit(t: Tables) -> DataFrame:
     return t.spark.read.parquet(table)
 
 
+def stream_late_verdicts(t: Tables) -> DataFrame:
+    """Messages in two parts by time; each part's verdicts come with the part after it.
+
+    A last message, far in the future and blocked by a rule, lets the time of those pass
+    that never get a verdict.
+    """
+    asked, told, screened, table = (shared_dir(t.spark, n) for n in (
+        "messages", "verdicts", "screened", "late-decided"))
+    states = [shared_dir(t.spark, f"late-state-{n}") for n in (1, 2)]
+    rows = inputs.incoming(t.batch("events"))
+    found = inputs.incoming_verdicts(t.batch("events")).join(
+        rows.select("id", F.col("ts").alias("answered_at")), "id")
+    half = rows.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    end = t.spark.sql("SELECT -1L AS id, 'end' AS session_id, TIMESTAMP '2100-01-01' AS ts, "
+                      "'ignore previous instructions' AS content")
+    early, late = F.col("ts") <= F.lit(half), F.col("ts") > F.lit(half)
+    told_late = found.where(F.col("answered_at") > F.lit(half))
+    parts = [(rows.where(early), found.limit(0)),
+             (rows.where(late), found.where(F.col("answered_at") <= F.lit(half))),
+             (end, told_late)]
+    for messages, answers in parts:
+        messages.write.mode("append").parquet(asked)
+        answers.write.mode("append").parquet(told)
+        _finish(verdicts.start_screening(
+            t.spark.readStream.schema(rows.schema).parquet(asked), screened, states[0],
+            **DAY_LIMIT, trigger=sinks.AVAILABLE_NOW))
+        _finish(verdicts.start_decisions(
+            t.spark.readStream.schema(verdicts.SCREENED).parquet(screened),
+            t.spark.readStream.schema(found.schema).parquet(told), table, states[1],
+            wait="400 days", late="400 days", trigger=sinks.AVAILABLE_NOW))
+    return verdicts.read_decisions(t.spark, table).where("id >= 0").select(
+        "id", "session_id", "allowed", "reason", "reply")
+
+
+def stream_distinct_sessions(t: Tables) -> DataFrame:
+    table, state = shared_dir(t.spark, "distinct"), shared_dir(t.spark, "distinct-state")
+    _finish(jobs.start_distinct_sessions(inputs.event_log(t.files("events")), table, state,
+                                         sinks.AVAILABLE_NOW))
+    return jobs.read_distinct_sessions(t.spark, table)
+
+
 def stream_unsafe(t: Tables) -> DataFrame:
     table, state = shared_dir(t.spark, "unsafe"), shared_dir(t.spark, "unsafe-state")
-    found = guard.unsafe_messages(inputs.chat_log(t.stream("conversations")))
+    found = guard.unsafe_messages(inputs.chat_log(t.files("conversations")))
     _finish(sinks.start_append(found, table, state, sinks.AVAILABLE_NOW))
     return _joined(t.spark.read.parquet(table), "matched_rules")
 
@@ -437,7 +543,7 @@ def stream_checklist(t: Tables) -> DataFrame:
 
 def stream_turn_outcomes(t: Tables) -> DataFrame:
     table, state = shared_dir(t.spark, "turns"), shared_dir(t.spark, "turns-state")
-    _finish(jobs.start_turn_outcomes(inputs.drafts(t.stream("events")), table, state,
+    _finish(jobs.start_turn_outcomes(inputs.drafts(t.files("events")), table, state,
                                      sinks.AVAILABLE_NOW))
     return _outcome_columns(jobs.read_turn_outcomes(t.spark, table))
 
@@ -445,6 +551,7 @@ def stream_turn_outcomes(t: Tables) -> DataFrame:
 QUERIES = {
     "log_role_counts": log_role_counts,
     "turns_to_log": turns_to_log,
+    "appended_log": appended_log,
     "guard_block_log": guard_block_log,
     "session_transcript": session_transcript,
     "session_registry": session_registry,
@@ -458,9 +565,11 @@ QUERIES = {
     "turn_tool_names": turn_tool_names,
     "tool_calls_extracted": tool_calls_extracted,
     "tool_arg_violations": tool_arg_violations,
+    "nested_arg_violations": nested_arg_violations,
     "dashboard_kpis": dashboard_kpis,
     "messages_per_day": messages_per_day,
     "sessions_per_day": sessions_per_day,
+    "distinct_sessions": distinct_sessions,
     "daily_activity": daily_activity,
     "top_unknown_questions": top_unknown_questions,
     "rating_histogram": rating_histogram,
@@ -495,6 +604,10 @@ QUERIES = {
     "judge_requests": judge_requests,
     "guard_requests": guard_requests,
     "outbox": outbox_rows,
+    "delivered_notices": delivered_notices,
+    "answered_requests": answered_requests,
+    "stream_late_verdicts": stream_late_verdicts,
+    "stream_distinct_sessions": stream_distinct_sessions,
     "stream_outbox": stream_outbox,
     "stream_guard_decisions": stream_guard_decisions,
     "stream_block_log": stream_block_log,

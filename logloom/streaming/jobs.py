@@ -14,9 +14,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logloom import constants as C
 from logloom.functions.text import preview
-from logloom.operators import metrics, turns
+from logloom.operators import distinct, metrics, turns
 from logloom.operators.guard import decided, is_unsafe, ruled
 from logloom.operators.payload import tool_entries
+from logloom.session import stored
 from logloom.sources.log import LOG_SCHEMA, role_counts, with_day
 from logloom.streaming.sinks import (
     OPEN, Version, batch_folder, compact, pinned, publish, read_batches, read_version,
@@ -173,6 +174,55 @@ def read_ratings(spark: SparkSession, table: str, version: Version | None = None
     return metrics.zero_filled_ratings(_dashboard_table(spark, table, "ratings", version))
 
 
+# -- distinct sessions per day ----------------------------------------------------------------
+
+SESSIONS, BITMAPS = "session_id string, number bigint", "day string, bucket bigint, bits binary"
+
+
+def start_distinct_sessions(messages: DataFrame, table: str, checkpoint: str,
+                            trigger=None) -> StreamingQuery:
+    """Keep each session's number, and per day and batch the bitmaps of its sessions.
+
+    New sessions get the numbers after those of the last complete batch, so a batch that
+    is written again gives the same ones. Late rows count.
+    """
+    spark = messages.sparkSession
+    if pinned(spark, table) is None:
+        publish(spark, table, "batch", OPEN)
+
+    def write(rows, batch_id):
+        session = rows.sparkSession
+        version = pinned(session, table)
+        if version.batch >= batch_id:
+            return
+        known = read_version(session, f"{table}/sessions", SESSIONS, version)
+        said = stored(distinct.said(rows).distinct(), "said")
+        new = said.join(known, "session_id", "left_anti")
+        write_batch(distinct.numbered_sessions(new, known.count() + 1), f"{table}/sessions",
+                    batch_id)
+        numbers = known.unionByName(
+            session.read.schema(SESSIONS).parquet(batch_folder(f"{table}/sessions", batch_id)))
+        write_batch(distinct.day_bitmaps(said, numbers), f"{table}/bitmaps", batch_id)
+        publish(session, table, "batch", batch_id)
+
+    return start_batches(messages, checkpoint, write, trigger)
+
+
+def compact_distinct_sessions(spark: SparkSession, table: str, upto: int) -> None:
+    if pinned(spark, table).batch < upto:
+        raise ValueError(f"batch {upto} of {table} is not complete")
+    compact(spark, f"{table}/sessions", lambda rows: rows, upto)
+    compact(spark, f"{table}/bitmaps", distinct.merged_bitmaps, upto)
+    publish(spark, table, "snapshot", upto)
+
+
+def read_distinct_sessions(spark: SparkSession, table: str,
+                           days: int | None = C.ACTIVE_DAYS) -> DataFrame:
+    """day, sessions as of the last complete batch."""
+    version = pinned(spark, table) or Version(OPEN)
+    return distinct.counted(read_version(spark, f"{table}/bitmaps", BITMAPS, version), days)
+
+
 # -- turn outcomes ---------------------------------------------------------------------------
 
 def start_turn_outcomes(drafts: DataFrame, table: str, checkpoint: str,

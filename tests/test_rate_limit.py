@@ -97,6 +97,18 @@ def test_cells_cut_into_slices(spark, monkeypatch):
     assert decide(spark, rows, 20, 300) == looped(rows, 20, 300)
 
 
+def test_a_burst_is_cut_by_rows(spark):
+    """20,000 messages within a second, then a pause, twice: no slice holds more than its rows."""
+    rnd = random.Random(9)
+    rows = [(i, "hot", at(400 * (i % 2)) + rnd.randrange(1_000_000)) for i in range(20_000)]
+    cells = table(spark, rows).withColumn("_at", F.unix_micros("ts")).withColumn(
+        "_cell", whole_part(F.col("_at"), 300_000_000))
+    sizes = [r.n for r in rate_limit.sliced(cells, 20, 300_000_000)
+             .select(F.size("_rows").alias("n")).collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= rate_limit.SLICE_ROWS
+    assert decide(spark, rows, 20, 300) == looped(rows, 20, 300)
+
+
 def test_times_before_1970(spark):
     rows = [(i, "a", (i - 100) * 20_000_000) for i in range(200)]
     assert decide(spark, rows, 5, 300) == looped(rows, 5, 300)
