@@ -16,6 +16,8 @@ from logloom.sources import append, facts, log
 from logloom.streaming import jobs, sinks, stateful, verdicts
 
 DAY_LIMIT = {"limit": 3, "window_seconds": 86400}
+#: A stored table comes as a stream in so many micro-batches of so many files, or fewer.
+MICRO_BATCHES, BATCH_FILES = 6, 16
 SYSTEM_TEXT = "You answer for the owner of this page."
 
 
@@ -35,12 +37,18 @@ class Tables:
                 .parquet(f"{self.folder}/{name}.parque[t]"))
 
     def files(self, name: str, rows: int = 4_000) -> DataFrame:
-        """The table as a stream of files of so many rows, one per micro-batch."""
+        """The whole table as a stream of files, in at most MICRO_BATCHES micro-batches.
+
+        A micro-batch costs its jobs however few rows it has, so its size follows the
+        table's. ``rows`` is the least size of a full file.
+        """
         path = shared_dir(self.spark, f"stream-{name}")
         table = self.batch(name)
+        rows = max(rows, -(-table.count() // (MICRO_BATCHES * BATCH_FILES)))
         table.write.option("maxRecordsPerFile", rows).parquet(path)
-        return (self.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
-                .parquet(path))
+        files = len(self.spark.read.schema(table.schema).parquet(path).inputFiles())
+        return (self.spark.readStream.schema(table.schema)
+                .option("maxFilesPerTrigger", max(1, -(-files // MICRO_BATCHES))).parquet(path))
 
     @property
     def log(self) -> DataFrame:
