@@ -551,8 +551,8 @@ def stream_checklist(t: Tables) -> DataFrame:
 
 def stream_turn_outcomes(t: Tables) -> DataFrame:
     table, state = shared_dir(t.spark, "turns"), shared_dir(t.spark, "turns-state")
-    _finish(jobs.start_turn_outcomes(inputs.drafts(t.files("events")), table, state,
-                                     sinks.AVAILABLE_NOW))
+    _finish(jobs.start_turn_backlog(inputs.drafts(t.files("events")), table, state,
+                                    sinks.AVAILABLE_NOW))
     return _outcome_columns(jobs.read_turn_outcomes(t.spark, table))
 
 

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from logloom.operators import turns
 from logloom.plans import queries
 from logloom.plans.inputs import SCHEMAS
 from logloom.session import shared_dir
-from logloom.streaming import sinks
+from logloom.streaming import jobs, sinks
 
 
 def test_micro_batches_do_not_grow_with_the_table(spark):
@@ -24,3 +25,26 @@ def test_micro_batches_do_not_grow_with_the_table(spark):
         sinks.AVAILABLE_NOW).awaitTermination()
     assert 1 < len(batches) <= queries.MICRO_BATCHES
     assert sorted(sum(batches, [])) == list(range(1200))
+
+
+def test_turn_backlog_across_batches_and_restarts(spark, tmp_path):
+    """Drafts that come late, again, after the end, without a turn; open turns stay open."""
+    schema = ("turn_id bigint, draft_no int, response string, tools array<string>, pass boolean, "
+              "feedback string")
+
+    def draft(turn, n, ok):
+        return (turn, n, f"r{n}", [], ok, "f")
+
+    parts = [[draft(1, 0, False), draft(2, 1, True), draft(None, 0, False), draft(4, 0, False)],
+             [draft(1, 1, True), draft(1, 1, True), draft(None, 1, True), draft(4, 0, False)],
+             [draft(2, 0, False), draft(1, 0, False), draft(1, 2, True), draft(5, 0, True)]]
+    path, table, state = str(tmp_path / "d"), shared_dir(spark, "t"), shared_dir(spark, "s")
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        jobs.start_turn_backlog(stream, table, state, sinks.AVAILABLE_NOW).awaitTermination()
+    got = jobs.read_turn_outcomes(spark, table)
+    whole = spark.createDataFrame(sum(parts, []), schema)
+    want = turns.fold_drafts(whole).where("ended").drop("ended")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    assert sorted(str(r.turn_id) for r in got.collect()) == ["1", "2", "5", "None"]
