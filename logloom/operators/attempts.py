@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from logloom.session import stored
+from logloom.session import shared_dir, stored
 
 ATTEMPT = "attempt int, at timestamp, answer string, error string"
 MOST, PAUSE_SECONDS, SLICE_ROWS = 5, 30, 100_000
+SLICE_FILES = 8
 MOST_DOUBLINGS = 30
 
 
@@ -88,6 +89,17 @@ def _tried(call, keys):
     return run
 
 
+def sliced(todo: DataFrame, keys: list[str], slices: int) -> list[DataFrame]:
+    """``todo`` in slices by key, each in a folder of its own, so that none reads the others."""
+    path, drawn = shared_dir(todo.sparkSession, "due-slices"), F.xxhash64(*keys)
+    place = F.pmod(F.floor(drawn / slices), F.lit(SLICE_FILES))
+    (todo.withColumn("_slice", F.pmod(drawn, F.lit(slices)).cast("int"))
+     .repartition("_slice", place).write.partitionBy("_slice").parquet(path))
+    schema = StructType([*todo.schema, StructField("_slice", IntegerType())])
+    rows = todo.sparkSession.read.schema(schema).parquet(path)
+    return [rows.where(F.col("_slice") == n).drop("_slice") for n in range(slices)]
+
+
 def run_due(work: DataFrame, path: str, keys: list[str], call: Callable[[dict], str | None],
             now=None, most: int = MOST, pause_seconds: float = PAUSE_SECONDS,
             slice_rows: int = SLICE_ROWS) -> int:
@@ -104,8 +116,8 @@ def run_due(work: DataFrame, path: str, keys: list[str], call: Callable[[dict],
     todo = stored(due(work, ledger, keys, now, most, pause_seconds), "due")
     slices = -(-todo.count() // slice_rows)
     tried = StructType([*schema, *StructType.fromDDL("attempt int, answer string, error string")])
-    for n in range(slices):
-        rows = todo.where(F.pmod(F.xxhash64(*keys), F.lit(slices)) == n)
+    parts = sliced(todo, keys, slices) if slices > 1 else [todo] * slices
+    for rows in parts:
         (rows.mapInArrow(_tried(call, keys), tried).withColumn("at", now)
          .select(*keys, "attempt", "at", "answer", "error").write.mode("append").parquet(path))
     return slices

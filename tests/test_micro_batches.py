@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from logloom.operators import turns
+from logloom.operators import attempts, turns
 from logloom.plans import queries
 from logloom.plans.inputs import SCHEMAS
 from logloom.session import shared_dir
@@ -48,3 +48,13 @@ def test_turn_backlog_across_batches_and_restarts(spark, tmp_path):
     want = turns.fold_drafts(whole).where("ended").drop("ended")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
     assert sorted(str(r.turn_id) for r in got.collect()) == ["1", "2", "5", "None"]
+
+
+def test_slices_of_due_work_do_not_read_each_other(spark):
+    todo = spark.range(5000).selectExpr("id", "if(id % 3 = 0, NULL, 'k' || id) AS kind")
+    parts = attempts.sliced(todo, ["id", "kind"], 5)
+    assert all(p.columns == todo.columns for p in parts)
+    assert sorted(r.id for p in parts for r in p.collect()) == list(range(5000))
+    for part in parts:
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(_slice" in plan
