@@ -20,7 +20,7 @@ FOLDER = f"{DATA}/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for table in ["documents", "labels", "embeddings", "conversations"]:
+    for table in ["documents", "labels", "embeddings", "conversations", "benchmark"]:
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{FOLDER}/{table}.parquet')")
     got = QUERIES[name](spark, FOLDER)
     columns = sorted(got.columns)
