@@ -48,6 +48,33 @@ def session_flags(messages: DataFrame) -> DataFrame:
     return merge_flags(row_flags(messages))
 
 
+def counted_rows(messages: DataFrame) -> DataFrame:
+    """Each user row and tool call with all that the dashboard counts of it, parsed once.
+
+    The flags of ``row_flags``; ``day`` of a user row; ``question``, ``is_text`` and the
+    place ``at`` of an unanswered question; ``r``, a rating from 1 to 5.
+    """
+    no, name, args = F.lit(False), F.col("name"), F.col("args")
+    question = V.member(args, "question")
+    asked = F.coalesce((name == C.RECORD_UNKNOWN) & V.truthy(question), no)
+    rating = F.when(name == C.RECORD_FEEDBACK, V.integer(V.member(args, "rating")))
+    calls = tool_entries(messages).select(
+        "session_id", F.lit(None).cast("string").alias("day"), no.alias("has_user"),
+        counts_as_lead(name, args).alias("has_lead"),
+        (name == C.SCHEDULE_CALL).alias("has_call"),
+        (name == C.RECORD_UNKNOWN).alias("has_unknown"),
+        F.when(asked, V.text(args, "question")).alias("question"),
+        F.when(asked, V.json_type(question) == "STRING").alias("is_text"),
+        F.when(asked, place(F.col("id"), F.col("pos"))).alias("at"),
+        F.when(rating.between(1, 5), rating).alias("r"))
+    users = role_rows(with_day(messages), C.USER).select(
+        "session_id", "day", F.lit(True).alias("has_user"), no.alias("has_lead"),
+        no.alias("has_call"), no.alias("has_unknown"),
+        *[F.lit(None).cast(calls.schema[c].dataType).alias(c)
+          for c in ("question", "is_text", "at", "r")])
+    return users.unionByName(calls)
+
+
 def kpis(flags: DataFrame) -> DataFrame:
     """The one-row KPI bundle from session flags.
 

@@ -6,8 +6,10 @@ as a batch DataFrame. ``trigger`` is ``REFRESH`` (30 seconds) by default;
 ``AVAILABLE_NOW`` drains the source and stops.
 """
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,7 +18,6 @@ from logloom import constants as C
 from logloom.functions.text import preview
 from logloom.operators import distinct, metrics, turns
 from logloom.operators.guard import decided, is_unsafe, ruled
-from logloom.operators.payload import tool_entries
 from logloom.session import stored
 from logloom.sources.log import LOG_SCHEMA, role_counts, with_day
 from logloom.streaming.sinks import (
@@ -82,10 +83,18 @@ DASHBOARD_TABLES = {
 
 
 def _dashboard_parts(rows: DataFrame) -> dict[str, DataFrame]:
-    entries = tool_entries(rows)
-    return {"flags": metrics.session_flags(rows), "days": metrics.day_sessions(rows),
-            "questions": metrics.asked_questions(entries),
-            "ratings": metrics.rating_counts(entries)}
+    return _parts_of(metrics.counted_rows(rows))
+
+
+def _parts_of(counted: DataFrame) -> dict[str, DataFrame]:
+    """The four parts from ``metrics.counted_rows``."""
+    one = F.count(F.lit(1))
+    return {
+        "flags": metrics.merge_flags(counted),
+        "days": counted.where("has_user").groupBy("day", "session_id").agg(one.alias("n")),
+        "questions": counted.where("at IS NOT NULL").groupBy("question", "is_text").agg(
+            one.alias("times"), F.min("at").alias("first")),
+        "ratings": counted.where("r IS NOT NULL").groupBy("r").agg(one.alias("n"))}
 
 
 def _dashboard_table(spark: SparkSession, table: str, name: str,
@@ -115,13 +124,23 @@ def start_dashboard(messages: DataFrame, table: str, checkpoint: str,
             return
         rows = rows.persist()
         try:
-            for name, part in _dashboard_parts(rows).items():
-                write_batch(part, f"{table}/{name}", batch_id)
+            _at_once([(part, f"{table}/{name}", batch_id)
+                      for name, part in _parts_of(rows).items()])
         finally:
             rows.unpersist()
         publish(session, table, "batch", batch_id)
 
-    return start_batches(messages, checkpoint, write, trigger)
+    # payloads are parsed here, once for all parts
+    return start_batches(metrics.counted_rows(messages), checkpoint, write, trigger)
+
+
+def _at_once(writes: list[tuple[DataFrame, str, int]]) -> None:
+    """Write tables beside each other, so that small jobs do not wait in turn."""
+    session = writes[0][0].sparkSession
+    with ThreadPoolExecutor(len(writes)) as pool:
+        for done in [pool.submit(inheritable_thread_target(session)(write_batch), *w)
+                     for w in writes]:
+            done.result()
 
 
 def compact_dashboard(spark: SparkSession, table: str, upto: int) -> None:
