@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from logloom import constants as C
 from logloom.functions.running import placed_by_sums
+from logloom.session import stored
 from logloom.sources.log import role_rows, with_day
 
+#: ``monotonically_increasing_id`` holds the partition above so many bits.
+TURN_BITS = 33
+
 
 def said(messages: DataFrame) -> DataFrame:
     """session_id, day of the user messages; no session is the one named by the empty text."""
@@ -27,6 +31,27 @@ def numbered_sessions(sessions: DataFrame, first: int = 1) -> DataFrame:
         "session_id", (F.col("number") + first).alias("number"))
 
 
+def numbered_in_parts(sessions: DataFrame, first: int = 1) -> DataFrame:
+    """session_id, number: distinct sessions numbered from ``first``, one part after the other.
+
+    As ``numbered_sessions`` without its order: rows are stored where they lie and one
+    count per partition is fetched, so nothing is sorted or dealt again.
+    """
+    laid = stored(sessions.select("session_id").withColumn(
+        "_turn", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_turn", TURN_BITS)
+    offsets, at = [], first
+    for row in laid.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy(
+            "part").collect():
+        offsets += [F.lit(row.part), F.lit(at)]
+        at += row.n
+    if not offsets:
+        return laid.select("session_id", F.lit(first).cast("bigint").alias("number"))
+    start = F.try_element_at(F.create_map(*offsets), part)
+    turn = F.col("_turn").bitwiseAND(F.lit((1 << TURN_BITS) - 1))
+    return laid.select("session_id", (start + turn).cast("bigint").alias("number"))
+
+
 def day_bitmaps(rows: DataFrame, numbers: DataFrame) -> DataFrame:
     """day, bucket, bits for rows (session_id, day)."""
     # distinct first: on the map side that leaves a row per session and day of a task

@@ -202,8 +202,8 @@ def start_distinct_sessions(messages: DataFrame, table: str, checkpoint: str,
                             trigger=None) -> StreamingQuery:
     """Keep each session's number, and per day and batch the bitmaps of its sessions.
 
-    New sessions get the numbers after those of the last complete batch, so a batch that
-    is written again gives the same ones. Late rows count.
+    New sessions get the numbers after those of the last complete batch; a batch that is
+    written again numbers its sessions and makes its bitmaps anew. Late rows count.
     """
     spark = messages.sparkSession
     if pinned(spark, table) is None:
@@ -215,16 +215,16 @@ def start_distinct_sessions(messages: DataFrame, table: str, checkpoint: str,
         if version.batch >= batch_id:
             return
         known = read_version(session, f"{table}/sessions", SESSIONS, version)
-        said = stored(distinct.said(rows).distinct(), "said")
-        new = said.join(known, "session_id", "left_anti")
-        write_batch(distinct.numbered_sessions(new, known.count() + 1), f"{table}/sessions",
+        said = stored(rows.distinct(), "said")
+        new = said.join(known, "session_id", "left_anti").select("session_id").distinct()
+        write_batch(distinct.numbered_in_parts(new, known.count() + 1), f"{table}/sessions",
                     batch_id)
         numbers = known.unionByName(
             session.read.schema(SESSIONS).parquet(batch_folder(f"{table}/sessions", batch_id)))
         write_batch(distinct.day_bitmaps(said, numbers), f"{table}/bitmaps", batch_id)
         publish(session, table, "batch", batch_id)
 
-    return start_batches(messages, checkpoint, write, trigger)
+    return start_batches(distinct.said(messages), checkpoint, write, trigger)
 
 
 def compact_distinct_sessions(spark: SparkSession, table: str, upto: int) -> None:
