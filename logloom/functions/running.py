@@ -75,6 +75,28 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str,
     )
 
 
+def summed_before(rows: DataFrame, keys: list[str], order: list[str], size: str, name: str,
+                  width: int = BLOCK_IDS) -> DataFrame:
+    """Add the sum of ``size`` over the rows before each within ``keys``, which are not null.
+
+    ``order`` must begin with ``id``; rows without an id come last. As in ``numbered``, the
+    window over a whole key sees one row per block.
+    """
+    last = F.lit((1 << 63) - 1)
+    rows = rows.withColumn("_block", F.coalesce(_block(width), last))
+    blocks = (
+        rows.groupBy(*keys, "_block").agg(F.sum(size).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(_preceding(keys)), F.lit(0)))
+        .drop("_n"))
+    inside = W.partitionBy(*keys, "_block").orderBy(*[F.asc_nulls_last(c) for c in order]) \
+        .rowsBetween(W.unboundedPreceding, -1)
+    return (
+        rows.withColumn("_local", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+        .join(blocks, [*keys, "_block"])
+        .withColumn(name, (F.col("_before") + F.col("_local")).cast("bigint"))
+        .drop("_block", "_before", "_local"))
+
+
 def placed_by_sums(rows: DataFrame, order: list[Column | str], size: str, name: str) -> DataFrame:
     """Add the sum of ``size`` over all rows before each, in one order of the whole table.
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logloom import constants as C
 from logloom.functions import variant as V
-from logloom.functions.running import BLOCK_IDS, numbered, place
+from logloom.functions.running import BLOCK_IDS, numbered, place, summed_before
 
 
 def _descriptions():
@@ -88,3 +88,37 @@ def checklist_report(entries: DataFrame, sessions: DataFrame | None = None,
                 F.lit(C.NO_CHECKLIST).alias("line"))
     )
     return lines.unionByName(without_items)
+
+
+def calls(entries: DataFrame) -> DataFrame:
+    """session_id, id, pos, created, index: calls that create items or mark one complete."""
+    created = F.when(F.col("name") == C.CREATE_CHECKLIST, F.coalesce(
+        _descriptions(), F.array().cast("array<string>")))
+    index = F.when(F.col("name") == C.MARK_COMPLETE,
+                   V.integer(V.member(F.col("args"), "index")))
+    return (
+        entries.select("session_id", "id", "pos", created.alias("created"), index.alias("index"))
+        .where(F.col("created").isNotNull() | F.col("index").isNotNull()))
+
+
+def changes(called: DataFrame, before: DataFrame, width: int = BLOCK_IDS) -> DataFrame:
+    """Items as they get their number, and marks as they are accepted or not.
+
+    ``called`` holds rows of ``calls``, ``before`` (session_id, items) how many items
+    sessions had before. A session without a name is one of its own.
+    """
+    rows = called.withColumns({
+        "_key": F.struct(F.col("session_id").isNull(), F.coalesce("session_id", F.lit(""))),
+        "_size": F.coalesce(F.size("created"), F.lit(0)).cast("bigint")})
+    rows = summed_before(rows, ["_key"], ["id", "pos"], "_size", "_ahead", width)
+    had = before.select(F.col("session_id").alias("_had"), "items")
+    rows = rows.join(had, F.col("session_id").eqNullSafe(F.col("_had")), "left").withColumn(
+        "_count", F.col("_ahead") + F.coalesce("items", F.lit(0)))
+    items = rows.where("created IS NOT NULL").select(
+        "session_id", "_count", F.posexplode("created").alias("at", "item")).select(
+        "session_id", (F.col("_count") + F.col("at") + 1).alias("item_no"), "item",
+        F.lit(None).cast("boolean").alias("mark_ok"))
+    marked = rows.where("created IS NULL").select(
+        "session_id", F.col("index").alias("item_no"), F.lit(None).cast("string").alias("item"),
+        F.col("index").between(1, F.col("_count")).alias("mark_ok"))
+    return items.unionByName(marked)

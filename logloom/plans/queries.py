@@ -544,9 +544,8 @@ def stream_unsafe(t: Tables) -> DataFrame:
 def stream_checklist(t: Tables) -> DataFrame:
     table, state = shared_dir(t.spark, "checklist"), shared_dir(t.spark, "checklist-state")
     entries = payload.tool_entries(inputs.checklist_log(t.stream("events")))
-    _finish(sinks.start_append(stateful.checklist_changes(entries), table, state,
-                               sinks.AVAILABLE_NOW))
-    return stateful.checklist_from_changes(t.spark.read.parquet(table))
+    _finish(jobs.start_checklist_backlog(entries, table, state, sinks.AVAILABLE_NOW))
+    return stateful.checklist_from_changes(jobs.read_checklist_changes(t.spark, table))
 
 
 def stream_turn_outcomes(t: Tables) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logloom import constants as C
 from logloom.functions.text import preview
-from logloom.operators import distinct, metrics, turns
+from logloom.operators import checklist, distinct, metrics, turns
 from logloom.operators.guard import decided, is_unsafe, ruled
 from logloom.session import stored
 from logloom.sources.log import LOG_SCHEMA, role_counts, with_day
@@ -283,6 +283,30 @@ def read_turn_outcomes(spark: SparkSession, table: str) -> DataFrame:
     return read_batches(spark, table, OUTCOME)
 
 
+# -- checklists ------------------------------------------------------------------------------
+
+CHANGE = "session_id string, item_no bigint, item string, mark_ok boolean"
+
+
+def start_checklist_backlog(entries: DataFrame, table: str, checkpoint: str,
+                            trigger=None) -> StreamingQuery:
+    """As ``stateful.checklist_changes``, for few large micro-batches: joins instead of state.
+
+    Per micro-batch the items that sessions had before are counted from ``table``, so a
+    batch costs what it and the items hold, and no call per session.
+    """
+    def write(rows, batch_id):
+        before = read_version(rows.sparkSession, table, CHANGE, Version(batch_id - 1)).where(
+            "mark_ok IS NULL").groupBy("session_id").agg(F.max("item_no").alias("items"))
+        write_batch(checklist.changes(rows, before), table, batch_id)
+
+    return start_batches(checklist.calls(entries), checkpoint, write, trigger)
+
+
+def read_checklist_changes(spark: SparkSession, table: str) -> DataFrame:
+    return read_batches(spark, table, CHANGE)
+
+
 # -- screening and outbox -------------------------------------------------------------------
 
 def screened(messages: DataFrame) -> DataFrame:
