@@ -8,8 +8,8 @@ from unicodedata import normalize
 
 import numpy as np
 
-CACHE_WORDS = 1 << 20
-CACHE_BYTES = 1 << 24
+CACHE_WORDS = 1 << 18
+CACHE_BYTES = 1 << 22
 JOINED = 256
 STATE = "logloom_worker_words"
 

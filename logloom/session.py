@@ -8,6 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ARROW_BATCH = "4m"
 
 
 def build_session(master: str = "local[*]", app_name: str = "logloom", **conf) -> SparkSession:
@@ -28,12 +29,14 @@ def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings the operators rely on.
 
     UTC because days are cut from UTC text; duplicate JSON keys keep the last
-    value; AQE splits skewed join partitions and coalesces small ones.
+    value; AQE splits skewed join partitions and coalesces small ones; Arrow batches
+    are cut by bytes, so that long texts do not fill a Python worker.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     return spark
 
 
