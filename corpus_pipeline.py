@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from logloom.llm import line_runs, mixing, near_dedup, quality, sentencepiece
 from logloom.llm.common import stored, table, unused
 from logloom.llm.queries import MOST, SHARE, schedule, tokenizer
+from logloom.session import configure
 
 #: Near duplicates: 80 % of the shingles in common.
 NEAR = {"percent": 80, "rows": 8, "bands": 48}
@@ -81,7 +82,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(configure(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

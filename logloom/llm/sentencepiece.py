@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 MARK = "▁"
-CACHE_PARTS, CACHE_CHARS = 1 << 18, 1 << 23
+CACHE_PARTS, CACHE_CHARS = 1 << 17, 1 << 21
 #: Parts of one length are encoded together, up to this length and number, from this number on.
-LONGEST_TOGETHER, TOGETHER, LEAST_TOGETHER = 40, 1 << 12, 128
+LONGEST_TOGETHER, TOGETHER, LEAST_TOGETHER = 40, 1 << 10, 128
 #: Texts are taken up by portions of so many characters; their parts are held at once.
 PORTION = 1 << 20
 #: A long text comes in portions of so many longest pieces.

@@ -3,7 +3,7 @@
 import pyarrow as pa
 import public_tokenizers
 
-from logloom.llm import vocabulary
+from logloom.llm import sentencepiece, vocabulary
 from logloom.session import configure
 
 
@@ -29,3 +29,13 @@ def test_words_stay_few_in_a_worker():
         most = max(most, len(coder.known))
     assert most <= 1 << 18
     assert [coder.encode(w) for w in words[:50]] == first
+
+
+def test_pieces_stay_few_in_a_worker():
+    coder = sentencepiece.Encoder(sentencepiece.Vocabulary.of({
+        p: -1.0 for p in ["▁", *"0123456789"]}))
+    first = coder.encode("0 1 22 333")
+    for at in range(0, 400_000, 10_000):
+        coder.encode(" ".join(map(str, range(at, at + 10_000))))
+        assert len(coder.known) <= 1 << 17
+    assert (coder.encode("0 1 22 333") == first).all()
