@@ -207,9 +207,9 @@ def prefixes(found: DataFrame, shared, percent: int) -> DataFrame:
                     own = own[np.argsort(often, kind="stable")]
                 out.append(own[:first])
                 lengths.append(n)
-            counts = list(map(len, out))
-            each = np.repeat(np.arange(len(batch)), counts)
-            places = [np.arange(c) for c in counts]
+            taken = list(map(len, out))
+            each = np.repeat(np.arange(len(batch)), taken)
+            places = [np.arange(c) for c in taken]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([*out, np.empty(0, np.int64)])),
                 batch["node"].take(pa.array(each)), batch["component"].take(pa.array(each)),

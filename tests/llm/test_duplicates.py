@@ -5,6 +5,7 @@ from collections import defaultdict
 from hashlib import sha256
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from conftest import DATA
@@ -122,6 +123,25 @@ def test_pairs_in_large_buckets_of_unlike_texts(spark, order):
     assert rows_of(got) == sorted(((i, 401, i - i % 2, i % 2 == 0) for i, _ in data), key=str)
 
 
+def test_lists_of_several_batches_of_a_task(spark):
+    """op10: the counts of frequent shingles hold for every Arrow batch, not the first alone."""
+    rows = [(n, n % 3, [n, 1000, 2000, 3000 + n]) for n in range(20)]
+    found = spark.createDataFrame(
+        rows, "node bigint, component bigint, shingles array<bigint>").coalesce(1)
+    often = np.array([1000, 2000]), np.array([9, 20])
+    shared = spark.sparkContext.broadcast(often)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "3")
+    try:
+        got = rows_of(near_dedup.prefixes(found, shared, 50))
+    finally:
+        spark.conf.set(size, before)
+    # rare ones first, three of four with 50 percent
+    assert got == sorted(((s, n, c, 4, place) for n, c, (a, b, _, d) in rows
+                          for place, s in enumerate((a, d, b))), key=str)
+
+
 def test_sample_documents(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     data = [(r.doc_id, r.text) for r in docs.collect()]
