@@ -47,12 +47,14 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
     """
     cut = _keyed(docs.where("text IS NOT NULL").select("doc_id", "text")).select(
         *KEY, F.split("text", "\n").alias("_lines"))
-    found = (
+    # stored, as the ranges are drawn from a sample, which would read and cut the texts again
+    counted = stored(
         cut.select(*KEY, F.size("_lines").alias("n"), F.posexplode("_lines").alias("_from", "line"))
         .select(*KEY, "n", "_from", words(F.col("line")).alias("w"),
                 F.xxhash64("line").alias("a"), F.xxhash64(F.lit(17), F.col("line")).alias("b"))
-        .where("w > 0")
-        .repartitionByRange(*KEY)
+        .where("w > 0"), "runs-counted")
+    found = (
+        counted.repartitionByRange(*KEY)
         # rows that repeat a document
         .groupBy(*KEY, "_from").agg(*[F.min(c).alias(c) for c in ("n", "w", "a", "b")])
         .sortWithinPartitions(*KEY, "_from"))

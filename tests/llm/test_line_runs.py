@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 from conftest import DATA
-from logloom.llm import line_runs
+from logloom.llm import common, line_runs
 
 SCHEMA = "doc_id bigint, text string, source string, removed_lines string"
 
@@ -75,3 +75,18 @@ def test_no_rows(spark):
     got = line_runs.remove_repeats(spark.createDataFrame([], SCHEMA))
     assert got.columns == ["doc_id", "text", "source", "removed_lines"]
     assert got.collect() == []
+
+
+def test_texts_are_cut_once_for_the_ranges(spark, monkeypatch):
+    """op1: what is dealt by ranges, and read twice for them, is lines, not texts."""
+    cut = []
+
+    def stored(frame, name):
+        cut.append((name, "Generate" in frame._jdf.queryExecution().executedPlan().toString()))
+        return common.stored(frame, name)
+
+    monkeypatch.setattr(line_runs, "stored", stored)
+    frame = spark.createDataFrame([(i, "a b c\n\nd e f") for i in range(4)],
+                                  "doc_id bigint, text string")
+    assert line_runs.lines(frame, 2).count() == 8
+    assert cut == [("runs-counted", True), ("runs-lines", False)]
