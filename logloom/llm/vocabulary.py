@@ -1,6 +1,7 @@
 """Token ids of whole texts with a tokenizer whose tokens never span white space."""
 
 import os
+import re
 import sys
 from array import array
 from types import ModuleType
@@ -12,6 +13,19 @@ CACHE_WORDS = 340_000
 CACHE_BYTES = 1 << 23
 JOINED = 256
 STATE = "logloom_worker_words"
+#: Latin letters in UTF-8, A-Z lower-cased; words of them and ASCII signs but the apostrophe
+#: (as in "'s"); the runs of such a word.
+LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+LETTERS = re.compile(LETTER + rb"+")
+PLAIN = re.compile(rb"(?:[!-&(-@\[-~]|" + LETTER + rb")+")
+RUN = re.compile(LETTER + rb"+|[0-9]|[^a-z0-9\xc3]+")
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
 
 def stays_letter(character: str) -> bool:
@@ -28,8 +42,9 @@ class WordEncoder:
 
     For tokenizers that compose (NFC) and lower-case the text, drop white space, cut
     it into runs of letters, single digits and runs of other signs, and end each run
-    with a token marked ``</w>``. Words are the runs between ASCII white space. The
-    cache is emptied when it holds too many words or bytes.
+    with a token marked ``</w>``. Words are the runs between ASCII white space. When
+    the cache holds half of what it may, it is put by and a new one begins, which takes
+    from it what comes again: words that recur often stay known.
     """
 
     def __init__(self, path: str):
@@ -41,33 +56,49 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.characters = byte_characters()
         self.held = 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, new: set[bytes]) -> None:
         known = self.known
-        new = {w for w in words if w not in known}
         self.held += sum(map(len, new))
-        if len(known) + len(new) > CACHE_WORDS or self.held > CACHE_BYTES:
-            known.clear()
-            new = set(words)
+        if len(known) + len(new) > CACHE_WORDS // 2 or self.held > CACHE_BYTES // 2:
+            # what grew beyond its size, as by one very long text, is not put by
+            self.before = known if len(known) <= CACHE_WORDS // 2 else {}
+            known = self.known = {}
             self.held = sum(map(len, new))
+        again = new & self.before.keys()
+        known.update(zip(again, map(self.before.__getitem__, again)))
+        new -= again
         stopped, letters, rest, model = [], [], [], self.tokenizer.model
+        # runs are coded one by one: those of digits and signs recur
+        cut = [(w, RUN.findall(w)) for w in new if not w.isalpha() and not LETTERS.fullmatch(w)
+               and PLAIN.fullmatch(w) and b"<|" not in w]
+        new.difference_update([w for w, _ in cut])
+        runs = {r for _, parts in cut for r in parts}.difference(known, new)
+        self.held += sum(map(len, runs))
+        new |= runs
         for word in new:
+            # a run of letters goes straight to the model
+            if word.isalpha() and word.islower():  # of bytes: a-z only
+                known[word] = array("I", [t.id for t in model.tokenize(word.decode())]).tobytes()
+                continue
             text = word.decode("utf-8", "replace")
+            if LETTERS.fullmatch(word):
+                shown = text.lower().encode().decode("latin-1").translate(self.characters)
+                known[word] = array("I", [t.id for t in model.tokenize(shown)]).tobytes()
+                continue
             # a stop after a letter or digit is a run of its own
             if len(text) > 1 and text[-1] in ".," and stays_letter(text[-2]):
                 stopped.append(word)
                 word, text = word[:-1], text[:-1]
                 if word in known:
                     continue
-            if text.isascii() and text.isalpha() and text.islower():
-                # a run of letters that nothing changes goes straight to the model
-                known[word] = array("I", [t.id for t in model.tokenize(text)]).tobytes()
-            else:
-                (letters if text.isalpha() else rest).append((word, text))
+            (letters if text.isalpha() else rest).append((word, text))
         if stopped:
             rest += [(b".", "."), (b",", ",")]
         for at in range(0, len(letters), JOINED):
@@ -85,6 +116,8 @@ class WordEncoder:
             known[word] = array("I", ids).tobytes()
         for word in stopped:
             known[word] = known[word[:-1]] + known[word[-1:]]
+        for word, parts in cut:
+            known[word] = b"".join([known[r] for r in parts])
 
     def split(self, text: str | None) -> list[bytes]:
         """The words of a text, in forms that recur more often but have the same ids.
@@ -99,12 +132,13 @@ class WordEncoder:
 
     def parts(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word."""
-        known = self.known
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            self._learn(words)
-            return [known[w] for w in words]
+        found = list(map(self.known.get, words))
+        gaps = [n for n, ids in enumerate(found) if ids is None]
+        if gaps:
+            self._learn({words[n] for n in gaps})
+            for n in gaps:
+                found[n] = self.known[words[n]]
+        return found
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(self.parts(self.split(text)))

@@ -32,6 +32,29 @@ def test_words_stay_few_in_a_worker():
     assert [coder.encode(w) for w in words[:50]] == first
 
 
+def test_words_that_recur_are_coded_once(monkeypatch):
+    """op6: they stay known when the store is full."""
+    coder = vocabulary.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(vocabulary, "CACHE_WORDS", 400)
+    asked, real = [], coder.tokenizer
+
+    class Model:
+        def tokenize(self, text):
+            asked.append(text)
+            return real.model.tokenize(text)
+
+    class Tokenizer:
+        model, encode_batch_fast = Model(), real.encode_batch_fast
+
+    coder.tokenizer = Tokenizer()
+    letters = "abcdefghij"
+    words = [a + b + c + "x" for a in letters for b in letters for c in letters]
+    for at in range(0, 1000, 50):
+        coder.encode(" ".join(["recurring", *words[at:at + 50]]))
+        assert len(coder.known) + len(coder.before) <= 400
+    assert asked.count("recurring") == 1 and len(asked) == 1001
+
+
 def test_pieces_stay_few_in_a_worker():
     coder = sentencepiece.Encoder(sentencepiece.Vocabulary.of({
         p: -1.0 for p in ["▁", *"0123456789"]}))
