@@ -71,7 +71,7 @@ class WordEncoder:
             self.before = known if len(known) <= CACHE_WORDS // 2 else {}
             known = self.known = {}
             self.held = sum(map(len, new))
-        again = new & self.before.keys()
+        again = {w for w in new if w in self.before}
         known.update(zip(again, map(self.before.__getitem__, again)))
         new -= again
         stopped, letters, rest, model = [], [], [], self.tokenizer.model
