@@ -17,8 +17,12 @@ STATE = "logloom_worker_words"
 #: (as in "'s"); the runs of such a word.
 LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
 LETTERS = re.compile(LETTER + rb"+")
-PLAIN = re.compile(rb"(?:[!-&(-@\[-~]|" + LETTER + rb")+")
+PLAIN = re.compile(rb"(?:[!-&(-@\[-`{-~]|" + LETTER + rb")+")
 RUN = re.compile(LETTER + rb"+|[0-9]|[^a-z0-9\xc3]+")
+#: Texts of ASCII signs, Latin letters and white space, which lower-case sign by sign and need
+#: no composing; the tokenizer's runs of such a text in lower case (two bytes from \x80: a letter).
+SIMPLE = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+RUNS = re.compile(rb"[a-z\x80-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 def byte_characters() -> dict[int, str]:
@@ -37,13 +41,24 @@ def stays_letter(character: str) -> bool:
         character.isascii() or normalize("NFC", character.lower())[-1].isalnum())
 
 
+class Store(dict):
+    """Ids of words; a run that is looked up by its key and missing is learned."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, run: bytes) -> bytes:
+        return self.learn(run)
+
+
 class WordEncoder:
     """Encodes the words of a text once each; ids are little-endian unsigned 32-bit.
 
     For tokenizers that compose (NFC) and lower-case the text, drop white space, cut
     it into runs of letters, single digits and runs of other signs, and end each run
-    with a token marked ``</w>``. Words are the runs between ASCII white space. When
-    the cache holds half of what it may, it is put by and a new one begins, which takes
+    with a token marked ``</w>``. Words are the runs between ASCII white space; plain
+    texts are cut into the tokenizer's own runs, of which there are fewer. When the
+    cache holds half of what it may, it is put by and a new one begins, which takes
     from it what comes again: words that recur often stay known.
     """
 
@@ -55,7 +70,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known = Store(self._learn_run)
         self.before: dict[bytes, bytes] = {}
         self.characters = byte_characters()
         self.held = 0
@@ -63,13 +78,29 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _put_by(self) -> None:
+        # what grew beyond its size, as by one very long text, is not put by
+        self.before = dict(self.known) if len(self.known) <= CACHE_WORDS // 2 else {}
+        self.known.clear()
+
+    def _learn_run(self, run: bytes) -> bytes:
+        ids = self.before.get(run)
+        if ids is None:
+            shown = run.decode() if run.isascii() else \
+                run.decode("latin-1").translate(self.characters)
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        self.held += len(run)
+        if len(self.known) >= CACHE_WORDS // 2 or self.held > CACHE_BYTES // 2:
+            self._put_by()
+            self.held = len(run)
+        self.known[run] = ids
+        return ids
+
     def _learn(self, new: set[bytes]) -> None:
         known = self.known
         self.held += sum(map(len, new))
         if len(known) + len(new) > CACHE_WORDS // 2 or self.held > CACHE_BYTES // 2:
-            # what grew beyond its size, as by one very long text, is not put by
-            self.before = known if len(known) <= CACHE_WORDS // 2 else {}
-            known = self.known = {}
+            self._put_by()
             self.held = sum(map(len, new))
         again = {w for w in new if w in self.before}
         known.update(zip(again, map(self.before.__getitem__, again)))
@@ -79,7 +110,7 @@ class WordEncoder:
         cut = [(w, RUN.findall(w)) for w in new if not w.isalpha() and not LETTERS.fullmatch(w)
                and PLAIN.fullmatch(w) and b"<|" not in w]
         new.difference_update([w for w, _ in cut])
-        runs = {r for _, parts in cut for r in parts}.difference(known, new)
+        runs = {r for _, parts in cut for r in parts if r not in known and r not in new}
         self.held += sum(map(len, runs))
         new |= runs
         for word in new:
@@ -140,8 +171,17 @@ class WordEncoder:
                 found[n] = self.known[words[n]]
         return found
 
+    def runs(self, text: str | None) -> list[bytes] | None:
+        """The tokenizer's runs of a text where they are plain to see; they recur more
+        often than words, which differ by the stops beside them."""
+        if text and "<|" not in text and SIMPLE.fullmatch(text):
+            return RUNS.findall(text.lower().encode())
+        return None
+
     def encode(self, text: str | None) -> bytes:
-        return b"".join(self.parts(self.split(text)))
+        runs = self.runs(text)
+        return b"".join(self.parts(self.split(text)) if runs is None
+                        else map(self.known.__getitem__, runs))
 
 
 def encoder(path: str) -> WordEncoder:

@@ -2,6 +2,7 @@
 
 import random
 import sys
+import time
 import unicodedata
 import zlib
 
@@ -39,6 +40,28 @@ def test_odd_texts():
         assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids_of(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abAzÀÉÖØÞßéöøÿ'sStTmMdDlLvVeErR019 .,!~{`_%\n\t\r", max_size=60))
+def test_plain_texts_give_the_ids_of_the_text(text):
+    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids_of(text)
+
+
+def test_stops_make_no_words_of_their_own():
+    """op6: a word is known and coded once, whatever stands beside it."""
+    coder, stops = WordEncoder(WORDS), ["", ".", ",", "!!", "***", "?", "###", ")"]
+    words = [f"{a}{b}{end}" for a in "bcdfg" for b in "aeiou" for end in ("len", "né", "ß")]
+    text = " ".join(w + stop for w in words for stop in stops)
+    assert np.frombuffer(coder.encode(text), "<u4").tolist() == ids_of(text)
+    assert len(coder.known) == len(words) + len(stops) - 1
+
+
+def test_a_long_word_before_an_odd_character_takes_no_longer():
+    """op6, op3: the time doubled with every letter."""
+    began, text = time.process_time(), "x" * 25 + "’s " + "y" * 25 + "中"
+    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids_of(text)
+    assert time.process_time() - began < 0.5
+
+
 SCHEMA = "doc_id bigint, text string, start string, file string, ids string"
 
 
